@@ -1,0 +1 @@
+"""Column functions: text, numbers, dates, names and payment handles."""

@@ -1,0 +1 @@
+"""Operators over tables of leads, extractions, events, results and reviews."""
