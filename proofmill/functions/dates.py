@@ -6,16 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ISO, _DAY_FIRST = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ].*)?\s*$", r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\s*$"
-
-
-def _part(x: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(x, pattern, i).try_cast("int")
-
-
-def _made(y: Column, m: Column, d: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text).try_cast("date")
+_ISO, _DAY_FIRST = r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:[T ].*)?\s*$", r"^\s*(\d{1,2}[/.-]\d{1,2}[/.-]\d{4})\s*$"
 
 
 def numeric_date(x: Column, iso_day_first: bool) -> Column:
@@ -25,11 +16,9 @@ def numeric_date(x: Column, iso_day_first: bool) -> Column:
     identity rules read it as the fifth of October.
     """
     x = x.cast("string")
-    y, a, b = (_part(x, _ISO, i) for i in (1, 2, 3))
-    month, day = (F.when(b <= 12, b).otherwise(a), F.when(b <= 12, a).otherwise(b)) if iso_day_first else (a, b)
-    d, m, year = (_part(x, _DAY_FIRST, i) for i in (1, 2, 3))
-    swap = (m > 12) & (d <= 12)
-    return F.coalesce(_made(y, month, day), _made(year, F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)))
+    iso, short = F.regexp_extract(x, _ISO, 1), F.translate(F.regexp_extract(x, _DAY_FIRST, 1), ".-", "//")
+    forms = [(iso, "yyyy-d-M")] * iso_day_first + [(iso, "yyyy-M-d"), (short, "d/M/yyyy"), (short, "M/d/yyyy")]
+    return F.coalesce(*(F.try_to_timestamp(part, F.lit(form)).cast("date") for part, form in forms))
 
 
 def _fuzzy(day_first_iso: bool):

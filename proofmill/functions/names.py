@@ -80,4 +80,4 @@ def handle_hit(text: Column, names: Column) -> Column:
         hit = F.filter(found, lambda h: F.exists(segments(h), lambda s: (s != "") & F.rlike(s, pattern)))
         return F.struct(name.alias("name"), F.get(hit, 0).alias("handle"))
 
-    return F.when(F.size(found) > 0, F.get(F.filter(F.transform(names, of), lambda x: x.handle.isNotNull()), 0))
+    return F.when(F.size(found) > 0, F.get(F.filter(F.transform(names, of), lambda x: x["handle"].isNotNull()), 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,10 +19,10 @@ def with_identity(leads: DataFrame, fuzzy_dates: bool = False) -> DataFrame:
         "lead_code": F.nullif(text.strip(F.col("lead_code")), F.lit("")), "loan_acct": F.nullif(text.loan_key(F.col("loan_account_number")), F.lit("")),
         "amount": text.amount(F.col("payment_amount")), "pay_ym": dates.pay_month(F.col("payment_date"), fuzzy_dates),
     }
-    whole = parts["lead_code"].isNotNull()
-    for p in parts.values():
-        whole = whole & p.isNotNull()
-    return leads.withColumn("identity", F.when(whole, F.struct(*(p.alias(n) for n, p in parts.items()))))
+    # Two projections, so that the parts are evaluated once.
+    df = leads.withColumn("identity", F.struct(*(p.alias(n) for n, p in parts.items())))
+    missing = [F.col(f"identity.{n}").isNull() for n in IDENTITY]
+    return df.withColumn("identity", F.when(~reduce(lambda a, b: a | b, missing), F.col("identity")))
 
 
 def dedup_verdicts(leads: DataFrame, ledger: DataFrame | None = None, order: str = "seq", fuzzy_dates: bool = False) -> DataFrame:

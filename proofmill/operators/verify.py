@@ -78,7 +78,7 @@ def check_receiver(receiver: Column, full_text: Column, lender: Column, allow: C
     return _result(
         (by_own.isNotNull(), True, say("receiver matches lender name '", by_own, "'")),
         (by_allow.isNotNull(), True, say("receiver matches approved receiver '", by_allow, "'")),
-        (hit.isNotNull(), True, say("receiver UPI id '", hit.handle, "' carries '", hit.name, "'")),
+        (hit.isNotNull(), True, say("receiver UPI id '", hit["handle"], "' carries '", hit["name"], "'")),
         ((cand != "") & some, False, say("receiver '", who, "' is not among accepted names for ", lender)),
         (cand != "", False, say("receiver '", who, "' does not match ", lender, " (no allowlist configured)")),
         (written.isNotNull(), True, say("payee not in a field; '", written, "' found on document")),
@@ -123,20 +123,20 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = False) -> D
         check_lan(c("doc_lan"), c("loan_account_number")).alias("loan_account_number"),
     ))
     one = lambda f: F.coalesce(*(F.when(f == n, c(f"__checks.{n}")) for n in CHECKS))
-    results = F.transform(c("rule.mandatory"), lambda f: F.struct(f.alias("field"), one(f).ok.alias("ok"), one(f).msg.alias("msg")))
+    results = F.transform(c("rule.mandatory"), lambda f: F.struct(f.alias("field"), one(f)["ok"].alias("ok"), one(f)["msg"].alias("msg")))
     df = df.withColumn("__r", results)
-    bad = F.filter("__r", lambda r: ~r.ok)
+    bad = F.filter("__r", lambda r: ~r["ok"])
     recon, incoming = c("rule.reconciliation"), classify.incoming_credit(c("doc_text"))
     of = lambda kind: F.array(F.lit(kind))
-    why = F.array_join(F.transform(bad, lambda r: F.concat(r.field, F.lit(": "), r.msg)), "; ")
+    why = F.array_join(F.transform(bad, lambda r: F.concat(r["field"], F.lit(": "), r["msg"])), "; ")
     return df.withColumns({
         "status": F.when(~recon & ~incoming & (F.size(bad) == 0), "verified").otherwise("unverified"),
         "reason": F.when(recon, "requires cash-deposit reconciliation - not verifiable from document alone").when(
             incoming, "looks like an incoming credit to your own account, not an outgoing loan repayment - needs review").otherwise(why),
-        "failed_fields": F.when(recon, of("reconciliation")).when(incoming, of("direction")).otherwise(F.transform(bad, lambda r: r.field)),
-        "matched_fields": F.transform(F.filter("__r", lambda r: r.ok & ~recon), lambda r: r.field),
+        "failed_fields": F.when(recon, of("reconciliation")).when(incoming, of("direction")).otherwise(F.transform(bad, lambda r: r["field"])),
+        "matched_fields": F.transform(F.filter("__r", lambda r: r["ok"] & ~recon), lambda r: r["field"]),
         "flag": F.when(~recon & incoming, "incoming_credit"),
         "date_gap_days": F.abs(F.datediff("__d", "__s")),
         "amount_delta": F.round(F.abs(text.num(c("doc_amount")) - text.num(c("payment_amount"))), 2),
-        "details": F.map_from_entries(F.transform("__r", lambda r: F.struct(r.field, r.msg))),
+        "details": F.map_from_entries(F.transform("__r", lambda r: F.struct(r["field"], r["msg"]))),
     }).drop("__d", "__s", "__checks", "__r", "rule")

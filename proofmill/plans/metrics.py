@@ -83,7 +83,7 @@ def analytics(d: SimpleNamespace, scope: str = "real") -> dict[str, str]:
         "a15_lender_funnel": "SELECT lender, count(*) AS total, " + ", ".join(f"""{n_if(f"verification_status = '{s}'")} AS {s}""" for s in ("verified", "unverified", "duplicate", "non_document", "unprocessed"))
         + f" FROM {res} r WHERE coalesce(lender, '') <> '' GROUP BY lender ORDER BY total DESC, lender LIMIT 40",
         "a16_fillrates": "SELECT count(*) AS n, " + ", ".join(f"{n_if(filled(c))} AS {n}" for n, c in fields) + f" FROM {res} r WHERE verification_status IN ('verified', 'unverified')",
-        "a17_fillrate_series": f"SELECT cast(updated_at as date) AS day, min({d.time('updated_at', 'MM-dd')}) AS t, count(*) AS n, " + ", ".join(f"cast({pct(n_if(filled(c)), 'count(*)', 0)} as int) AS {n}" for n, c in fields)
+        "a17_fillrate_series": f"SELECT cast(cast(updated_at as date) as string) AS day, min({d.time('updated_at', 'MM-dd')}) AS t, count(*) AS n, " + ", ".join(f"cast({pct(n_if(filled(c)), 'count(*)', 0)} as int) AS {n}" for n, c in fields)
         + f" FROM {res} r WHERE verification_status IN ('verified', 'unverified') AND updated_at > {day} - INTERVAL 14 DAYS GROUP BY 1",
         "a18_config_coverage": f"""SELECT x.lender, x.n, v.lender IS NOT NULL AS receiver_list, u.lender IS NOT NULL AS explicit_rule FROM (SELECT lender, count(*) AS n FROM {res} r WHERE coalesce(lender, '') <> '' GROUP BY lender) x
  LEFT JOIN {names(RULES)} u ON u.lender = x.lender LEFT JOIN {names(RECEIVERS)} v ON v.lender = x.lender WHERE u.lender IS NULL OR v.lender IS NULL""",

@@ -54,23 +54,23 @@ def _date(x: str, iso_day_first: bool) -> str:
 
 
 @query(f"""SELECT lead_id, {_NAME.format(x='institute_name')} AS name, regexp_replace(loan_account_number, '\\D', '', 'g') AS digits, cast({_NUM.format(x='payment_amount')} AS double) AS num,
- cast({_NUM.format(x='payment_amount')} AS decimal(14,2)) AS amount, upper(regexp_replace(loan_account_number, '[^A-Za-z0-9]', '', 'g')) AS loan, sha1(lead_id) AS sha1, sha256(lead_id) AS sha2,
+ cast(cast({_NUM.format(x='payment_amount')} AS decimal(14,2)) AS double) AS amount, upper(regexp_replace(loan_account_number, '[^A-Za-z0-9]', '', 'g')) AS loan, sha1(lead_id) AS sha1, sha256(lead_id) AS sha2,
  regexp_matches(institute_name, '^[A-Za-z_][A-Za-z0-9_.]*$') AS safe, repeat('•', greatest(0, length(loan_account_number) - 4)) || right(loan_account_number, 4) AS redacted FROM leads""")
 def f_text(spark, sf):
     """Normalised text, numbers and keys of every lead."""
     c = F.col
     return view(spark, sf, "leads").select(
         "lead_id", text.norm_name(c("institute_name")).alias("name"), text.digits(c("loan_account_number")).alias("digits"), text.num(c("payment_amount")).alias("num"),
-        text.amount(c("payment_amount")).alias("amount"), text.loan_key(c("loan_account_number")).alias("loan"), F.sha1("lead_id").alias("sha1"), F.sha2("lead_id", 256).alias("sha2"),
+        text.amount(c("payment_amount")).cast("double").alias("amount"), text.loan_key(c("loan_account_number")).alias("loan"), F.sha1("lead_id").alias("sha1"), F.sha2("lead_id", 256).alias("sha2"),
         text.safe_identifier(c("institute_name")).alias("safe"), text.redact(c("loan_account_number")).alias("redacted"),
     )
 
 
-@query(f"SELECT lead_id, {_date('payment_date', True)} AS verify_date, strftime({_date('payment_date', False)}, '%Y-%m') AS pay_ym FROM leads")
+@query(f"SELECT lead_id, cast({_date('payment_date', True)} AS varchar) AS verify_date, strftime({_date('payment_date', False)}, '%Y-%m') AS pay_ym FROM leads")
 def f_dates(spark, sf):
     """Dates as the verification rules and as the identity rules read them."""
     c = F.col("payment_date")
-    return view(spark, sf, "leads").select("lead_id", dates.parse_date(c).alias("verify_date"), dates.pay_month(c).alias("pay_ym"))
+    return view(spark, sf, "leads").select("lead_id", dates.parse_date(c).cast("string").alias("verify_date"), dates.pay_month(c).alias("pay_ym"))
 
 
 @query("""SELECT doc_id, list_distinct(list_filter(['paid','successful','payment receipt','amount paid','txn','utr','rrn','reference','receipt no','receipt number','debited','credited','transaction id','paid to','payment of','amount','rs.','inr','₹','no dues','no due','no objection','noc','fully paid','loan closed','loan closure','account closed','closure','foreclosure','settled','no outstanding','outstanding is nil','cleared','fully repaid'], lambda m: contains(lower(text), m))) <> [] AS candidate FROM documents""")
