@@ -163,6 +163,7 @@ def mix(
     words = F.least(end, (F.col("idx") + 1) * block) - F.greatest("start", F.col("idx") * block)
     parts = parts.withColumn("words", words).alias("a")
     times = sample_slots(plan, block, slots, seed).groupBy("source", "idx").agg(F.count("*").alias("times")).alias("b")
+    times = times.hint("merge")  # grows with the corpus, though its plan's estimate rests on the few shard numbers it starts from
     got = parts.join(times, same & (F.col("a.idx") == F.col("b.idx")), "left")
     got = got.groupBy("a.source", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     every = got.drop("start").unionByName(sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).alias("a")
