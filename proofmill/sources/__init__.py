@@ -1,0 +1 @@
+"""Readers of raw rows, and sinks for results and blobs."""
