@@ -140,17 +140,17 @@ def learn_quality(docs: DataFrame, labels: DataFrame, fold_of: int, held_out: in
     known = known.where(fold(F.col("doc_id"), fold_of) != held_out).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Both samples have the bounds above, so these joins broadcast a few thousand ids at most.
-    chosen = spread(known, "quality", SAMPLE_ROWS)
+    # Each uses its own half of the labelled rows, so that a small table leaves rows to calibrate on.
+    half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2))
+    chosen = spread(known.where(half == 0), "quality", SAMPLE_ROWS)
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("quality", "rank").collect()
     lines = [{x for r in rows if r["quality"] == q for x in r["text"].encode().split(b"\n")} for q in (0, 1)]
     common = lines[0] & lines[1]
     own = [[b"\n".join(x for x in r["text"].encode().split(b"\n") if x not in common) for r in rows if r["quality"] == q] for q in (0, 1)]
     sizes = Sizer([_joined(t, dict_bytes) for t in own], level)
-    n = known.count()
+    rest = known.where(half == 1)
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << _BITS))
-    some = known.where(hashed < int((1 << _BITS) * min(1, CALIBRATION_ROWS / max(1, n)))).orderBy(hashed, "doc_id").limit(2 * CALIBRATION_ROWS)
-    used = chosen.select("doc_id")
-    some = some.join(F.broadcast(used), "doc_id", "left_anti")
+    some = rest.where(hashed < int((1 << _BITS) * min(1, CALIBRATION_ROWS / max(1, rest.count())))).orderBy(hashed, "doc_id").limit(2 * CALIBRATION_ROWS)
     measured = text_map(
         texts.join(F.broadcast(some), "doc_id"), ["quality"], "text",
         lambda t: {"f": pa.array(list(quality_features(sizes(t), t)), pa.list_(pa.float64()))}, "quality int, f array<double>",
