@@ -25,28 +25,26 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
         ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32).tolist() + [len(joined)]
         starts = [0] + [x + 1 for x in ends[: n - shingle]]
         hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
-    return _majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+    return int(_majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))[0])
 
 
-def _majority(rows: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
+def _majority(rows: np.ndarray) -> np.ndarray:
+    """The bits set in over half of ``rows`` (one hash per row), as one signed integer for every 64."""
+    ones = np.zeros(8 * rows.shape[1], np.int64)
     for i in range(0, len(rows), 1 << 16):
         ones += np.unpackbits(rows[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(rows)).view(">i8")[0])
+    return np.packbits(2 * ones > len(rows)).view(">i8").astype(np.int64)
 
 
-def word_fingerprint(words: list[bytes], most: int = 3) -> int:
-    """64-bit SimHash of single words, each counted ``most`` times at most, so that a language's commonest words don't decide."""
-    digest = xxhash.xxh64_digest
-    return _majority(np.frombuffer(b"".join([digest(w, 42) * min(n, most) for w, n in Counter(words).items()]), np.uint8).reshape(-1, 8))
+def word_fingerprints(words: list[bytes], most: int = 3) -> np.ndarray:
+    """Two independent 64-bit SimHashes of single words, each counted ``most`` times at most, so that a language's commonest words don't decide."""
+    digest = xxhash.xxh3_128_digest
+    return _majority(np.frombuffer(b"".join([digest(w, 42) * min(n, most) for w, n in Counter(words).items()]), np.uint8).reshape(-1, 16))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """Rows ``doc_id, fp``: one for each document, A-Z lower-cased, words split at ASCII white space.
-
-    ``shingle`` 1 takes :func:`word_fingerprint`.
-    """
-    of = (lambda words: fingerprint(words, shingle)) if shingle > 1 else word_fingerprint
+    """Rows ``doc_id, fp``: one for each document, A-Z lower-cased, words split at ASCII white space."""
+    of = lambda words: fingerprint(words, shingle)
     columns = [F.col(id_col).cast("long").alias("doc_id")]
     return text_map(docs, columns, text_col, lambda texts: {"fp": [of(t.lower().split()) for t in texts]}, "doc_id long, fp long")
 
@@ -150,7 +148,7 @@ def simhash_groups(
 
 
 def _shingle_sets(texts: DataFrame, shingle: int, hashes: int) -> DataFrame:
-    """``root, key, copies, grams, low``: a text's distinct shingle hashes and its MinHash values."""
+    """``key, grams, low``: a text's distinct shingle hashes and its MinHash values."""
     rng = np.random.default_rng(5)
     a, b = rng.integers(1, 1 << 63, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, hashes).astype(np.uint64)
 
@@ -164,7 +162,7 @@ def _shingle_sets(texts: DataFrame, shingle: int, hashes: int) -> DataFrame:
             low.append(np.array([(g * x + y >> np.uint64(8)).min() for x, y in zip(a, b)]).view(np.int64))
         return {"grams": grams, "low": low}
 
-    return text_map(texts, ["root", "key", "copies"], "text", sets, "root long, key long, copies long, grams array<long>, low array<long>")
+    return text_map(texts, ["key"], "text", sets, "key long, grams array<long>, low array<long>")
 
 
 def near_duplicates(
@@ -173,7 +171,8 @@ def near_duplicates(
     """``text_hash, group_id`` for every different text of ``docs``: verified near copies share a ``group_id``.
 
     Candidates are groups of word fingerprints within ``max_bits`` bits (a SimHash of five-word shingles
-    would need ten bits or more at similarity 0.8, too many for an index). Inside a candidate group
+    would need ten bits or more at similarity 0.8, too many for an index). Each text has two independent
+    fingerprints, either of which may link it, in one index. Inside a candidate group
     each text is compared with the most central texts it shares a MinHash value with: exact Jaccard
     similarity of the ``shingle``-word sets must reach ``similarity``. That is linear in the group, and texts
     that merely share a passage stay apart. ``group_id`` is the smallest text hash of the group.
@@ -183,17 +182,18 @@ def near_duplicates(
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    fps = materialise(fingerprints(keyed, "key", "text", 1).groupBy(F.col("doc_id").alias("key"), "fp").agg(F.count("*").alias("copies")))
+    both = text_map(keyed, ["key"], "text", lambda texts: {"fp": [word_fingerprints(t.lower().split()) for t in texts]}, "key long, fp array<long>")
+    fps = materialise(both.groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", F.explode("fp").alias("fp"), "copies"))
     roots = link_groups(materialise(fps.select("fp").distinct()), max_bits)
-    grouped = materialise(fps.join(roots, "fp").select("key", "root", "copies"))
+    grouped = materialise(fps.join(roots, "fp").select("key", "root", "copies").distinct())
     several = grouped.groupBy("root").count().where("count > 1").select("root")
     some = materialise(grouped.join(several, "root", "left_semi"))
-    texts = keyed.join(some, "key").dropDuplicates(["key"])
+    texts = keyed.join(some, "key", "left_semi").dropDuplicates(["key"])
     sets = materialise(_shingle_sets(texts, shingle, hashes))
-    low = sets.select("root", "key", "copies", F.posexplode("low").alias("i", "h"))
+    low = some.join(sets.select("key", F.posexplode("low").alias("i", "h")), "key")
     sizes = low.groupBy("root", "i", "h").agg(F.count("*").alias("n"))
-    central = low.join(sizes, ["root", "i", "h"]).groupBy("key").agg(F.struct(F.sum("n"), F.max("copies"), F.min("key")).alias("rank"))
-    ranked = low.join(central, "key").select("root", "i", "h", "key", "rank")
+    central = low.join(sizes, ["root", "i", "h"]).groupBy("root", "key").agg(F.struct(F.sum("n"), F.max("copies"), F.min("key")).alias("rank"))
+    ranked = low.join(central, ["root", "key"]).select("root", "i", "h", "key", "rank")
     hubs = ranked.groupBy("root", "i", "h").agg(F.max_by("key", "rank").alias("hub"))
     pairs = ranked.join(hubs, ["root", "i", "h"]).where("key <> hub").select("key", "hub").distinct()
     a, b = sets.select("key", "grams"), sets.select(F.col("key").alias("hub"), F.col("grams").alias("hub_grams"))
@@ -201,7 +201,7 @@ def near_duplicates(
     alike = pairs.join(a, "key").join(b, "hub").where(both >= similarity * (F.size("grams") + F.size("hub_grams") - both) - F.lit(1e-9))
     joined = components(alike.select(F.col("key").alias("u"), F.col("hub").alias("v")))
     group = joined.select(F.col("node").alias("key"), F.col("root").alias("top"))
-    return grouped.join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
+    return fps.select("key").distinct().join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
