@@ -37,9 +37,9 @@ def _majority(rows: np.ndarray) -> np.ndarray:
 
 
 def word_fingerprints(words: list[bytes], most: int = 3) -> np.ndarray:
-    """Two independent 64-bit SimHashes of single words, each counted ``most`` times at most, so that a language's commonest words don't decide."""
-    digest = xxhash.xxh3_128_digest
-    return _majority(np.frombuffer(b"".join([digest(w, 42) * min(n, most) for w, n in Counter(words).items()]), np.uint8).reshape(-1, 16))
+    """Three independent 64-bit SimHashes of single words, each counted ``most`` times at most, so that a language's commonest words don't decide."""
+    two, one = xxhash.xxh3_128_digest, xxhash.xxh64_digest
+    return _majority(np.frombuffer(b"".join([(two(w, 42) + one(w, 42)) * min(n, most) for w, n in Counter(words).items()]), np.uint8).reshape(-1, 24))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -171,8 +171,8 @@ def near_duplicates(
     """``text_hash, group_id`` for every different text of ``docs``: verified near copies share a ``group_id``.
 
     Candidates are groups of word fingerprints within ``max_bits`` bits (a SimHash of five-word shingles
-    would need ten bits or more at similarity 0.8, too many for an index). Each text has two independent
-    fingerprints, either of which may link it, in one index. Inside a candidate group
+    would need ten bits or more at similarity 0.8, too many for an index). Each text has three independent
+    fingerprints, any of which may link it, in one index. Inside a candidate group
     each text is compared with the most central texts it shares a MinHash value with: exact Jaccard
     similarity of the ``shingle``-word sets must reach ``similarity``. That is linear in the group, and texts
     that merely share a passage stay apart. ``group_id`` is the smallest text hash of the group.

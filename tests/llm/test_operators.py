@@ -111,6 +111,18 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 4, *range(20, 25), *range(40, 45)]
 
 
+def test_near_duplicates_find_short_near_copies(spark):
+    """Short texts with two changed words (similarity about 0.85) join their original; unrelated texts stay apart."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        base = sentence(rng, 130, 2000).split()
+        near = list(base)
+        near[rng.randrange(10, 60)], near[rng.randrange(70, 120)] = "changed", "words"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    assert sorted(r["doc_id"] for r in simhash.dedup_near(docs_of(spark, rows)).collect()) == list(range(0, 80, 2))
+
+
 def brute_substrings(rows, window=20):
     texts = [(i, t, (t or "").split()) for i, t in rows]
     first, out = {}, []
