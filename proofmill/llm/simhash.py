@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, text_map
@@ -147,35 +148,78 @@ def simhash_groups(
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(texts: DataFrame, shingle: int, hashes: int) -> DataFrame:
-    """``key, grams, low``: a text's distinct shingle hashes and its MinHash values."""
-    rng = np.random.default_rng(5)
-    a, b = rng.integers(1, 1 << 63, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, hashes).astype(np.uint64)
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``key, n, grams``: the number of a text's distinct shingle hashes, and these in unsigned order."""
 
     def sets(texts: list[bytes]) -> dict[str, list]:
-        grams, low = [], []
+        n, grams = [], []
         for t in texts:
             words = t.lower().split()
             joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
             g = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in joined], np.uint64))
+            n.append(len(g))
             grams.append(g.view(np.int64))
-            low.append(np.array([(g * x + y >> np.uint64(8)).min() for x, y in zip(a, b)]).view(np.int64))
-        return {"grams": grams, "low": low}
+        return {"n": n, "grams": grams}
 
-    return text_map(texts, ["key"], "text", sets, "key long, grams array<long>, low array<long>")
+    return text_map(texts, ["key"], "text", sets, "key long, n long, grams array<long>")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 6, hashes: int = 16
-) -> DataFrame:
-    """``text_hash, group_id`` for every different text of ``docs``: verified near copies share a ``group_id``.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``gram, key, n, pos``: of each text's shingles, ordered from the rarest on, those that must hold one of any partner's.
+
+    Texts that are alike share ``similarity`` of the larger set at least, so the first ``n - ceil(similarity * n) + 1``
+    shingles of both, in any order common to all texts, have one in common. Shingles of one text only stand
+    first and join nothing; ``pos`` counts them.
+    """
+    each = sets.select("key", "n", F.explode("grams").alias("gram"))
+    often = each.withColumn("often", F.count("*").over(W.partitionBy("gram"))).where("often > 1")
+    lists = often.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))
+    length = F.col("n") - F.ceil(similarity * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("g"))
+    first = lists.where(length > 0).select("key", "n", F.size("g").alias("shared"), F.posexplode(F.slice("g", 1, length.cast("int"))).alias("i", "x"))
+    return first.select("x.gram", "key", "n", (F.col("n") - F.col("shared") + F.col("i")).alias("pos"), "x.often")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose sets have at least this exact Jaccard similarity."""
+    a, b = (sets.select(F.col("key").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "uv")
+    both = F.size(F.array_intersect("u_grams", "v_grams"))
+    met = both >= similarity * (F.size("u_grams") + F.size("v_grams") - both) - F.lit(1e-9)
+    return pairs.join(a, "u").join(b, "v").where(met).select("u", "v")
+
+
+def _rest(prefixes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs ``u, v`` of different roots: all that share a prefix shingle and can still reach the similarity.
+
+    At every shingle the texts outside its largest group meet all others, so a large group of copies never
+    meets itself; frequent shingles are salted.
+    """
+    of = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    of = materialise(of)
+    sizes = of.groupBy("gram", "root").agg(F.count("*").alias("m")).groupBy("gram")
+    sizes = sizes.agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main")).where("all > most")
+    few = F.col("all") - F.col("most")
+    sizes = sizes.select("gram", "main", F.least(few, F.expr("1 + (all - most) * all div 1000000")).alias("salts"))
+    of = of.join(sizes, "gram")
+    left = of.where("root <> main").select("gram", F.pmod(F.xxhash64("key"), "salts").alias("salt"), *(F.col(c).alias(f"u_{c}") for c in ("key", "root", "n", "pos")))
+    right = of.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "main", *(F.col(c).alias(f"v_{c}") for c in ("key", "root", "n", "pos")))
+    once = (F.col("v_root") == F.col("main")) | (F.col("u_key") < F.col("v_key"))
+    # At their first common shingle no more than what follows it can be common.
+    most = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
+    can = most * (1 + similarity) >= similarity * (F.col("u_n") + F.col("v_n")) - F.lit(1e-6)
+    on = (left.gram == right.gram) & (left.salt == right.salt) & (F.col("u_root") != F.col("v_root")) & once & can
+    return left.join(right, on).select(F.col("u_key").alias("u"), F.col("v_key").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 6) -> DataFrame:
+    """``text_hash, group_id`` for every different text of ``docs``: near copies share a ``group_id``.
 
     Candidates are groups of word fingerprints within ``max_bits`` bits (a SimHash of five-word shingles
     would need ten bits or more at similarity 0.8, too many for an index). Each text has three independent
-    fingerprints, any of which may link it, in one index. Inside a candidate group
-    each text is compared with the most central texts it shares a MinHash value with: exact Jaccard
-    similarity of the ``shingle``-word sets must reach ``similarity``. That is linear in the group, and texts
-    that merely share a passage stay apart. ``group_id`` is the smallest text hash of the group.
+    fingerprints, any of which may link it, in one index. The texts that have a partner there are joined
+    by an exact prefix filter over their shingles: first each with the most central text at a shingle, which
+    joins most of a large group in linear time, then all pairs between different groups. Every pair is
+    verified by the exact Jaccard similarity of the ``shingle``-word sets, so texts that merely share a
+    passage stay apart. ``group_id`` is the smallest text hash of the group.
 
     Null texts count as empty; equal texts are one text. Null ids, repeated rows, extra columns and empty
     tables need no care, as only texts are read.
@@ -187,21 +231,26 @@ def near_duplicates(
     roots = link_groups(materialise(fps.select("fp").distinct()), max_bits)
     grouped = materialise(fps.join(roots, "fp").select("key", "root", "copies").distinct())
     several = grouped.groupBy("root").count().where("count > 1").select("root")
-    some = materialise(grouped.join(several, "root", "left_semi"))
-    texts = keyed.join(some, "key", "left_semi").dropDuplicates(["key"])
-    sets = materialise(_shingle_sets(texts, shingle, hashes))
-    low = some.join(sets.select("key", F.posexplode("low").alias("i", "h")), "key")
-    sizes = low.groupBy("root", "i", "h").agg(F.count("*").alias("n"))
-    central = low.join(sizes, ["root", "i", "h"]).groupBy("root", "key").agg(F.struct(F.sum("n"), F.max("copies"), F.min("key")).alias("rank"))
-    ranked = low.join(central, ["root", "key"]).select("root", "i", "h", "key", "rank")
-    hubs = ranked.groupBy("root", "i", "h").agg(F.max_by("key", "rank").alias("hub"))
-    pairs = ranked.join(hubs, ["root", "i", "h"]).where("key <> hub").select("key", "hub").distinct()
-    a, b = sets.select("key", "grams"), sets.select(F.col("key").alias("hub"), F.col("grams").alias("hub_grams"))
-    both = F.size(F.array_intersect("grams", "hub_grams"))
-    alike = pairs.join(a, "key").join(b, "hub").where(both >= similarity * (F.size("grams") + F.size("hub_grams") - both) - F.lit(1e-9))
-    joined = components(alike.select(F.col("key").alias("u"), F.col("hub").alias("v")))
-    group = joined.select(F.col("node").alias("key"), F.col("root").alias("top"))
-    return fps.select("key").distinct().join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
+    some = materialise(grouped.join(several, "root", "left_semi").select("key", "copies").distinct())
+    every = fps.select("key").distinct()
+    sets = materialise(_shingle_sets(keyed.join(some, "key", "left_semi").dropDuplicates(["key"]), shingle))
+    group = linked(sets, some, similarity).select(F.col("node").alias("key"), F.col("root").alias("top"))
+    return every.join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
+
+
+def linked(sets: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
+    """``node, root``: the components of all pairs of ``sets(key, n, grams)`` at this Jaccard similarity or more.
+
+    ``copies(key, copies)`` helps to choose central texts.
+    """
+    prefixes = materialise(_prefixes(sets, similarity))
+    central = prefixes.groupBy("key").agg(F.sum("often").alias("s")).join(copies, "key").select("key", F.struct("s", "copies", "key").alias("rank"))
+    ranked = prefixes.join(central, "key").select("gram", F.col("key").alias("u"), "rank")
+    hubs = ranked.groupBy("gram").agg(F.max("rank").alias("hub"))
+    stars = ranked.join(hubs, "gram").select("u", F.col("hub.key").alias("v")).where("u <> v").distinct()
+    stars = materialise(_alike(stars, sets, similarity))
+    between = _alike(_rest(prefixes.drop("often"), components(stars), similarity), sets, similarity)
+    return components(stars.unionByName(between))
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -123,6 +123,41 @@ def test_near_duplicates_find_short_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.dedup_near(docs_of(spark, rows)).collect()) == list(range(0, 80, 2))
 
 
+def brute_near(texts, shingle=5, similarity=0.8):
+    """The least index of each text's component over all pairs of at least this Jaccard similarity."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} for w in words]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= similarity * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                x, y = find(parent, i), find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    return [find(parent, i) for i in range(len(texts))]
+
+
+def test_near_duplicates_join_groups_without_a_center(spark):
+    """Variants of absent originals and chains of edits: exactly one of each brute-force component stays."""
+    rng = random.Random(21)
+    texts = []
+    for size in (100, 100, 10, 10, 10, 10):
+        base = sentence(rng, 300, 3000).split()
+        for _ in range(size):
+            near = list(base)
+            for p in rng.sample(range(300), rng.choice((3, 4))):
+                near[p] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+    for _ in range(2):
+        near = sentence(rng, 300, 3000).split()
+        for _ in range(100):
+            for p in rng.sample(range(300), 5):
+                near[p] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+    kept = sorted(r["doc_id"] for r in simhash.dedup_near(docs_of(spark, list(enumerate(texts)))).collect())
+    assert kept == sorted(set(brute_near(texts)))
+
+
 def brute_substrings(rows, window=20):
     texts = [(i, t, (t or "").split()) for i, t in rows]
     first, out = {}, []
