@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import xxhash
@@ -37,12 +37,6 @@ def _majority(rows: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(rows)).view(">i8").astype(np.int64)
 
 
-def word_fingerprints(words: list[bytes], most: int = 3) -> np.ndarray:
-    """Three independent 64-bit SimHashes of single words, each counted ``most`` times at most, so that a language's commonest words don't decide."""
-    two, one = xxhash.xxh3_128_digest, xxhash.xxh64_digest
-    return _majority(np.frombuffer(b"".join([(two(w, 42) + one(w, 42)) * min(n, most) for w, n in Counter(words).items()]), np.uint8).reshape(-1, 24))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """Rows ``doc_id, fp``: one for each document, A-Z lower-cased, words split at ASCII white space."""
     of = lambda words: fingerprint(words, shingle)
@@ -148,8 +142,11 @@ def simhash_groups(
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``key, n, grams``: the number of a text's distinct shingle hashes, and these in unsigned order."""
+def _shingle_sets(texts: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
+    """``key, n, grams``: the number of a text's distinct shingle hashes, and these in unsigned order.
+
+    With ``similarity`` only so many of the lowest that :func:`_with_partners` needs.
+    """
 
     def sets(texts: list[bytes]) -> dict[str, list]:
         n, grams = [], []
@@ -158,12 +155,26 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
             joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
             g = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in joined], np.uint64))
             n.append(len(g))
+            if similarity is not None:
+                g = g[: len(g) - math.ceil(similarity * len(g) - 1e-9) + 1 + len(g) // 10]
             grams.append(g.view(np.int64))
         return {"n": n, "grams": grams}
 
     return text_map(texts, ["key"], "text", sets, "key long, n long, grams array<long>")
 
 
+def _with_partners(low: DataFrame, similarity: float) -> DataFrame:
+    """``key`` of the texts in ``low(key, n, grams)`` that may be alike to another; all others surely are not.
+
+    Two alike texts with ``n`` and ``m`` shingles share ``l`` of their lowest ``n - ceil(similarity * n) + l`` and
+    ``m - ceil(similarity * m) + l``, for any ``l``; here ``l`` is a tenth of the smaller set, which has
+    ``similarity * n`` shingles at least, and one more.
+    """
+    each = low.select("key", "n", F.explode("grams").alias("gram"))
+    shared = each.withColumn("often", F.count("*").over(W.partitionBy("gram"))).where("often > 1").groupBy("key", "n").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= 1 + F.floor(similarity * F.col("n") / 10 - F.lit(1e-9))).select("key")
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """``gram, key, n, pos``: of each text's shingles, ordered from the rarest on, those that must hold one of any partner's.
 
@@ -210,32 +221,26 @@ def _rest(prefixes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame
     return left.join(right, on).select(F.col("u_key").alias("u"), F.col("v_key").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``text_hash, group_id`` for every different text of ``docs``: near copies share a ``group_id``.
 
-    Candidates are groups of word fingerprints within ``max_bits`` bits (a SimHash of five-word shingles
-    would need ten bits or more at similarity 0.8, too many for an index). Each text has three independent
-    fingerprints, any of which may link it, in one index. The texts that have a partner there are joined
-    by an exact prefix filter over their shingles: first each with the most central text at a shingle, which
-    joins most of a large group in linear time, then all pairs between different groups. Every pair is
-    verified by the exact Jaccard similarity of the ``shingle``-word sets, so texts that merely share a
-    passage stay apart. ``group_id`` is the smallest text hash of the group.
+    Groups are the components of all pairs whose ``shingle``-word sets have an exact Jaccard similarity of
+    ``similarity`` or more; no pair is missed. Texts that share too few of their lowest shingle hashes with
+    any other go first. The rest is joined by a prefix filter over shingles from the rarest on: first each
+    text with the most central one at a shingle, which joins most of a large group in linear time, then all
+    pairs between different groups. ``group_id`` is the smallest text hash of the group.
 
     Null texts count as empty; equal texts are one text. Null ids, repeated rows, extra columns and empty
     tables need no care, as only texts are read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    both = text_map(keyed, ["key"], "text", lambda texts: {"fp": [word_fingerprints(t.lower().split()) for t in texts]}, "key long, fp array<long>")
-    fps = materialise(both.groupBy("key", "fp").agg(F.count("*").alias("copies")).select("key", F.explode("fp").alias("fp"), "copies"))
-    roots = link_groups(materialise(fps.select("fp").distinct()), max_bits)
-    grouped = materialise(fps.join(roots, "fp").select("key", "root", "copies").distinct())
-    several = grouped.groupBy("root").count().where("count > 1").select("root")
-    some = materialise(grouped.join(several, "root", "left_semi").select("key", "copies").distinct())
-    every = fps.select("key").distinct()
+    low = _shingle_sets(keyed, shingle, similarity).groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    low = materialise(low)
+    some = materialise(low.join(_with_partners(low, similarity), "key", "left_semi").select("key", "copies"))
     sets = materialise(_shingle_sets(keyed.join(some, "key", "left_semi").dropDuplicates(["key"]), shingle))
     group = linked(sets, some, similarity).select(F.col("node").alias("key"), F.col("root").alias("top"))
-    return every.join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
+    return low.select("key").join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
 
 
 def linked(sets: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:

@@ -158,6 +158,19 @@ def test_near_duplicates_join_groups_without_a_center(spark):
     assert kept == sorted(set(brute_near(texts)))
 
 
+def test_near_duplicates_find_appended_and_cut_copies(spark):
+    """Copies with a paragraph added at the end or cut from the start, as far as five-word sets still reach 0.8."""
+    rng = random.Random(22)
+    texts = []
+    for k in range(120):
+        words = sentence(rng, rng.randrange(40, 400), 5000).split()
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[len(words) * 15 // 100 :] if k % 2 else words + sentence(rng, len(words) * 18 // 100, 5000).split()))
+    want = brute_near(texts)
+    kept = sorted(r["doc_id"] for r in simhash.dedup_near(docs_of(spark, list(enumerate(texts)))).collect())
+    assert len(set(want)) <= 130 and kept == sorted(set(want))
+
+
 def brute_substrings(rows, window=20):
     texts = [(i, t, (t or "").split()) for i, t in rows]
     first, out = {}, []
