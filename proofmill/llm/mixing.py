@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: numpy draws from fewer slots than this.
+NUMPY_LIMIT = 1_000_000_000
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,15 +46,40 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeat: in
     return by.select("source", "source_size", F.when(full, F.col("room").cast("double")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good: numpy's draw, beyond its limit the same ratio-of-uniforms rejection (HRUA)."""
+    total = good + bad
+    if total < NUMPY_LIMIT:
+        return int(rng.hypergeometric(good, bad, n))
+    few, many, m = min(good, bad), max(good, bad), min(n, total - n)
+    if not few or not m:
+        z = 0
+    else:
+        share = few / total
+        mean, width = m * share + 0.5, math.sqrt((total - m) / (total - 1) * m * share * (1 - share) + 0.5)
+        logs = lambda z: math.lgamma(z + 1) + math.lgamma(few - z + 1) + math.lgamma(m - z + 1) + math.lgamma(many - m + z + 1)
+        mode, end = logs((m + 1) * (few + 1) // (total + 2)), min(m, few) + 1
+        while True:
+            x, y = 1 - rng.random(), rng.random()
+            w = mean + (1.7155277699214135 * width + 0.8989161620588988) * (y - 0.5) / x
+            if 0 <= w < end:
+                z = math.floor(w)
+                if 2 * math.log(x) <= mode - logs(z):
+                    break
+    z = m - z if good > bad else z
+    return good - z if m < n else z
+
+
 def _draw(rng: np.random.Generator, quota: np.ndarray, n: int) -> np.ndarray:
     """How many of ``n`` slots each source gets, drawn without replacement from its quota of slots."""
-    total = int(quota.sum())
-    if total < 1_000_000_000:
+    if (rest := int(quota.sum())) < NUMPY_LIMIT:
         return rng.multivariate_hypergeometric(quota, n, method="marginals")
-    even = quota.astype(object) * n // total  # beyond numpy's range the draw's deviation is far below one shard
-    for i in np.argsort(-quota)[: n - int(even.sum())]:
-        even[i] += 1
-    return even.astype(np.int64)
+    out = np.zeros_like(quota)
+    for i, q in enumerate(quota.tolist()):
+        rest -= q
+        out[i] = _hypergeometric(rng, q, rest, n)
+        n -= int(out[i])
+    return out
 
 
 def shard_counts(quota: np.ndarray, shards: int, slots: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +161,61 @@ def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     )
 
 
+def _laid(docs: DataFrame, sized: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``source, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
+    buckets = max(1, sized.count() // 20_000)
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    sums = sized.where("size > 0").groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
+    base = F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")
+    bases = sums.withColumn("base", base).drop("n").alias("b")
+    text = F.col(text_col).cast("string")
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), text.alias("text"))
+    order = W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
+    full = full.where("size > 0").withColumn("bucket", bucket).withColumn("inside", F.sum("size").over(order)).alias("a")
+    laid = full.join(bases, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")))
+    return laid.select("a.source", "doc_id", "size", (F.col("base") + F.col("inside") - F.col("size")).alias("start"), "text")
+
+
+def pack(laid: DataFrame, block: int) -> DataFrame:
+    """``source, idx, words, parts``: blocks of ``block`` words (the last one of a source may be shorter), joined by a space.
+
+    ``parts`` has the documents that a block is made of, in order: ``start`` in the source, ``doc_id``, ``n`` words.
+    """
+    end = F.col("start") + F.col("size")
+    ids = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
+
+    def piece(i: Column) -> Column:
+        low = F.greatest("start", i * block)
+        n = F.least(end, (i + 1) * block) - low
+        words = F.array_join(F.slice("all", (low - F.col("start") + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(i.alias("idx"), words.alias("words"), n.alias("n"))
+
+    cut = laid.withColumn("all", F.regexp_extract_all("text", F.lit(f"({WORDS})"))).select("source", "start", "doc_id", F.explode(F.transform(ids, piece)).alias("p"))
+    held = F.array_sort(F.collect_list(F.struct("start", "doc_id", F.col("p.n").alias("n"), F.col("p.words").alias("words"))))
+    packed = cut.groupBy("source", F.col("p.idx").alias("idx")).agg(held.alias("held"))
+    parts = F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["n"].alias("n")))
+    return packed.select("source", "idx", F.array_join("held.words", " ").alias("words"), parts.alias("parts"))
+
+
+def _mixed(laid: DataFrame, plan: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
+    same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    # The slots grow with the corpus, though their plan's estimate rests on the few shard numbers they start from.
+    filled = sample_slots(plan, block, slots, seed).hint("merge").alias("b")
+    return pack(laid, block).alias("a").join(filled, same & (F.col("a.idx") == F.col("b.idx"))).select("shard", "slot", "a.source", "a.idx", "pass", "words", "parts")
+
+
+def mixed_blocks(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1), repeat: int = 3, block: int = 64, slots: int = 4096, seed: int = 2,
+) -> DataFrame:
+    """The mixed corpus, one row for each filled slot: ``shard, slot, source, idx, pass, words, parts``.
+
+    Blocks and slots are those of :func:`mix`; ``words`` is the block's text, ``parts`` as in :func:`pack`.
+    """
+    sized = materialise(sized_documents(docs, id_col, text_col, source_col))
+    return _mixed(_laid(docs, sized, id_col, text_col, source_col), materialise(targets(sized, weights, repeat)), block, slots, seed)
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), repeat: int = 3, block: int = 64, slots: int = 4096, seed: int = 2,
@@ -139,7 +223,8 @@ def mix(
     """One row for each document: ``doc_id, source, size, source_size, target, taken``.
 
     Each source's documents are laid end to end and cut into blocks of ``block`` words (:func:`sample_slots`
-    chooses blocks); ``taken`` is how many of a document's words lie in chosen blocks, repeats counted. A
+    chooses blocks) and the mixed corpus of :func:`mixed_blocks` is written; ``taken`` is how many of a
+    document's words stand in it, repeats counted. A
     source's total comes within half a block of its target and no document exceeds ``repeat`` times its size.
 
     Reruns agree: the order inside a source follows a hash of the id, then the id and the size; rows
@@ -150,21 +235,10 @@ def mix(
     sized = materialise(sized_documents(docs, id_col, text_col, source_col))
     plan = materialise(targets(sized, weights, repeat))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    buckets = max(1, sized.count() // 20_000)
-    full = sized.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    sums = full.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    base = F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    bases = sums.withColumn("base", base).drop("n").alias("b")
-    laid = full.withColumn("inside", inside).alias("a").join(bases, same & (F.col("a.bucket") == F.col("b.bucket")))
-    laid = laid.select("a.source", "doc_id", "size", (F.col("base") + F.col("inside") - F.col("size")).alias("start"))
-    end = F.col("start") + F.col("size")
-    parts = laid.withColumn("idx", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    words = F.least(end, (F.col("idx") + 1) * block) - F.greatest("start", F.col("idx") * block)
-    parts = parts.withColumn("words", words).alias("a")
-    times = sample_slots(plan, block, slots, seed).groupBy("source", "idx").agg(F.count("*").alias("times")).alias("b")
-    times = times.hint("merge")  # grows with the corpus, though its plan's estimate rests on the few shard numbers it starts from
-    got = parts.join(times, same & (F.col("a.idx") == F.col("b.idx")), "left")
-    got = got.groupBy("a.source", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    laid = _laid(docs, sized, id_col, text_col, source_col)
+    mixed = materialise(_mixed(laid, plan, block, slots, seed))
+    used = mixed.select("source", F.explode("parts").alias("p")).groupBy("source", "p.start").agg(F.sum("p.n").alias("taken")).alias("b")
+    got = laid.drop("text").alias("a").join(used, same & (F.col("a.start") == F.col("b.start")), "left")
+    got = got.select("a.source", "a.start", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     every = got.drop("start").unionByName(sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).alias("a")
     return every.join(plan.alias("b"), same).select("doc_id", "a.source", "size", "source_size", "target", "taken")

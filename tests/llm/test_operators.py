@@ -263,6 +263,39 @@ def test_op2_targets_and_draw(spark):
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
 
 
+def test_op2_mixed_blocks_hold_the_words(spark):
+    """Every slot holds its block's words, those of the documents in its parts, and mix counts just these."""
+    rng = random.Random(8)
+    rows = [(k, sentence(rng, rng.choice((1, 7, 64, 150, 700)), 10**6), rng.choice("aab")) for k in range(300)] + [(None, "x  y\tz", None), (5, "again", "a"), (6, None, "b")]
+    docs = docs_of(spark, rows)
+    blocks = mixing.mixed_blocks(docs, slots=100).collect()
+    texts, taken, whole = {}, {}, {}
+    for r in rows:
+        texts.setdefault(r[0], []).append((r[1] or "").split())
+    assert len({(r["shard"], r["slot"]) for r in blocks}) == len(blocks) and max(r["shard"] for r in blocks) > 3
+    for r in blocks:
+        words, at = r["words"].split(" "), 0
+        assert whole.setdefault((r["source"], r["idx"]), r["words"]) == r["words"] and len(words) == sum(p["n"] for p in r["parts"]) <= 64
+        for p in r["parts"]:
+            off = max(0, r["idx"] * 64 - p["start"])
+            assert words[at : at + p["n"]] in [t[off : off + p["n"]] for t in texts[p["doc_id"]]]
+            at += p["n"]
+            taken[p["doc_id"]] = taken.get(p["doc_id"], 0) + p["n"]
+    counted = {}
+    for r in mixing.mix(docs, slots=100).collect():
+        counted[r["doc_id"]] = counted.get(r["doc_id"], 0) + r["taken"]
+    assert {k: v for k, v in counted.items() if v} == taken
+
+
+def test_op2_draws_stay_random_beyond_numpy():
+    import numpy as np
+
+    quota = np.array([4_000_000_000, 1_000_000_000, 0, 20])
+    draws = np.array([mixing._draw(np.random.default_rng(i), quota, 1_000_000) for i in range(400)])
+    assert (draws.sum(axis=1) == 1_000_000).all() and (draws[:, 2] == 0).all()
+    assert abs(draws[:, 0].mean() - 800_000) < 100 and 340 < draws[:, 0].std() < 460
+
+
 def test_op2_permutation_and_shards():
     import numpy as np
 
