@@ -1,25 +1,37 @@
-"""Substring dedup: repeated word windows found as repeated edges of a De Bruijn graph, compacted by minimiser."""
+"""Substring dedup: paths of repeated edges in the De Bruijn graph of word windows.
+
+Every window of ``window`` words is an edge from its first to its last ``window - 1`` words.
+
+1. The edges of a document are cut into pieces: consecutive edges that share their minimiser, the smallest hash of a
+   shorter gram inside. Equal edges share it, so only pieces whose minimiser occurs again can repeat.
+2. Equal pieces collapse onto the first of them. The firsts are taken apart into edges, and every edge gets the
+   coordinates where it occurs first.
+3. Pieces and edges join into long paths where both their own and their first coordinates continue. On a path
+   without branches each occurrence of an edge continues with the next one, so it becomes one row a document.
+4. The words of every path are compared with those at its source coordinates.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialise
+from .common import chunks, discard, materialise, shuffles_freed
 
 #: Odd multipliers of the rolling hashes, by the binary digit of the width they append.
 _STEP = [np.uint64(2 * int(x) + 1) for x in np.random.default_rng(20).integers(1 << 61, 1 << 62, 12)]
-#: A path piece is cut at multiples of this many words, so that a row stays small in any document.
+#: A piece is cut at multiples of this many words, so that a text of one repeated word has many.
 PIECE = 4096
-#: Bits of a position inside its document; the bits above hold a hash of the text.
-POS_BITS = 40
 
 
 def rolling(x: np.ndarray, n: int, join) -> np.ndarray:
@@ -46,156 +58,214 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def path_pieces(texts: list[bytes], window: int, gram: int, hot: np.ndarray) -> dict[str, np.ndarray]:
-    """Cut every document's windows into pieces: consecutive windows that share their smallest gram hash.
-
-    Returns per piece the row of its document, its first window's position, the shared hash ``m``, whether
-    a window may occur twice in it, and (with ``at``, one more offset than pieces) the windows' hashes.
-    Windows under a ``hot`` hash become pieces of their own.
-    """
-    words = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.empty(int(sizes.sum()), dtype=object)
-    flat[:] = [w for ws in words for w in ws]
-    none = np.zeros(0, np.int64)
-    if len(flat) < window:
-        return {"row": none, "pos": none, "m": none, "rep": none > 0, "at": np.zeros(1, np.int64), "hashes": none}
-    x = pd.util.hash_array(flat, categorize=False)
-    edge = _mixed(rolling(x, window, _append))
-    grams = _mixed(rolling(x, gram, _append))
-    span = window - gram + 1
-    m = rolling(grams, span, lambda a, b, _: np.minimum(a, b))
-    row = np.repeat(np.arange(len(words)), sizes)
-    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    n = len(m)
-    valid = row[:n] == row[window - 1 :]
-    start = valid.copy()
-    start[1:] &= ~valid[:-1] | (m[1:] != m[:-1]) | (pos[1:n] % PIECE == 0)
-    if len(hot):
-        start |= valid & np.isin(m, hot)
-    near = np.zeros(len(grams), bool)
-    for s in range(1, span + 1):
-        near[:-s] |= grams[s:] == grams[:-s]
-    begin = np.flatnonzero(start)
-    at = np.append(np.cumsum(valid)[begin] - 1, valid.sum())
-    seen = np.append(0, np.cumsum(near))
-    last = begin + np.diff(at) - 1 + span
-    return {
-        "row": row[begin], "pos": pos[begin], "m": m[begin].view(np.int64), "rep": seen[np.minimum(last, len(near))] > seen[begin],
-        "at": at, "hashes": edge[valid].view(np.int64),
-    }
-
-
-def _pieces(docs: DataFrame, window: int, gram: int, hot: np.ndarray, salts: int) -> DataFrame:
-    """Rows ``m, sub, salt, doc, loc, rep, hi, lo``: path pieces; ``hi`` and ``lo`` hold 48 bits of each window's hash.
-
-    ``sub`` and ``salt`` are 0 and -1 for ordinary pieces. A piece under a hot hash holds one window, has
-    that window's hash as ``sub`` and one of ``salts`` values as ``salt``.
-    """
+class Edges:
+    """The edges of some texts, laid end to end: for each its text's row, its position there and its hash."""
+
+    def __init__(self, texts: list[bytes], window: int, seed: int, bits: int):
+        words = [t.split() for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.empty(int(sizes.sum()), dtype=object)
+        flat[:] = [w for ws in words for w in ws]
+        self.starts, self.some = np.cumsum(sizes) - sizes, len(flat) >= window
+        if self.some:
+            self.words = pd.util.hash_array(flat, hash_key=f"{seed:016d}", categorize=False)
+            self.row = np.repeat(np.arange(len(words)), sizes)
+            self.pos = np.arange(len(flat)) - np.repeat(self.starts, sizes)
+            self.hash = _mixed(rolling(self.words, window, _append)) & np.uint64((1 << bits) - 1)
+            self.valid = self.row[: len(self.hash)] == self.row[window - 1 :]
+
+    def pieces(self, window: int, gram: int) -> dict[str, np.ndarray]:
+        """Per piece ``row``, ``pos`` and ``n``umber of its edges, its minimiser ``m``, a ``digest`` of the edges and whether one may occur twice in it."""
+        grams = _mixed(rolling(self.words, gram, _append))
+        span, n, valid = window - gram + 1, len(self.hash), self.valid
+        m = rolling(grams, span, lambda a, b, _: np.minimum(a, b))
+        start = valid.copy()
+        start[1:] &= ~valid[:-1] | (m[1:] != m[:-1]) | (self.pos[1:n] % PIECE == 0)
+        near = np.zeros(len(grams), bool)
+        for s in range(1, span + 1):
+            near[:-s] |= grams[s:] == grams[:-s]
+        begin = np.flatnonzero(start)
+        size = np.diff(np.append(np.cumsum(valid)[begin] - 1, valid.sum()))
+        seen = np.append(0, np.cumsum(near))
+        sums = np.append(np.uint64(0), np.cumsum(_mixed(self.hash)))
+        return {
+            "m": m[begin].view(np.int64), "row": self.row[begin], "pos": self.pos[begin], "n": size, "digest": (sums[begin + size] - sums[begin]).view(np.int64),
+            "rep": seen[np.minimum(begin + size - 1 + span, len(near))] > seen[begin],
+        }
+
+
+def _each_text(docs: DataFrame, fn: Callable[[list[bytes], pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """Rows that ``fn`` makes of the texts and of the rows they stand in; ``text`` is the last column of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, loc, text = (batch.column(i) for i in range(3))
-            for a, b in chunks(text):
-                p = path_pieces(text.slice(a, b - a).to_pylist(), window, gram, hot)
-                row, at, h = p["row"] + a, pa.array(p["at"], pa.int32()), p["hashes"]
-                where = loc.to_numpy()[row] + p["pos"]
-                is_hot = np.isin(p["m"].view(np.uint64), hot)
-                sub = np.zeros(len(row), np.int64)
-                sub[is_hot] = h[p["at"][:-1][is_hot]]
-                salt = np.where(is_hot, (where ^ (where >> 41)) % salts, -1)
-                cols = [
-                    pa.array(p["m"]), pa.array(sub), pa.array(salt, pa.int64()), doc.take(pa.array(row)), pa.array(where), pa.array(p["rep"]),
-                    pa.ListArray.from_arrays(at, pa.array((h >> 32).astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(h.astype(np.int16))),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["m", "sub", "salt", "doc", "loc", "rep", "hi", "lo"])
-
-    return docs.select("doc", "loc", "text").mapInArrow(
-        run, "m long, sub long, salt long, doc long, loc long, rep boolean, hi array<int>, lo array<smallint>"
-    )
-
-
-def _hot(docs: DataFrame, window: int, gram: int, fraction: float = 0.02, most: int = 100_000) -> np.ndarray:
-    """Gram hashes that make up more than ``1 / most`` of all pieces, judged on a sample (at most ``most`` of them).
-
-    The sample only plans the work: a hash wrongly taken for hot or cold costs time, never a result.
-    """
-    m = _pieces(docs.sample(fraction, seed=8), window, gram, np.zeros(0, np.uint64), 1).groupBy("m").count().where("count >= 20")
-    found = m.orderBy(F.desc("count"), "m").limit(most).collect()
-    total = sum(r["count"] for r in found)
-    return np.sort(np.array([r["m"] for r in found if r["count"] * most >= total], np.int64).view(np.uint64))
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in chunks(texts):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_pydict(fn([t or b"" for t in part.column(part.num_columns - 1).to_pylist()], part))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _minimisers(docs: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
+    """``m`` of the pieces that can hold a repeated edge: minimisers of several pieces, or of one that may repeat in itself."""
+
+    def made(texts: list[bytes], _) -> dict:
+        edges = Edges(texts, window, seed, 64)
+        p = edges.pieces(window, gram) if edges.some else {"m": np.zeros(0, np.int64), "rep": np.zeros(0, bool)}
+        m, at, n = np.unique(p["m"], return_inverse=True, return_counts=True)
+        return {"m": m, "n": n + np.bincount(at, weights=p["rep"], minlength=len(m)).astype(np.int64)}
+
+    return _each_text(docs, made, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
+
+
+def _pieces(docs: DataFrame, window: int, gram: int, seed: int, bits: int) -> DataFrame:
+    def made(texts: list[bytes], part: pa.RecordBatch) -> dict:
+        edges = Edges(texts, window, seed, bits)
+        if not edges.some:
+            return {k: pa.array([], t) for k, t in (("m", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("digest", pa.int64()))}
+        p = edges.pieces(window, gram)
+        own = {c: part.column(c).take(pa.array(p["row"])) for c in ("doc", "mark")}
+        return {"m": p["m"], **own, "pos": p["pos"].astype(np.int32), "n": p["n"].astype(np.int32), "digest": p["digest"]}
+
+    return _each_text(docs, made, "m long, doc long, mark long, pos int, n int, digest long")
+
+
+def _with(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """``docs`` with the columns that ``rows`` has for their ``doc`` and ``mark``."""
+    more = [c for c in rows.columns if c not in ("doc", "mark")]
+    same = F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.mark") == F.col("b.mark"))
+    return docs.alias("a").join(rows.alias("b"), same, how).select("a.*", *(f"b.{c}" for c in more))
 
 
-def repeated_windows(docs: DataFrame, window: int, gram: int, rows: int) -> DataFrame:
-    """Rows ``doc, loc, offs``: windows (piece start plus each offset) whose words also start a window earlier.
+def _taken_apart(docs: DataFrame, pieces: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
+    """``h, doc, mark, pos``: the edges of ``pieces(doc, mark, pos, n)``."""
 
-    Windows are edges of the De Bruijn graph over ``window - 1`` words. Path pieces bring the edges under
-    one minimiser together in one shuffle; equal windows always share it. Inside a minimiser's group the
-    smallest ``(doc, loc)`` of an edge stays and all others repeat it. Hot minimisers go through salted
-    groups first, and the survivors of all salts meet in a second, small round.
+    def made(texts: list[bytes], part: pa.RecordBatch) -> dict:
+        edges = Edges(texts, window, seed, bits)
+        lists = part.column("parts")
+        rows = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        pos, n = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("pos", "n"))
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at, row = np.repeat(pos, n) + inside, np.repeat(rows, n)
+        h = edges.hash[edges.starts[row] + at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+        return {"h": h, **{c: part.column(c).take(pa.array(row)) for c in ("doc", "mark")}, "pos": at.astype(np.int32)}
+
+    parts = pieces.groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("parts"))
+    return _each_text(_with(docs, parts).select("doc", "mark", "parts", "text"), made, "h long, doc long, mark long, pos int")
+
+
+def _own() -> Column:
+    return F.struct("doc", "mark", "pos")
+
+
+def _repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``doc, mark, pos, n, first``: with the coordinates of the first row that agrees in ``keys``."""
+    firsts = rows.groupBy(*keys).agg(F.min(_own()).alias("first"))
+    return rows.join(firsts, keys).select("doc", "mark", "pos", "n", "first")
+
+
+def _joined_up(steps: DataFrame) -> DataFrame:
+    """``doc, mark, pos, n, src``: repeated pieces and edges whose own and first coordinates continue as one path."""
+    line = ["doc", "mark", "src", "shift"]
+    steps = steps.select("doc", "mark", F.struct("first.doc", "first.mark").alias("src"), (F.col("pos") - F.col("first.pos")).alias("shift"), "pos", "n")
+    order = W.partitionBy(*line).orderBy("pos")
+    breaks = F.when(F.lag(F.col("pos") + F.col("n")).over(order) == F.col("pos"), 0).otherwise(1)
+    runs = steps.withColumn("new", breaks).withColumn("run", F.sum("new").over(order))
+    paths = runs.groupBy(*line, "run").agg(F.min("pos").alias("pos"), F.sum("n").cast("int").alias("n"))
+    return paths.select("doc", "mark", "pos", "n", F.col("src").withField("pos", F.col("pos") - F.col("shift")).alias("src"))
+
+
+def _unlike(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """The source ranges ``src, n`` whose words are not those of every path that names them."""
+
+    def made(texts: list[bytes], part: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"src": [], "n": [], "sha": []}
+        for t, asked in zip(texts, part.column("asked").to_pylist()):
+            words = t.split()
+            for x in asked:
+                out["src"].append(x["src"])
+                out["n"].append(x["n"])
+                out["sha"].append(hashlib.sha256(b" ".join(words[x["pos"] : x["pos"] + x["n"] + window - 1])).digest()[:16])
+        place = pa.struct([("doc", pa.int64()), ("mark", pa.int64()), ("pos", pa.int32())])
+        return {"src": pa.array(out["src"], place), "n": pa.array(out["n"], pa.int32()), "sha": pa.array(out["sha"], pa.binary())}
+
+    source = paths.select("src.doc", "src.mark", "src.pos", "n", "src").distinct()
+    asked = paths.select("doc", "mark", "pos", "n", "src").unionByName(source)
+    asked = asked.groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "n", "src")).alias("asked"))
+    said = _each_text(_with(docs, asked).select("asked", "text"), made, "src struct<doc:long,mark:long,pos:int>, n int, sha binary")
+    return said.groupBy("src", "n").agg(F.min("sha").alias("least"), F.max("sha").alias("most")).where("least <> most")
+
+
+def repeated_paths(docs: DataFrame, window: int, gram: int, bits: int = 64) -> DataFrame:
+    """Rows ``doc, mark, pos, n, src``: ``n`` consecutive windows from word ``pos`` on, all of which also stand from ``src`` on.
+
+    ``docs`` has ``doc, mark, text``; coordinates are ordered by ``doc`` (null first), ``mark`` and position, and
+    ``src`` is where the windows occur first. Windows are found by hashes of ``bits`` bits. If the comparison of
+    words shows that two different windows shared a hash, all is done again with other hashes of 64 bits, so
+    what is returned holds word for word.
     """
-    first = F.struct("doc", (F.col("loc") + F.col("off")).alias("at"))
-    pieces = _pieces(docs, window, gram, _hot(docs, window, gram), max(16, rows // 50_000))
-    group = W.partitionBy("m", "sub", "salt")
-    many = pieces.withColumn("n", F.count("*").over(group)).where("n > 1 or rep or salt >= 0")
-    edges = many.select("m", "sub", "salt", "doc", "loc", F.posexplode(F.arrays_zip("hi", "lo")).alias("off", "h"))
-    edges = edges.withColumn("h", F.shiftleft(F.col("h.hi").cast("long"), 16).bitwiseOR(F.col("h.lo").bitwiseAND(F.lit(0xFFFF))))
-    again = first > F.min(first).over(W.partitionBy("m", "sub", "salt", "h"))
-    kept = edges.withColumn("again", again).where("again or salt >= 0").groupBy("m", "sub", "salt", "doc", "loc")
-    marks = materialise(kept.agg(F.collect_list(F.when(F.col("again"), F.col("off"))).alias("offs")))
-    left = marks.where("size(offs) = 0").withColumn("off", F.lit(0))
-    late = left.withColumn("again", first > F.min(first).over(W.partitionBy("m", "sub"))).where("again")
-    return marks.where("size(offs) > 0").select("doc", "loc", "offs").unionByName(late.select("doc", "loc", F.array("off").alias("offs")))
-
-
-def _covered(cuts: list[dict] | None, n: int, window: int) -> np.ndarray:
-    cover = np.zeros(n + 1, np.int64)
-    for cut in cuts or []:
-        at = cut["pos"] + np.asarray(cut["offs"], np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, np.minimum(at + window, n), -1)
-    return np.cumsum(cover)[:n] > 0
+    for seed in count():
+        often = materialise(_minimisers(docs, window, gram, seed))
+        shared = materialise(_pieces(docs, window, gram, seed, bits).join(often, "m", "left_semi"))
+        pieces = materialise(_repeats(shared, ["m", "n", "digest"]))
+        discard(often, shared)
+        again = ~F.col("first").eqNullSafe(_own())
+        edges = materialise(_taken_apart(docs, pieces.where(~again), window, seed, bits))
+        steps = pieces.unionByName(_repeats(edges.withColumn("n", F.lit(1)), ["h"])).where(again)
+        paths = materialise(_joined_up(steps))
+        discard(pieces, edges)
+        with shuffles_freed(docs.sparkSession):
+            if not _unlike(docs, paths, window).limit(1).count():
+                return paths
+        discard(paths)
+        bits = 64
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, bits: int = 64
 ) -> DataFrame:
     """All columns of ``docs`` plus ``kept, n_words, n_removed``: texts without words that repeat an earlier passage.
 
     Words are split at ASCII white space, unchanged. A word goes if a window of ``window`` words covers it
     whose words also start a window earlier, in a smaller id or earlier in the same document; windows
-    are judged on the input. ``kept`` joins the other words by one space.
+    are judged on the input. ``kept`` joins the other words by one space. ``docs`` is read several times.
 
     Null and wordless texts have no words and an empty ``kept``. A null id comes before all others.
-    Rows with one id but different texts are different documents, ordered by a hash of the text; rows
-    equal in id and text are one document, so neither repeats the other. Empty tables give empty
-    results. Columns of ``docs`` keep their values whatever their names; only the three new names are replaced.
+    Rows with one id but different texts are different documents, ordered by a 64-bit hash of the text; rows
+    equal in id and text are one document, so neither repeats the other. Texts may be of any length. Empty
+    tables give empty results. Columns of ``docs`` keep their values whatever their names; only the three new names are replaced.
     """
+    text, doc = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    by_id = docs.groupBy(doc.alias("doc")).agg(F.min(F.xxhash64(text)).alias("least"), F.max(F.xxhash64(text)).alias("most"))
+    with shuffles_freed(docs.sparkSession):
+        unique = not by_id.where("least <> most").limit(1).count()
+    mark = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    keyed = docs.select(doc.alias("doc"), mark.alias("mark"), text.cast("binary").alias("text"))
+    paths = repeated_paths(keyed, window, gram, bits)
+    cuts = paths.groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
     names = [c for c in docs.columns if c not in ("kept", "n_words", "n_removed")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    mark = F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))
-    keyed = docs.select(doc.alias("doc"), F.shiftleft(mark, POS_BITS).alias("loc"), text.cast("binary").alias("text"))
-    found = repeated_windows(keyed, window, gram, docs.count())
-    place = F.struct(F.col("loc").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"), "offs")
-    cuts = found.groupBy("doc", F.shiftright("loc", POS_BITS).alias("mark")).agg(F.collect_list(place).alias("cuts"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), doc.alias("doc"), mark.alias("mark"), text.cast("binary").alias("text"))
-    joined = row.join(cuts, ["doc", "mark"], "left").select("row", "text", "cuts")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in chunks(texts):
-                kept, n_words, n_removed = [], [], []
-                for t, c in zip(texts.slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist()):
-                    words = t.split()
-                    gone = _covered(c, len(words), window) if c else None
-                    kept.append(b" ".join(words if gone is None else [w for w, g in zip(words, gone) if not g]))
-                    n_words.append(len(words))
-                    n_removed.append(0 if gone is None else int(gone.sum()))
-                cols = [batch.column(0).slice(a, b - a), pa.array(kept, pa.binary()), pa.array(n_words), pa.array(n_removed)]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "kept", "n_words", "n_removed"])
-
-    schema = T.StructType([joined.schema["row"], T.StructField("kept", T.BinaryType())])
-    out = joined.mapInArrow(cut, schema.add("n_words", T.LongType()).add("n_removed", T.LongType()))
-    return out.select(*(F.col("row").getField(c).alias(c) for c in names), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")
+    others = [c for c in names if c != text_col]
+    rest = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    rows = docs.select(doc.alias("doc"), mark.alias("mark"), rest.alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    joined = _with(rows, cuts, "left").select("row", "cuts", "text")
+
+    def cut(texts: list[bytes], part: pa.RecordBatch) -> dict:
+        kept, n_words, n_removed = [], [], []
+        for t, spans in zip(texts, part.column("cuts").to_pylist()):
+            words = t.split()
+            n_words.append(len(words))
+            if spans:
+                gone = np.zeros(len(words), bool)
+                for x in spans:
+                    gone[x["pos"] : x["pos"] + x["n"] + window - 1] = True
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            kept.append(b" ".join(words))
+            n_removed.append(n_words[-1] - len(words))
+        return {"row": part.column("row"), "text": part.column("text"), "kept": pa.array(kept, pa.binary()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+
+    schema = T.StructType([joined.schema["row"], T.StructField("text", T.BinaryType()), T.StructField("kept", T.BinaryType())])
+    out = _each_text(joined, cut, schema.add("n_words", T.LongType()).add("n_removed", T.LongType()))
+    own = F.col("text").cast("string").cast(docs.schema[text_col].dataType)
+    back = {text_col: own, **{c: F.col(f"row.c{i}") for i, c in enumerate(others)}}
+    return out.select(*(back[c].alias(c) for c in names), F.col("kept").cast("string").alias("kept"), "n_words", "n_removed")

@@ -199,11 +199,38 @@ def test_op8_brute_force(spark):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
 
 
+def test_op8_hash_collisions_are_found_and_undone(spark):
+    """With hashes of 6 bits nearly all windows collide; the comparison of words at the source finds it, and other hashes follow."""
+    rng = random.Random(41)
+    passage = sentence(rng, 60)
+    rows = [(i, sentence(rng, 60) + (" " + passage if i % 3 == 0 else "") + " " + sentence(rng, 30)) for i in range(30)]
+    keyed = docs_of(spark, rows).selectExpr("doc_id AS doc", "0L AS mark", "cast(text AS binary) AS text")
+    wrong = spark.createDataFrame([((3, 0, 60), 41, 9, 0, 60), ((3, 0, 60), 41, 6, 0, 59)], "src struct<doc:long,mark:long,pos:int>, n int, doc long, mark long, pos int").select("doc", "mark", "pos", "n", "src")
+    assert substring._unlike(keyed, wrong.where("doc = 9"), 20).count() == 0 and substring._unlike(keyed, wrong, 20).count() == 1
+    for bits in (6, 64):
+        out = substring.dedup_substrings(docs_of(spark, rows), bits=bits).collect()
+        got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out), key=repr)
+        assert got == brute_substrings(rows)
+
+
+def test_op8_paths_are_long(spark):
+    """Copies of a passage are one path each, whatever pieces it was cut into; its source is where it stands first."""
+    rng = random.Random(42)
+    passage = sentence(rng, 300, 5000)
+    rows = [(i, sentence(rng, 50, 5000) + " " + passage + " " + sentence(rng, 50, 5000)) for i in range(8)]
+    keyed = docs_of(spark, rows).selectExpr("doc_id AS doc", "0L AS mark", "cast(text AS binary) AS text")
+    paths = sorted((r["doc"], r["pos"], r["n"], tuple(r["src"])) for r in substring.repeated_paths(keyed, 20, 8).collect())
+    assert paths == [(i, 50, 281, (0, 0, 50)) for i in range(1, 8)]
+
+
 def test_op8_repeated_ids(spark):
     rng = random.Random(5)
     a, b = sentence(rng, 40), sentence(rng, 40)
     got = substring.dedup_substrings(docs_of(spark, [(1, a), (1, a), (None, b), (2, b)]))
     assert rows_of(got, "doc_id", "n_removed") == [(1, 0), (1, 0), (2, 40), (None, 0)]
+    # One id with two texts: two documents, one of which repeats the other's passage.
+    got = substring.dedup_substrings(docs_of(spark, [(1, a + " x"), (1, "y " + a), (-(1 << 63), a), (None, "z " + a)]))
+    assert rows_of(got, "doc_id", "n_removed") == [(-(1 << 63), 40), (1, 40), (1, 40), (None, 0)]
 
 
 def test_op4_brute_force(spark):
