@@ -29,7 +29,7 @@ def _shingles(df: DataFrame, shingle: int, exact: bool) -> DataFrame:
 
 
 def sketches(items: DataFrame, shingle: int, containment: float) -> DataFrame:
-    """Rows ``item_id, n, shingle, h, in_sketch`` of the items' distinct shingles.
+    """Rows ``item, n, shingle, h, in_sketch`` of the distinct shingles of ``items(item, words)``.
 
     Items fall into classes by size (powers of two). The bottom-k MinHash sketch of an item has the k of
     its class: a text that holds ``containment`` of the item lacks fewer than k of its shingles, so it
@@ -37,7 +37,7 @@ def sketches(items: DataFrame, shingle: int, containment: float) -> DataFrame:
     long text nearly always lie outside the item.
     """
     rows = _shingles(items, shingle, True).distinct()
-    every, by_hash = W.partitionBy("item_id"), W.partitionBy("item_id").orderBy("h", "shingle")
+    every, by_hash = W.partitionBy("item"), W.partitionBy("item").orderBy("h", "shingle")
     upper = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("long")
     k = upper - F.ceil(upper * F.lit(containment) - 1e-9) + 1
     return (
@@ -51,35 +51,44 @@ def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", shingle: int = 5, containment: float = 0.8,
 ) -> DataFrame:
-    """Rows ``doc_id, item_id, n_shingles, n_shared, containment, text_hash``: documents that hold an item.
+    """Rows ``doc_id, item_id, n_shingles, n_shared, containment, text_hash, sha``: documents that hold an item.
 
     A document holds an item if it has at least ``containment`` of the item's distinct word shingles;
     words are lower-cased runs of letters, marks and digits. Search: each document shingle probes the
-    items' sketches. Verification: for the documents found, all shingles are compared as text.
+    items' sketches. Verification: for the pairs found, the item's shingles are looked up among the document's as
+    text, so a shingle that many items or documents share meets only the items its document was found with.
 
     Items and texts of fewer than ``shingle`` words (or null) have no shingles and match nothing. Rows
-    equal in id and text give one result row; several items with the same id count as one item. A null
-    id is carried like any other. Empty tables give empty results. Other columns are not read.
+    equal in id and text give one result row; several items with the same id count as one item. Null ids, of
+    documents and of items, are carried like any other. Empty tables give empty results. Other columns are not read.
     """
-    index = materialise(sketches(items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("words")), shingle, containment))
+    # In a struct a null id is equal to itself, in joins too.
+    known = items.select(F.struct(F.col(item_id).alias("item_id")).alias("item"), words(F.col(item_text)).alias("words"))
+    index = materialise(sketches(known, shingle, containment))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    sketch = index.where("in_sketch").select("h", "item_id")
+    sketch = index.where("in_sketch").select("h", "item")
     probe = _shingles(keyed.select("text_hash", words(F.col("text")).alias("words")), shingle, False)
     probe = probe.join(small(sketch, sketch.count()), F.col("shingle") == F.col("h"))
-    found = materialise(probe.select("text_hash", "item_id").distinct())
+    found = materialise(probe.select("text_hash", "item").distinct())
     held = keyed.join(found.select("text_hash").distinct(), "text_hash", "left_semi")
-    held = _shingles(held.select("doc_id", "text_hash", words(F.col("text")).alias("words")), shingle, True)
-    shared = held.join(index.select("shingle", "item_id", "n"), "shingle").join(found, ["text_hash", "item_id"], "left_semi")
-    counts = shared.groupBy("doc_id", "text_hash", "item_id", F.col("n").alias("n_shingles")).agg(F.countDistinct("shingle").alias("n_shared"))
+    held = _shingles(held.select("doc_id", "text_hash", F.sha2("text", 256).alias("sha"), words(F.col("text")).alias("words")), shingle, True).distinct()
+    asked = found.join(index.select("shingle", "item", "n"), "item")
+    shared = held.join(asked, ["text_hash", "shingle"])
+    counts = shared.groupBy("doc_id", "text_hash", "sha", "item", F.col("n").alias("n_shingles")).agg(F.count("*").alias("n_shared"))
     share = F.col("n_shared") / F.col("n_shingles")
-    return counts.where(share >= containment - 1e-9).select("doc_id", "item_id", "n_shingles", "n_shared", share.alias("containment"), "text_hash")
+    return counts.where(share >= containment - 1e-9).select("doc_id", "item.item_id", "n_shingles", "n_shared", share.alias("containment"), "text_hash", "sha")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text holds no item (see :func:`contaminated`)."""
-    bad = materialise(contaminated(docs, items, text_col=text_col, **options).select(F.col("text_hash").alias("__bad")).distinct())
-    return docs.join(bad, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__bad"), "left_anti")
+    """The rows of ``docs``, with all their columns, whose text holds no item.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are handled as in :func:`contaminated`: null and short
+    texts stay, repeated rows stay or go together. Columns keep their names and values, whatever they are called.
+    """
+    bad = materialise(contaminated(docs, items, text_col=text_col, **options).select(F.col("text_hash").alias("__bad"), F.col("sha").alias("__sha")).distinct())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.join(bad, (F.xxhash64(text) == F.col("__bad")) & (F.sha2(text, 256) == F.col("__sha")), "left_anti")
 
 
 #: DuckDB SQL for op4: plain containment of distinct 5-word shingles.
