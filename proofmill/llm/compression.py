@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,7 +20,6 @@ SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 300, 20_000, 65_536
 #: Rows that the quality score is calibrated on, at most.
 CALIBRATION_ROWS = 8_000
 _BITS = 30
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -38,10 +36,18 @@ def spread(labelled: DataFrame, label: str, rows: int) -> DataFrame:
     counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITS))
     below = [(F.col(label) == k) & (hashed < int((1 << _BITS) * min(1, (2 * rows + 100) / n))) for k, n in counts.items() if k is not None]
-    near = labelled.where(reduce(lambda a, b: a | b, below, F.lit(False)))
+    near = one_each(labelled.where(reduce(lambda a, b: a | b, below, F.lit(False))), label)
     return near.withColumn("rank", F.row_number().over(W.partitionBy(label).orderBy(hashed, "doc_id"))).where(F.col("rank") <= rows)
 
 
+def one_each(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each ``doc_id`` (and ``by``): of repeated ids the smallest row, so that a bound on ids is one on rows."""
+    rest = [c for c in rows.columns if c != "doc_id" and c not in by]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy("doc_id", *by).agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *by, "row.*")
+
+
 class Sizer:
     """Compressed sizes of texts under each class's dictionary. Pickles as dictionaries; compressors are built per task."""
 
@@ -91,14 +97,15 @@ def identify_languages(
     margins are rejected there, while ``lang_pred`` still names the best. Learned from a bounded sample
     (the module's constants) of rows outside the held-out fold; a prediction reads the text only.
 
-    Null texts and texts without a letter give ``und`` with score 0. Without any labelled row all give
-    ``und``. Repeated rows stay, null ids are kept (fold 0), other columns are not read.
+    Null texts and texts without a letter (a character of a Unicode letter category: ``½`` and ``²`` are none) give
+    ``und`` with score 0. Without any labelled row all give ``und``. Repeated rows stay, null ids are kept (fold 0),
+    other columns are not read, texts of any length are compressed whole, equal sizes go to the first language.
     """
     names, sizes = learn_languages(docs, fold_of, held_out, level, dict_bytes)
 
     def predict(texts: list[bytes]) -> dict[str, pa.Array]:
         full = [t.decode("utf-8", "replace") for t in texts]
-        ok = np.array([bool(names and _LETTER.search(t)) for t in full], bool)
+        ok = np.array([bool(names) and any(map(str.isalpha, t)) for t in full], bool)
         c = sizes([letters(t) if k else b"" for t, k in zip(full, ok)]) if names else np.ones((len(full), 1))
         best = c.argmin(axis=1)
         low = c.min(axis=1)
@@ -139,11 +146,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, fold_of: int, held_out: in
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.where(fold(F.col("doc_id"), fold_of) != held_out).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Both samples have the bounds above, so these joins broadcast a few thousand ids at most.
+    # Both samples have the bounds above, so these joins broadcast a few thousand ids at most, and one text an id is collected.
     # Each uses its own half of the labelled rows, so that a small table leaves rows to calibrate on.
     half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2))
     chosen = spread(known.where(half == 0), "quality", SAMPLE_ROWS)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("quality", "rank").collect()
+    rows = one_each(texts.join(F.broadcast(chosen), "doc_id"), "quality", "rank").orderBy("quality", "rank").collect()
     lines = [{x for r in rows if r["quality"] == q for x in r["text"].encode().split(b"\n")} for q in (0, 1)]
     common = lines[0] & lines[1]
     own = [[b"\n".join(x for x in r["text"].encode().split(b"\n") if x not in common) for r in rows if r["quality"] == q] for q in (0, 1)]
@@ -152,7 +159,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, fold_of: int, held_out: in
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << _BITS))
     some = rest.where(hashed < int((1 << _BITS) * min(1, CALIBRATION_ROWS / max(1, rest.count())))).orderBy(hashed, "doc_id").limit(2 * CALIBRATION_ROWS)
     measured = text_map(
-        texts.join(F.broadcast(some), "doc_id"), ["quality"], "text",
+        one_each(texts.join(F.broadcast(some), "doc_id"), "quality"), ["quality"], "text",
         lambda t: {"f": pa.array(list(quality_features(sizes(t), t)), pa.list_(pa.float64()))}, "quality int, f array<double>",
     ).collect()
     if not measured:
@@ -170,9 +177,10 @@ def score_quality(
     Learned from bounded samples (the module's constants) of ``labels(doc_id, quality)`` outside the
     held-out fold. A score reads the text only.
 
-    Null and empty texts are scored as empty. Without labelled rows the score rests on the plain size
-    difference. Labels that are null or repeat an id count once (the smallest). Repeated rows stay, null
-    ids are kept (fold 0), and columns of ``docs`` named like the new ones are replaced.
+    Null and empty texts are scored as empty, very long ones whole. Without labelled rows the score rests on the plain size
+    difference. Labels that are null do not count, those that repeat an id once (the smallest), and of the texts that
+    share a labelled id the smallest is learned from. Repeated rows stay, null ids are kept (fold 0), and columns of
+    ``docs`` named like the new ones are replaced.
     """
     sizes, w = learn_quality(docs, labels, fold_of, held_out, level, dict_bytes)
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
