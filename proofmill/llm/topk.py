@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Component values of one quantisation level.
 LEVEL = 16
-#: Vectors and queries that meet in one task.
-VECTOR_BLOCK, QUERY_BLOCK = 32_768, 64
+#: Vectors that share an index, about; fewer, but not below the second number, where else there would be too few tasks.
+VECTOR_BLOCK, LEAST_BLOCK = 65_536, 4_096
 
 
 class ImpactIndex:
@@ -65,48 +68,81 @@ class ImpactIndex:
         return members, v[members] @ query
 
 
-def _best(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best of a block of vectors (``right``) for each query of a block (``left``)."""
-    out = []
-    if len(left) and len(right):
-        dims = max(map(len, [*left["v"], *right["v"]]))
-        stack = lambda s: np.stack([np.pad(np.asarray(x, np.int64), (0, dims - len(x))) for x in s])
-        ids, index = right["vec_id"].to_numpy(), ImpactIndex(stack(right["v"]))
-        for own, q in zip(left["vec_id"], stack(left["v"])):
-            rows, score = index.search(q, k, np.flatnonzero(ids == own))
-            first = np.lexsort((ids[rows], -score))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[rows][first], "score": score[first]}))
-    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    return pd.concat(out) if out else empty
+def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Integer vectors as rows, filled up with zeros."""
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False))
+    out = np.zeros((len(vectors), dims), np.int64)
+    for i, x in enumerate(np.split(flat, ends[:-1])):
+        out[i, : len(x)] = x
+    return out
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch], k: int, dims: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of each block for each query. Rows come by block, its vectors before its queries; queries stream past the block's index."""
+    block, held, ids, index = None, [], None, None
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        for lo, hi in _runs(at, batch.column(1).to_numpy(zero_copy_only=False)):
+            part = batch.slice(lo, hi - lo)
+            if at[lo] != block:
+                block, held, index = at[lo], [], None
+            if not part.column(1)[0].as_py():
+                held.append((part.column(2).to_numpy(), _matrix(part.column(3), dims)))
+                continue
+            if index is None:
+                ids = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.int64)
+                index = ImpactIndex(np.concatenate([v for _, v in held]) if held else np.zeros((0, dims), np.int64))
+            found = {"query_id": [], "vec_id": [], "score": []}
+            for own, q in zip(part.column(2).to_numpy(), _matrix(part.column(3), dims)) if len(ids) else ():
+                rows, score = index.search(q, k, np.flatnonzero(ids == own))
+                first = np.lexsort((ids[rows], -score))[:k]
+                found["query_id"].append(np.full(len(first), own))
+                found["vec_id"].append(ids[rows][first])
+                found["score"].append(score[first])
+            if found["score"]:
+                yield pa.RecordBatch.from_pydict({n: np.concatenate(x) for n, x in found.items()})
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that agree in all columns with the row before."""
+    n = len(columns[0])
+    new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1 if n else []
+    edges = [0, *new, n]
+    yield from ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
 
 
 def top_k(
-    vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", block: int = VECTOR_BLOCK
 ) -> DataFrame:
     """Rows ``query_id, rank, vec_id, score``: for each query the ``k`` highest integer inner products.
 
     Components become ``floor(scale * x)``. Queries are the rows whose id is divisible by ``every``, candidates
-    all rows with another id. Ties go to the smaller id. Each pair of a query block and a vector
-    block is one task's work; blocks are set by hashes of the ids, and every block returns ``k`` rows a query.
+    all rows with another id. Ties go to the smaller id. Vectors fall into blocks by a hash; each block is
+    shuffled once and indexed once, and all queries stream past it, which is the only thing that is copied (to every
+    block). Every block returns at most ``k`` rows a query. Work grows with queries times vectors, as all of these can matter.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors of
     unequal length are filled up with zeros. With fewer candidates all are returned. Repeated rows count
     as often as they occur, as candidates; a repeated query is asked once for each different vector.
-    Empty tables give empty results; other columns are not read.
+    Empty tables give empty results; other columns are not read. Components so large that a score might not fit
+    64 bits are an error.
     """
     x = F.col(vector_col)
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+    most = F.max(F.greatest(F.array_max("v"), -(F.array_min("v") + 1)))
+    n, dims, top = rows.agg(F.count("*"), F.max(F.size("v")), most).first()
+    dims, top = dims or 1, (top or 0) + 1
+    if dims * top * top >= 1 << 63:
+        raise ValueError(f"inner products of {dims} components of up to {top} do not fit 64 bits")
+    tasks = min(2 * vectors.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK)
+    blocks = F.lit(max(1, -(-n // block), tasks)).cast("long")
+    right = rows.select(F.pmod(F.xxhash64("vec_id", "v"), blocks).alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    n, m = rows.count(), queries.count()
-    vb, qb = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    block = lambda count, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(count).cast("long"))
-    right = rows.withColumn("vb", block(vb, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qb - 1).cast("long"))))
-    left = queries.withColumn("qb", block(qb, 2)).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))))
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(
-        lambda a, b: _best(a, b, k), "query_id long, vec_id long, score long"
-    )
+    left = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
+    placed = right.unionByName(left).repartition("block").sortWithinPartitions("block", "asks")
+    found = placed.mapInArrow(lambda batches: _search_blocks(batches, k, dims), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
