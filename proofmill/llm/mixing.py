@@ -16,6 +16,11 @@ from .common import materialise
 #: numpy draws from fewer slots than this.
 NUMPY_LIMIT = 1_000_000_000
 
+#: Sources whose quotas every task holds at most; the slots of more sources are dealt out by one permutation of all slots.
+MAX_SOURCES = 100_000
+#: Slots of a source that are dealt out at once.
+DEAL = 1_000_000
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -122,17 +127,33 @@ def _seed(*parts) -> int:
     return zlib.crc32(repr(parts).encode())
 
 
-def sample_slots(plan: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
+def _blocks_of_slots(k: np.ndarray, blocks: int, name: str | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block and pass of a source's k-th slots: every pass goes through all blocks in an order of its own."""
+    turn = k // blocks
+    idx = np.empty(len(k), np.int64)
+    for t in np.unique(turn):
+        idx[turn == t] = permuted(k[turn == t] % blocks, blocks, _seed(seed, name, int(t)))
+    return idx, turn
+
+
+SLOT = "shard long, slot long, source string, idx long, pass long"
+
+
+def sample_slots(plan: DataFrame, block: int, slots: int, seed: int, max_sources: int = MAX_SOURCES) -> DataFrame:
     """Rows ``shard, slot, source, idx, pass``: which block fills every slot of the mix.
 
-    ``plan`` has a row per source (as from :func:`targets`); it alone reaches the driver. A source's k-th
-    slot takes block ``perm(k mod n)`` of pass ``k div n``, so no block is taken more than its quota allows.
+    ``plan`` has a row per source (as from :func:`targets`). A source's k-th slot takes block ``perm(k mod n)`` of
+    pass ``k div n``, so no block is taken more than its quota allows. Up to ``max_sources`` sources the plan
+    reaches the driver and every task draws the counts of its shards; of more, it stays a table.
     """
     spark = plan.sparkSession
-    rows = plan.where("source_size > 0").orderBy(F.col("source").isNull(), "source").collect()
-    names = [r["source"] for r in rows]
-    blocks = [-(-r["source_size"] // block) for r in rows]
-    quota = np.array([round(r["target"] * n / r["source_size"]) for r, n in zip(rows, blocks)], np.int64)
+    n = F.ceil(F.col("source_size") / block)
+    plan = plan.where("source_size > 0").select("source", n.alias("blocks"), F.round(F.col("target") * n / F.col("source_size")).cast("long").alias("quota"))
+    rows = plan.orderBy(F.col("source").isNull(), "source").limit(max_sources + 1).collect()
+    if len(rows) > max_sources:
+        return _scattered(plan, slots, seed)
+    names, blocks = [r["source"] for r in rows], [r["blocks"] for r in rows]
+    quota = np.array([r["quota"] for r in rows], np.int64)
     shards = max(1, -(-int(quota.sum()) // slots))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,16 +164,36 @@ def sample_slots(plan: DataFrame, block: int, slots: int, seed: int) -> DataFram
                 at = 0
                 for s, c in enumerate(count[:-1]):
                     if c:
-                        k = used[s] + np.arange(c)
-                        turn = k // blocks[s]
-                        idx = np.concatenate([permuted(k[turn == t] % blocks[s], blocks[s], _seed(seed, names[s], int(t))) for t in np.unique(turn)])
+                        idx, turn = _blocks_of_slots(used[s] + np.arange(c), blocks[s], names[s], seed)
                         yield pd.DataFrame({"shard": shard, "slot": at + np.arange(c), "source": names[s], "idx": idx, "pass": turn})
                         at += c
 
     # The order inside a shard is the consumer's to shuffle; slots of one source stand together.
-    return spark.range(shards).repartition(max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInPandas(
-        fill, "shard long, slot long, source string, idx long, pass long"
-    )
+    return spark.range(shards).repartition(max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInPandas(fill, SLOT)
+
+
+def _scattered(plan: DataFrame, slots: int, seed: int) -> DataFrame:
+    """As :func:`sample_slots`, for any number of sources in ``plan(source, blocks, quota)``.
+
+    All slots of all sources, laid end to end, are permuted; a slot's place divided by ``slots`` is its shard. So the
+    source counts of a shard are the same multinomial draw conditioned on the quotas. The running sum
+    goes over one row per source.
+    """
+    order = W.orderBy(F.col("source").isNull(), "source")
+    plan = materialise(plan.withColumn("base", F.sum("quota").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("quota")))
+    total = plan.agg(F.sum("quota")).first()[0] or 0
+    shards = max(1, -(-total // slots))
+    dealt = plan.where("quota > 0").withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(DEAL).cast("long")))).repartition(F.col("source"), F.col("lo"))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                k = np.arange(r.lo, min(r.lo + DEAL, r.quota))
+                place = permuted(r.base + k, shards * slots, _seed(seed, "slots"))
+                idx, turn = _blocks_of_slots(k, r.blocks, r.source, seed)
+                yield pd.DataFrame({"shard": place // slots, "slot": place % slots, "source": r.source, "idx": idx, "pass": turn})
+
+    return dealt.mapInPandas(deal, SLOT)
 
 
 def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -163,7 +204,7 @@ def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
 
 def _laid(docs: DataFrame, sized: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``source, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
-    buckets = max(1, sized.count() // 20_000)
+    buckets = max(1, sized.count() // 2_000)
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
     sums = sized.where("size > 0").groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     base = F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")
