@@ -241,6 +241,8 @@ def test_op4_brute_force(spark):
     broken = ["q" if k % 5 == 0 else w for k, w in enumerate(item["b"])]
     texts = [" ".join(item["a"]), "Intro, " + sentence(rng, 3000) + " " + "; ".join(item["b"]).upper() + ". " + sentence(rng, 2000), " ".join(changed)]
     texts += [" ".join(broken), " ".join(item["d"]), None, "", sentence(rng, 500), " ".join(item["a"]) + " " + " ".join(item["c"])]
+    item[None] = sentence(rng, 30, 10**6).split()
+    texts += [sentence(rng, 40) + " " + " ".join(item[None])]
     items = spark.createDataFrame([(k, " ".join(w), 1) for k, w in item.items()] + [("n", None, 1), (None, "", 1)], "item_id string, text string, n int")
     docs = docs_of(spark, list(enumerate(texts)) + [(0, texts[0])])
     grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"\w+", (t or "").lower())] for i in range(len(w) - 4)}
@@ -250,12 +252,24 @@ def test_op4_brute_force(spark):
             g = grams(" ".join(w))
             if g and len(g & grams(t)) >= 0.8 * len(g):
                 want.append((i, k, len(g), len(g & grams(t))))
-    assert {(0, "a"), (1, "b"), (2, "c"), (8, "a"), (8, "c")} == {x[:2] for x in want}
+    assert {(0, "a"), (1, "b"), (2, "c"), (8, "a"), (8, "c"), (9, None)} == {x[:2] for x in want}
     assert rows_of(decontam.contaminated(docs, items), "doc_id", "item_id", "n_shingles", "n_shared") == sorted(want, key=repr)
     out = decontam.decontaminate(docs, items)
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 4, 5, 6, 7]
 
 
+def test_op4_shared_shingles(spark):
+    """Items and documents that share many shingles, null document ids, and a very long document."""
+    rng = random.Random(61)
+    common = sentence(rng, 20)
+    items = [(k, sentence(rng, 20 + k, 300) + " " + common) for k in range(20)] + [(99, common)]
+    docs = [(k, sentence(rng, 30) + " " + (t if k % 2 else common)) for k, t in items] + [(None, common), (200, " ".join([sentence(rng, 60_000), items[3][1], sentence(rng, 60_000)]))]
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"\w+", t.lower())] for i in range(len(w) - 4)}
+    want = [(d, k, len(grams(i)), len(grams(i) & grams(t))) for d, t in docs for k, i in items if len(grams(i) & grams(t)) >= 0.8 * len(grams(i))]
+    got = decontam.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(got, "doc_id", "item_id", "n_shingles", "n_shared") == sorted(want, key=repr)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), repeat=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -314,6 +328,51 @@ def test_op2_mixed_blocks_hold_the_words(spark):
     assert {k: v for k, v in counted.items() if v} == taken
 
 
+def test_op2_taken_against_a_brute_force_mix(spark):
+    """Blocks laid out, slots drawn and words counted one by one, for few sources and for more than a task may hold."""
+    import struct
+
+    import numpy as np
+
+    rng = random.Random(82)
+    rows = [(k, sentence(rng, rng.choice((1, 5, 64, 90, 300))), rng.choice(("a", "b", "b", "c", None))) for k in range(250)] + [(7, "again and again", "a"), (9, None, "a"), (-4, "", "q")]
+    docs = docs_of(spark, rows)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = brute_targets(sizes)
+    names = [s for s in sorted(sizes, key=lambda s: (s is None, s or "")) if sizes[s]]
+    hashed = lambda k: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(struct.pack("<q", k), 42))
+    blocks, quota = {}, {}
+    for s in names:
+        laid = [k for k, n in sorted(((k, len(t.split())) for k, t, x in rows if x == s and t), key=lambda r: (hashed(r[0]), *r)) for _ in range(n)]
+        blocks[s] = [laid[i : i + 64] for i in range(0, len(laid), 64)]
+        quota[s] = int(want[s] * len(blocks[s]) / sizes[s] + 0.5)
+    shards = -(-sum(quota.values()) // 50)
+    slots, base = [], 0
+    for s in names:
+        n = len(blocks[s])
+        for k in range(quota[s]):
+            block = int(mixing.permuted(np.array([k % n]), n, mixing._seed(2, s, k // n))[0])
+            slots.append((int(mixing.permuted(np.array([base + k]), shards * 50, mixing._seed(2, "slots"))[0]) // 50, s, block))
+        base += quota[s]
+    taken = {}
+    for _, s, block in slots:
+        for k in blocks[s][block]:
+            taken[k] = taken.get(k, 0) + 1
+    for limit in (100, 2):
+        plan = mixing.targets(mixing.sized_documents(docs, "doc_id", "text", "source"))
+        got = mixing.sample_slots(plan, 64, 50, 2, max_sources=limit).collect()
+        assert sorted((repr(r["source"]), r["idx"]) for r in got) == sorted((repr(s), b) for _, s, b in slots)
+        assert len({(r["shard"], r["slot"]) for r in got}) == len(got) and max(r["slot"] for r in got) < 50
+        if limit == 2:
+            assert sorted((r["shard"], repr(r["source"]), r["idx"]) for r in got) == sorted((x, repr(s), b) for x, s, b in slots)
+    mine = {}
+    for r in mixing.mix(docs, slots=50).collect():
+        mine[r["doc_id"]] = mine.get(r["doc_id"], 0) + r["taken"]
+    assert {k: v for k, v in mine.items() if v} == taken
+
+
 def test_op2_draws_stay_random_beyond_numpy():
     import numpy as np
 
@@ -334,26 +393,63 @@ def test_op2_permutation_and_shards():
     assert all((parts[s][1] == sum(p[0] for p in parts[:s])).all() for s in range(1, 6))
 
 
+def op3_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
 def test_op3_brute_force(spark):
-    mit = licenses.TEMPLATES["mit"]
-    texts = [None, "", "The MIT License, the mit-license! the mit license the mit license", "CC BY-NC and Apache License, Version 2", "themit license"]
-    texts += ["word " * 100 + mit + " tail" * 50, "x " * 61 + mit, " ".join(mit.split()[:10]), "permission is granted"]
-    got = licenses.scan_licenses(docs_of(spark, list(enumerate(texts)) + [(None, texts[2])])).collect()
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    rng = random.Random(31)
+    mit, long = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["zlib"][0]
+    cut = op3_words(long)
+    for p in rng.sample(range(len(cut)), 20):
+        cut[p] = "changed"
+    texts = [None, "", "Under the MIT License, under the mit-license! the mit license under the mit license", "CC BY-NC and Apache License, Version 2", "thunder the mit license", "the MIT License"]
+    texts += ["word " * 100 + mit + " tail" * 50, "x " * 61 + mit, " ".join(mit.split()[:10]), "permission is granted", "y " * 777 + " ".join(cut), "z " * 5000 + long + " z" * 5000]
+    texts += [sentence(rng, rng.randrange(700)) + " " + n + " " + sentence(rng, 99) for notices in licenses.TEMPLATES.values() for n in notices]
+    got = licenses.scan_licenses(docs_of(spark, list(enumerate(texts)) + [(None, texts[2]), (2, texts[2])])).collect()
+    assert len(got) == len(texts) + 2
     for r in got:
-        t = texts[2 if r["doc_id"] is None else r["doc_id"]]
-        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        words = op3_words(texts[2 if r["doc_id"] is None else r["doc_id"]])
+        at = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         assert (r["n_words"], r["n_base"]) == (len(words), len(at))
         assert (r["first_word"], r["last_word"]) == (min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
         base = sorted({x for _, x in at})
         assert r["base_labels"] == ",".join(base) and set(base) <= set(filter(None, r["labels"].split(",")))
         # Exact containment over the same blocks, without any filter.
-        blocks = [set(words[s : s + 64]) for s in range(0, max(1, len(words)), 32)]
-        sets = {k: set(licenses.split_words(v.encode())) for k, v in licenses.TEMPLATES.items()}
-        shares = {k: max(len({x.decode() for x in v} & b) / len(v) for b in blocks) for k, v in sets.items()}
+        shares = {}
+        for label, notices in licenses.TEMPLATES.items():
+            for n in map(op3_words, notices):
+                half = next(1 << k for k in range(20) if 1 << k >= len(n))
+                blocks = [set(words[s : s + 2 * half]) for s in range(0, max(1, len(words)), half)]
+                shares[label] = max([shares.get(label, 0.0), *(len(set(n) & b) / len(set(n)) for b in blocks)])
         assert r["labels"] == ",".join(sorted({*base, *(k for k, s in shares.items() if s >= 0.8)}))
         assert math.isclose(r["score"], 1.0 if at else max((s for s in shares.values() if s >= 0.8), default=0.0))
-    assert [r["labels"] for r in got if r["doc_id"] in (5, 6)] == ["mit", "mit"]
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert labels[5] == "" and labels[6] == labels[7] == "mit" and labels[10] == labels[11] == "zlib"
+    many = [label for label, notices in licenses.TEMPLATES.items() for _ in notices]
+    assert all(label in labels[12 + k].split(",") for k, label in enumerate(many))
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs_of(spark, []), templates={"x": ("a " * 2_000_001,)})
+
+
+#: The columns that rest on the phrases alone, in SQL.
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, i, CASE WHEN w[i : i + 3] = ['under', 'the', 'mit', 'license'] THEN 'mit' WHEN w[i : i + 3] = ['apache', 'license', 'version', '2'] THEN 'apache-2' WHEN w[i : i + 2] = ['cc', 'by', 'nc'] THEN 'cc-by-nc' END AS label
+ FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+s AS (SELECT doc_id, count(label) AS n_base, min(i - 1) FILTER (WHERE label IS NOT NULL) AS first_word, max(i - 1) FILTER (WHERE label IS NOT NULL) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN s USING (doc_id)
+"""
+
+
+def test_op3_base_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(duckdb.sql(OP3_SQL.replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall())
+    got = licenses.scan_licenses(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert rows_of(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(want, key=repr) and any(r[2] for r in want)
 
 
 def test_op6_brute_force(spark):
@@ -367,7 +463,21 @@ def test_op6_brute_force(spark):
         if q % 100 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in sound if c != q)[:10]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert rows_of(topk.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    for block in (100, 10_000):
+        assert rows_of(topk.top_k(df, block=block), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
+def test_op6_ties_and_unequal_lengths(spark):
+    rng = random.Random(81)
+    rows = [(k, [float(rng.randrange(-2, 3)) for _ in range(rng.randrange(4))]) for k in range(400)] + [(9, [1.0, 2.0])] * 3
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "vec_id long, embedding array<double>, block int")
+    want = []
+    for q, a in {(r[0], tuple(r[1])) for r in rows if r[0] % 100 == 0}:
+        scores = sorted((-sum(int(1024 * x) * int(1024 * y) for x, y in zip(a, b)), c) for c, b in rows if c != q)
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores[:10])]
+    assert rows_of(topk.top_k(df, block=50), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e9])], "vec_id long, embedding array<double>"))
 
 
 def test_op6_fewer_candidates(spark):
@@ -414,6 +524,27 @@ def test_op9_brute_force(spark):
         best = max(fit, key=len, default=None)
         want.append((i, host, path, best, rules.get(best, "allow")))
     assert rows_of(urls.filter_urls(df), "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
+    assert rows_of(urls.filter_urls(df, max_rules=3), "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
+
+
+def test_op9_trie_and_join_agree(spark):
+    """Random entries and urls on both sides of the limit, against a scan of all entries."""
+    rng = random.Random(10)
+    hosts = ["a", "b.a", "c.b.a", "x.a", "net", "q.net", ""]
+    paths = ["", "/", "/en", "/en/", "/en/a", "/en/abc/", "/e", "//", "/a/b/c/d"]
+    entries = [urls.rule(rng.choice(("allow", "block")), rng.choice(hosts[:-1]) + rng.choice(paths)) for _ in range(40)]
+    links = [(k, f"http://{rng.choice(('', 'w.', 'b.'))}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(('', 'x', '/y', '?q'))}") for k in range(300)]
+    df = spark.createDataFrame(links, "page_id long, url string")
+    table = spark.createDataFrame(entries, "verdict string, host string, path string")
+    want = []
+    for k, u in links:
+        host, path = re.match(r"http://([^/?#]*)([^?#]*)", u).groups()
+        fit = [(len(r.host + r.path), len(r.host), r.verdict == "block", r.host + r.path) for r in entries if ("." + host).endswith("." + r.host) and path.startswith(r.path)]
+        best = max(fit, default=None)
+        want.append((k, best and best[3], "block" if best and best[2] else "allow"))
+    for rules, limit in ((entries, 100), (entries, 10), (table, 100), (table, 10)):
+        assert rows_of(urls.filter_urls(df, rules, max_rules=limit), "page_id", "rule", "verdict") == sorted(want, key=repr)
+    assert urls.filter_urls(df.limit(0), table, max_rules=1).count() == 0
 
 
 def test_op5_and_op10_learn(spark):
@@ -430,6 +561,57 @@ def test_op5_and_op10_learn(spark):
     assert (got[900]["lang_pred"], got[901]["lang_pred"], got[900]["score"]) == ("und", "und", 0.0)
 
 
+def brute_sizes(contents, text, level):
+    import zstandard
+
+    return [len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(text)) for c in contents]
+
+
+def test_op5_brute_force(spark):
+    """Whole texts under each language's dictionary, one at a time: the smallest wins; very long texts, ties, columns with clashing names."""
+    rng = random.Random(51)
+    words = {"de": "der die und garten haus fluss ruhig schön", "en": "the and garden house river calm of was", "fr": "le la et jardin maison rivière calme"}
+    rows = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(30)), lang, 0.5, "x") for k, lang in enumerate(rng.choice(list(words)) for _ in range(300))]
+    rows += [(900, "½ ² ① 12", "de", 0.0, None), (901, "", None, 0.0, None), (902, None, "en", 0.0, None), (903, ("garden river " * 60_000), None, 0.0, None), (904, "日本", None, 0.0, None), (None, "haus und garten", "de", 0.0, None), (5, rows[5][1], rows[5][2], 0.0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    names, sizer = compression.learn_languages(docs)
+    assert names == ["de", "en", "fr"]
+    got = {r["doc_id"]: r for r in compression.identify_languages(docs).collect()}
+    assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[904]["lang_pred"] in names and got[903]["lang_pred"] == "en"
+    for k, t in [(r[0], r[1]) for r in rows if r[0] not in (900, 901, 902)]:
+        found = brute_sizes(sizer.contents, compression.letters(t), -3)
+        assert got[k]["lang_pred"] == names[found.index(min(found))]
+        assert math.isclose(got[k]["score"], 1 / sum(math.exp(-(x - min(found)) / (2 + 0.01 * min(found))) for x in found))
+
+
+def test_op10_brute_force(spark):
+    """Scores from the sizes of whole texts; ids that repeat add no rows to the samples, columns may have the result's names."""
+    rng = random.Random(52)
+    good, bad = "the garden was calm and the old house stood by the river".split(), "click buy now cheap win offer prize deal free".split()
+    text = lambda k: " ".join(rng.choice(good if k % 2 else bad) for _ in range(40))
+    rows = [(k, text(k), 0.1, True, 7, "r") for k in range(200)] + [(2, text(2), 0.1, True, 7, "r")] * 3000 + [(3, text(3), 0.1, True, 7, "r")] * 3000
+    rows += [(500, None, 0.1, True, 7, "r"), (501, "", 0.1, True, 7, "r"), (502, " ".join([text(1)] * 3000), 0.1, True, 7, "r"), (None, text(1), 0.1, True, 7, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean, predicted int, row string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    collected = []
+    real = type(docs).collect
+    type(docs).collect = lambda self: collected.append(real(self)) or collected[-1]
+    try:
+        sizer, w = compression.learn_quality(docs, labels, 3, 1, -1, compression.DICT_BYTES)
+    finally:
+        type(docs).collect = real
+    assert max(map(len, collected)) <= 200
+    out = compression.score_quality(docs, labels)
+    assert out.columns == ["doc_id", "text", "row", "held_out", "score", "predicted"] and out.count() == len(rows)
+    for r in out.where("doc_id >= 4 OR doc_id IS NULL").collect():
+        t = (r["text"] or "").encode()
+        lo, hi = brute_sizes(sizer.contents, t, -1)
+        left = min(min(lo, hi) / (len(t) + 20), 1.0)
+        x = [1, (lo - hi) / (lo + hi + 20), left, left * left, math.log1p(len(t)) / 10]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, w)))), rel_tol=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5) and (r["doc_id"] is None or r["doc_id"] >= 500 or r["predicted"] == r["doc_id"] % 2)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     labels, items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id string, text string")
