@@ -202,23 +202,25 @@ def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     )
 
 
+def _key() -> Column:
+    """The source inside a struct: there null equals null, so joins, windows and groups by it share one way of dealing rows out."""
+    return F.struct("source").alias("key")
+
+
 def _laid(docs: DataFrame, sized: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``source, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
-    buckets = max(1, sized.count() // 2_000)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
-    sums = sized.where("size > 0").groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    base = F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")
-    bases = sums.withColumn("base", base).drop("n").alias("b")
+    """``key, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sized.count() // 2_000))).alias("bucket")
+    sums = sized.where("size > 0").groupBy(_key(), bucket).agg(F.sum("size").alias("n"))
+    bases = sums.select("key", "bucket", (F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("base"))
     text = F.col(text_col).cast("string")
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), text.alias("text"))
-    order = W.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
-    full = full.where("size > 0").withColumn("bucket", bucket).withColumn("inside", F.sum("size").over(order)).alias("a")
-    laid = full.join(bases, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")))
-    return laid.select("a.source", "doc_id", "size", (F.col("base") + F.col("inside") - F.col("size")).alias("start"), "text")
+    full = full.where("size > 0").select(_key(), "doc_id", "size", "text", bucket).join(bases, ["key", "bucket"])
+    order = W.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
+    return full.select("key", "doc_id", "size", (F.col("base") + F.sum("size").over(order) - F.col("size")).alias("start"), "text")
 
 
 def pack(laid: DataFrame, block: int) -> DataFrame:
-    """``source, idx, words, parts``: blocks of ``block`` words (the last one of a source may be shorter), joined by a space.
+    """``key, idx, words, parts``: blocks of ``block`` words (the last one of a source may be shorter), joined by a space.
 
     ``parts`` has the documents that a block is made of, in order: ``start`` in the source, ``doc_id``, ``n`` words.
     """
@@ -231,18 +233,17 @@ def pack(laid: DataFrame, block: int) -> DataFrame:
         words = F.array_join(F.slice("all", (low - F.col("start") + 1).cast("int"), n.cast("int")), " ")
         return F.struct(i.alias("idx"), words.alias("words"), n.alias("n"))
 
-    cut = laid.withColumn("all", F.regexp_extract_all("text", F.lit(f"({WORDS})"))).select("source", "start", "doc_id", F.explode(F.transform(ids, piece)).alias("p"))
+    cut = laid.withColumn("all", F.regexp_extract_all("text", F.lit(f"({WORDS})"))).select("key", "start", "doc_id", F.explode(F.transform(ids, piece)).alias("p"))
     held = F.array_sort(F.collect_list(F.struct("start", "doc_id", F.col("p.n").alias("n"), F.col("p.words").alias("words"))))
-    packed = cut.groupBy("source", F.col("p.idx").alias("idx")).agg(held.alias("held"))
+    packed = cut.groupBy("key", F.col("p.idx").alias("idx")).agg(held.alias("held"))
     parts = F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["n"].alias("n")))
-    return packed.select("source", "idx", F.array_join("held.words", " ").alias("words"), parts.alias("parts"))
+    return packed.select("key", "idx", F.array_join("held.words", " ").alias("words"), parts.alias("parts"))
 
 
 def _mixed(laid: DataFrame, plan: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
     # The slots grow with the corpus, though their plan's estimate rests on the few shard numbers they start from.
-    filled = sample_slots(plan, block, slots, seed).hint("merge").alias("b")
-    return pack(laid, block).alias("a").join(filled, same & (F.col("a.idx") == F.col("b.idx"))).select("shard", "slot", "a.source", "a.idx", "pass", "words", "parts")
+    filled = sample_slots(plan, block, slots, seed).select("shard", "slot", _key(), "idx", "pass").hint("merge")
+    return pack(laid, block).join(filled, ["key", "idx"]).select("shard", "slot", "key.source", "idx", "pass", "words", "parts")
 
 
 def mixed_blocks(
@@ -275,11 +276,9 @@ def mix(
     """
     sized = materialise(sized_documents(docs, id_col, text_col, source_col))
     plan = materialise(targets(sized, weights, repeat))
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
     laid = _laid(docs, sized, id_col, text_col, source_col)
     mixed = materialise(_mixed(laid, plan, block, slots, seed))
-    used = mixed.select("source", F.explode("parts").alias("p")).groupBy("source", "p.start").agg(F.sum("p.n").alias("taken")).alias("b")
-    got = laid.drop("text").alias("a").join(used, same & (F.col("a.start") == F.col("b.start")), "left")
-    got = got.select("a.source", "a.start", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
-    every = got.drop("start").unionByName(sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))).alias("a")
-    return every.join(plan.alias("b"), same).select("doc_id", "a.source", "size", "source_size", "target", "taken")
+    used = mixed.select(_key(), F.explode("parts").alias("p")).groupBy("key", "p.start").agg(F.sum("p.n").alias("taken"))
+    got = laid.drop("text").join(used, ["key", "start"], "left").select("key", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    every = got.unionByName(sized.where("size = 0").select(_key(), "doc_id", "size", F.lit(0).cast("long").alias("taken")))
+    return every.join(plan.withColumn("key", _key()).drop("source"), "key").select("doc_id", "key.source", "size", "source_size", "target", "taken")
