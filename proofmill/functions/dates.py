@@ -1,52 +1,84 @@
-"""Dates written in many ways: native for numeric forms, a vectorised parser for the rest."""
+"""Dates written in many ways: native for the usual forms, a vectorised parser for the rest."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ISO, _DAY_FIRST = r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:[T ].*)?\s*$", r"^\s*(\d{1,2}[/.-]\d{1,2}[/.-]\d{4})\s*$"
+from .text import let
+
+_CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?|(?:0?\d|1[0-2]):[0-5]\d(?::[0-5]\d)?\s*[AP]M"
+_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+_GAP = r"(?:\s*[-/.,]\s*|\s+)"
+#: The forms that are read natively, each with a time of day after it or not.
+FORMS = (
+    r"(?<y1>\d{4})(?<s1>[-/.])(?<p1>\d{1,2})\k<s1>(?<q1>\d{1,2})",
+    r"(?<y2>\d{4})(?<p2>\d{2})(?<q2>\d{2})",
+    r"(?<a>\d{1,2})(?<s2>[-/.])(?<b>\d{1,2})\k<s2>(?<y3>\d{4}|\d{2})",
+    rf"(?<d4>\d{{1,2}})(?:st|nd|rd|th)?{_GAP}(?<m4>{_MONTHS}){_GAP}(?<y4>\d{{4}}|\d{{2}})",
+    rf"(?<m5>{_MONTHS}){_GAP}(?<d5>\d{{1,2}})(?:st|nd|rd|th)?{_GAP}(?<y5>\d{{4}}|\d{{2}})",
+)
+_PATTERN = rf"(?i)^\s*(?:{'|'.join(FORMS)})(?:[T ]\s*(?:{_CLOCK}))?\s*$"
+#: Years, separator and parts of a date that begins with its year; parts and year of others; day and month name.
+_PARTS = "\x01${y1}${y2}|${s1}|${p1}${p2}|${q1}${q2}|${a}|${b}|${y3}${y4}${y5}|${d4}${d5}|${m4}${m5}"
+
+
+def native_date(x: Column, iso_day_first: bool) -> Column:
+    """Dates in one of ``FORMS``; null for all other texts.
+
+    The day comes first, and gives way where the month would pass 12. Behind a leading year too: ``2025/10/05`` is
+    the tenth of May, and ``iso_day_first`` says whether ``2025-10-05`` is as well, as the verification rules
+    have it; the identity rules read it as the fifth of October. A year of two digits lies within fifty years.
+    """
 
+    def read(parts: Column) -> Column:
+        part = lambda i: F.get(parts, i)
+        number = lambda i: part(i).try_cast("int")
+        date = lambda year, month, day: F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")).try_cast("date")
+        year = F.when(F.length(part(6)) == 4, number(6)).when(2000 + number(6) >= F.year(F.current_date()) + 50, 1900 + number(6)).otherwise(2000 + number(6))
+        swaps = (number(3) <= 12) if iso_day_first else (number(3) <= 12) & (part(1) != "-")
+        month = ((F.position(F.lower(F.substring(part(8), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
+        return (
+            F.when(part(2) != "", F.when(swaps, date(number(0), number(3), number(2))).otherwise(date(number(0), number(2), number(3))))
+            .when(part(8) != "", date(year, month, number(7)))
+            .when((number(4) > 12) | (number(5) <= 12), date(year, number(5), number(4)))
+            .otherwise(date(year, number(4), number(5)))
+        )
 
-def numeric_date(x: Column, iso_day_first: bool) -> Column:
-    """Dates in digits only. Two-part ambiguity reads the day first and swaps if the month would pass 12.
+    found = F.regexp_replace(x.cast("string"), _PATTERN, _PARTS)
+    return F.when(found.startswith("\x01"), let(F.split(F.substring(found, 2, 1 << 20), "[|]"), read))
 
-    ``iso_day_first`` reads ``2025-10-05`` as the tenth of May, as the verification rules do; the
-    identity rules read it as the fifth of October.
-    """
-    x = x.cast("string")
-    iso, short = F.regexp_extract(x, _ISO, 1), F.translate(F.regexp_extract(x, _DAY_FIRST, 1), ".-", "//")
-    forms = [(iso, "yyyy-d-M")] * iso_day_first + [(iso, "yyyy-M-d"), (short, "d/M/yyyy"), (short, "M/d/yyyy")]
-    return F.coalesce(*(F.try_to_timestamp(part, F.lit(form)).cast("date") for part, form in forms))
 
+@F.pandas_udf("date")
+def _free_text(texts: pd.Series, iso_day_first: pd.Series) -> pd.Series:
+    from dateutil import parser
 
-def _fuzzy(day_first_iso: bool):
-    import re
+    def one(t: str | None, day_first: bool):
+        if not t:
+            return None
+        try:
+            return parser.parse(t, dayfirst=bool(day_first) or not re.match(r"\s*\d{4}-\d{1,2}-\d{1,2}", t), fuzzy=True).date()
+        except Exception:
+            return None
 
-    @F.pandas_udf("date")
-    def parse(texts: pd.Series) -> pd.Series:
-        from dateutil import parser
+    return pd.Series([one(t, d) for t, d in zip(texts, iso_day_first)], dtype=object)
 
-        def one(t):
-            if not t:
-                return None
-            try:
-                return parser.parse(t, dayfirst=day_first_iso or not re.match(r"^\s*\d{4}-\d{1,2}-\d{1,2}", t), fuzzy=True).date()
-            except Exception:
-                return None
 
-        return texts.map(one)
+_free_text = _free_text.asNondeterministic()  # it reads the clock; so, too, no plan evaluates it twice
 
-    return parse
 
+def parse_date(x: Column, fuzzy: bool = True, iso_day_first: bool = True) -> Column:
+    """The date in ``x``. Unless ``fuzzy`` is off, what the native forms cannot read goes to a parser of free text.
 
-def parse_date(x: Column, fuzzy: bool = False, iso_day_first: bool = True) -> Column:
-    """The date in ``x``. ``fuzzy`` sends only what the native forms cannot read to a parser of free text."""
-    native = numeric_date(x, iso_day_first)
-    return F.coalesce(native, _fuzzy(iso_day_first)(F.when(native.isNull(), x.cast("string")))) if fuzzy else native
+    That parser fills missing parts from the current day. Rows that are read natively reach it as nulls.
+    """
+    native = native_date(x, iso_day_first)
+    return F.coalesce(native, _free_text(F.when(native.isNull(), x.cast("string")), F.lit(iso_day_first))) if fuzzy else native
 
 
-def pay_month(x: Column, fuzzy: bool = False) -> Column:
+def pay_month(x: Column, fuzzy: bool = True) -> Column:
     """``YYYY-MM`` of a payment date, ISO dates read as written."""
     return F.date_format(parse_date(x, fuzzy, iso_day_first=False), "yyyy-MM")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_name
+from .text import let, norm_name
 
 #: Words that carry no identity.
 GENERIC = (
@@ -15,7 +15,7 @@ GENERIC = (
     "technologies technology solutions international care and the of for"
 ).split()
 
-#: A payment handle: local part, ``@``, and a provider that no letter follows.
+#: Fixed value: a payment handle is a local part, ``@``, and a provider that no letter follows.
 HANDLE = r"\b([a-z0-9][a-z0-9._-]{1,63})@([a-z][a-z0-9]{1,15})(?!\.?[a-z])"
 
 
@@ -43,12 +43,16 @@ def token_match(accepted: Column, token: Column) -> Column:
     ).otherwise(accepted == token)
 
 
-def soft_match(candidate: Column, name: Column) -> Column:
-    """A normalised payee against a name: containment either way, or one distinctive token."""
-    n = norm_name(name)
-    tokens = F.split(candidate, " ")
-    anchored = F.exists(distinctive(n), lambda t: F.exists(tokens, lambda c: token_match(t, c)))
-    return (n != "") & (candidate != "") & (field_match(n, candidate) | anchored)
+def profile(name: Column) -> Column:
+    """What matching needs of an accepted name: ``struct(name, norm, tokens, pattern)``."""
+    of = lambda n: F.struct(name.alias("name"), n.alias("norm"), distinctive(n).alias("tokens"), name_pattern(n).alias("pattern"))
+    return let(norm_name(name), of)
+
+
+def soft_match(candidate: Column, candidate_tokens: Column, accepted: Column) -> Column:
+    """A normalised payee against the :func:`profile` of a name: containment either way, or one distinctive token."""
+    anchored = F.exists(accepted["tokens"], lambda t: F.exists(candidate_tokens, lambda c: token_match(t, c)))
+    return (accepted["norm"] != "") & (candidate != "") & (field_match(accepted["norm"], candidate) | anchored)
 
 
 def word_in_text(name: Column, text: Column) -> Column:
@@ -60,24 +64,24 @@ def handles(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(HANDLE), F.lit(0)))
 
 
-def name_pattern(name: Column) -> Column:
-    """A pattern for handle segments that consist of the name's tokens, their beginnings and digits, with one distinctive token whole."""
-    n = norm_name(name)
+def name_pattern(n: Column) -> Column:
+    """A pattern for handle segments that consist of the name's tokens, their beginnings and digits, with one distinctive token whole.
+
+    ``n`` is a normalised name.
+    """
     starts = lambda t: F.transform(F.sequence(F.least(F.lit(3), F.length(t)), F.length(t)), lambda i: F.substr(t, F.lit(1), i))
-    pieces = F.array_join(F.flatten(F.transform(F.filter(F.split(n, " "), lambda t: t != ""), starts)), "|")
+    pieces = F.array_join(F.array_distinct(F.flatten(F.transform(F.filter(F.split(n, " "), lambda t: t != ""), starts))), "|")
     own = F.array_join(distinctive(n), "|")
     piece = F.concat(F.lit("(?:"), pieces, F.lit("|[0-9])*"))
     return F.when(own != "", F.concat(F.lit("^"), piece, F.lit("(?:"), own, F.lit(")"), piece, F.lit("$")))
 
 
-def handle_hit(text: Column, names: Column) -> Column:
-    """``struct(name, handle)`` of the first name, then the first handle on the document that carries it; else null."""
-    found = handles(text)
+def handle_hit(found: Column, accepted: Column) -> Column:
+    """``struct(name, handle)`` of the first name, then the first of the handles ``found`` that carries it; else null."""
 
     def of(name: Column) -> Column:
-        pattern = name_pattern(name)
         segments = lambda h: F.split(F.element_at(F.split(h, "@"), 1), "[._-]")
-        hit = F.filter(found, lambda h: F.exists(segments(h), lambda s: (s != "") & F.rlike(s, pattern)))
-        return F.struct(name.alias("name"), F.get(hit, 0).alias("handle"))
+        hit = F.filter(found, lambda h: F.exists(segments(h), lambda s: (s != "") & F.rlike(s, name["pattern"])))
+        return F.struct(name["name"].alias("name"), F.get(hit, 0).alias("handle"))
 
-    return F.when(F.size(found) > 0, F.get(F.filter(F.transform(names, of), lambda x: x["handle"].isNotNull()), 0))
+    return F.when(F.size(found) > 0, F.get(F.filter(F.transform(accepted, of), lambda x: x["handle"].isNotNull()), 0))

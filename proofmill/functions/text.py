@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ NUMBER = r"[0-9]+(\.[0-9]{1,2})?"
 BLANKS = ("", "null", "none", "nan")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -82,3 +89,13 @@ def content_id(columns: list[str]) -> Column:
 
     parts = [F.concat(quoted(F.lit(c)), F.lit(": "), F.coalesce(quoted(F.col(c).cast("string")), F.lit("null"))) for c in sorted(columns)]
     return F.concat(F.lit("LEAD-"), F.substring(F.sha1(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))), 1, 12))
+
+
+def as_object(x: Column) -> Column:
+    """JSON text as a variant; blank and broken texts are an empty object."""
+    return F.coalesce(F.try_parse_json(F.coalesce(F.nullif(x, F.lit("")), F.lit("{}"))), F.parse_json(F.lit("{}")))
+
+
+def utc(x: Column) -> Column:
+    """A time of day and date as text, to the second, in UTC (the session's time zone is UTC; texts without a zone count as UTC)."""
+    return F.date_format(x.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")

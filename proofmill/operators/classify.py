@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,7 @@ OUTGOING = (
 
 
 def _has(low: Column, words: tuple[str, ...]) -> Column:
-    out = F.contains(low, F.lit(words[0]))
-    for w in words[1:]:
-        out = out | F.contains(low, F.lit(w))
-    return out
+    return low.rlike("|".join(map(re.escape, words)))
 
 
 def _low(x: Column) -> Column:
@@ -77,6 +76,26 @@ def is_candidate(full_text: Column, columns: dict[str, Column]) -> Column:
     return out
 
 
+def stage_two(document_type: Column, full_text: Column, describes: Column, fields: dict[str, Column]) -> Column:
+    """``struct(is_document, reason, payment_method, text_len, markers, fields)``: what the classification stage says of an extraction."""
+    found = F.struct(markers(full_text).alias("markers"), evidence_fields(fields).alias("fields"))
+
+    def say(e: Column) -> Column:
+        some, hard = F.size(e["markers"]) > 0, F.size(e["fields"]) > 0
+        parts = F.array_compact(F.array(F.when(hard, F.concat(F.lit("fields:"), F.array_join(e["fields"], ","))), F.when(some, F.concat(F.size(e["markers"]).cast("string"), F.lit(" text marker(s)")))))
+        filled = lambda x: F.nullif(x.cast("string"), F.lit(""))
+        other = F.coalesce(filled(describes), filled(document_type), F.lit("no payment content"))
+        reason = F.when(some | hard, F.concat(F.lit("payment document ("), F.array_join(parts, "; "), F.lit(")"))).otherwise(
+            F.concat(F.lit("non-document — no payment evidence ("), other, F.lit(")")))
+        return F.struct((some | hard).alias("is_document"), reason.alias("reason"), e["markers"].alias("markers"), e["fields"].alias("fields"))
+
+    v = text.let(found, say)
+    return text.let(v, lambda x: F.struct(
+        x["is_document"].alias("is_document"), x["reason"].alias("reason"), payment_method(document_type, full_text).alias("payment_method"),
+        F.length(F.coalesce(full_text, F.lit(""))).alias("text_len"), x["markers"].alias("markers"), x["fields"].alias("fields"),
+    ))
+
+
 def payment_method(document_type: Column, full_text: Column) -> Column:
     kind, low = _low(document_type), _low(full_text)
     out = F.when(F.lit(False), F.lit(""))
@@ -105,11 +124,15 @@ def precomputed(ex=lambda c: F.col(c)) -> list[Column]:
     ]
 
 
+#: Fields of a model's answer whose blank words count as missing.
 FIELDS = ("loan_account_number", "amount", "date", "time", "reference_id", "receiver_name", "payer_name")
 
 
 def coerce_model_output(content: Column) -> Column:
-    """The JSON object inside a model's answer as a struct; answers without one keep 500 characters of text."""
+    """The JSON object inside a model's answer as a struct of texts; answers without one keep 500 characters of text.
+
+    ``is_payment_document`` is the model's word as it stands (``true``, ``yes``): no decision rests on it.
+    """
     body = F.nullif(F.regexp_extract(F.coalesce(content, F.lit("")), r"(?s)\{.*\}", 0), F.lit(""))
     v = F.try_parse_json(body)
     read = lambda n, kind="string": F.try_variant_get(v, f"$.{n}", kind)
@@ -117,7 +140,7 @@ def coerce_model_output(content: Column) -> Column:
     why = F.when(body.isNull(), "unreadable model output").when(v.isNull(), "unparseable model output")
     raw = F.substring(F.coalesce(content, F.lit("")), 1, 500)
     return F.struct(
-        F.coalesce(read("is_payment_document", "boolean"), F.lit(False)).alias("is_payment_document"),
+        F.coalesce(read("is_payment_document"), F.lit("false")).alias("is_payment_document"),
         F.coalesce(why, read("describes")).alias("describes"),
         F.when(why.isNotNull(), "other").otherwise(read("document_type")).alias("document_type"),
         *(clean(n) for n in FIELDS),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,19 +13,33 @@ from ..functions import dates, text
 IDENTITY = ("lead_code", "loan_acct", "amount", "pay_ym")
 
 
-def with_identity(leads: DataFrame, fuzzy_dates: bool = False) -> DataFrame:
+def with_identity(leads: DataFrame, fuzzy_dates: bool = True) -> DataFrame:
     """Add ``identity``: a struct of the four parts, null if one is missing."""
     parts = {
         "lead_code": F.nullif(text.strip(F.col("lead_code")), F.lit("")), "loan_acct": F.nullif(text.loan_key(F.col("loan_account_number")), F.lit("")),
         "amount": text.amount(F.col("payment_amount")), "pay_ym": dates.pay_month(F.col("payment_date"), fuzzy_dates),
     }
-    # Two projections, so that the parts are evaluated once.
-    df = leads.withColumn("identity", F.struct(*(p.alias(n) for n, p in parts.items())))
-    missing = [F.col(f"identity.{n}").isNull() for n in IDENTITY]
-    return df.withColumn("identity", F.when(~reduce(lambda a, b: a | b, missing), F.col("identity")))
+    whole = lambda i: F.when(reduce(lambda a, b: a & b, [i[n].isNotNull() for n in IDENTITY]), i)
+    return leads.withColumn("identity", text.let(F.struct(*(p.alias(n) for n, p in parts.items())), whole))
 
 
-def dedup_verdicts(leads: DataFrame, ledger: DataFrame | None = None, order: str = "seq", fuzzy_dates: bool = False) -> DataFrame:
+def identity_text(identity: str = "identity") -> Column:
+    """The identity as people read it; blank if there is none."""
+    return F.when(F.col(identity).isNull(), "").otherwise(F.concat_ws(" | ", *(F.col(f"{identity}.{n}").cast("string") for n in IDENTITY)))
+
+
+def ledger_rows(jobs: DataFrame, results: DataFrame, order: str = "seq") -> DataFrame:
+    """``lead_id, is_test`` and the identity's parts of the claims that processed real leads make: the first lead of each identity.
+
+    ``jobs`` has the leads' columns; :func:`dedup_verdicts` takes the result as its ``ledger``.
+    """
+    done = results.where("NOT is_test").select("lead_id")
+    known = with_identity(jobs.where("NOT is_test").join(done, "lead_id", "left_semi")).where("identity IS NOT NULL")
+    first = F.min_by("lead_id", F.struct(F.col(order), F.col("lead_id"))).alias("lead_id")
+    return known.select("lead_id", "is_test", F.col(order), "identity.*").groupBy("is_test", *IDENTITY).agg(first).select("lead_id", "is_test", *IDENTITY)
+
+
+def dedup_verdicts(leads: DataFrame, ledger: DataFrame | None = None, order: str = "seq", fuzzy_dates: bool = True) -> DataFrame:
     """Add ``dedup`` (skip, new, duplicate, emi, manual_review) and ``owner``, the first lead of the identity.
 
     Leads count in the order of ``order``, then ``lead_id``, within real and test rows apart. ``ledger`` holds

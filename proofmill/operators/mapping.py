@@ -39,7 +39,7 @@ class Mapping:
         )
 
 
-def map_rows(raw: DataFrame, m: Mapping, fuzzy_dates: bool = False) -> DataFrame:
+def map_rows(raw: DataFrame, m: Mapping, fuzzy_dates: bool = True) -> DataFrame:
     """Canonical columns, unmapped columns, ``lead_id`` and ``reason``: null for valid rows, else the first failed check."""
     canon = {c: s for c, s in m.fields.items() if c != "image"}
     col = lambda s: F.col(f"`{s}`") if s in raw.columns else F.lit(None).cast("string")

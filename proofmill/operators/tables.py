@@ -64,6 +64,14 @@ def fail(jobs: DataFrame, errors: DataFrame) -> DataFrame:
     }).drop("error")
 
 
+def requeue(jobs: DataFrame) -> DataFrame:
+    """Failed jobs wait again, with all their attempts."""
+    failed = F.col("status") == "failed"
+    return jobs.withColumns({
+        "attempts": F.when(failed, 0).otherwise(F.col("attempts")), "last_error": F.when(~failed, F.col("last_error")), "status": F.when(failed, "pending").otherwise(F.col("status")),
+    })
+
+
 def backoff_seconds(over: Column, base: float = 8.0, cap: float = 60.0) -> Column:
     """Pause of the circuit breaker after ``over`` failures beyond its threshold, before jitter."""
     return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), over))

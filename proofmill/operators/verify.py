@@ -38,15 +38,20 @@ def load_lender_table(spark: SparkSession, rules_path: str, receivers_path: str)
 
 
 def with_rule(leads: DataFrame, lenders: DataFrame, lender: str = "institute_name") -> DataFrame:
-    """Add ``rule``: the lender's own, else the default's without receivers."""
-    named = lenders.where("lender <> '__default__'").select(F.col("lender").alias("__l"), F.struct(*lenders.columns).alias("own"))
-    default = lenders.where("lender = '__default__'").select(F.struct(*lenders.columns).alias("base"))
-    joined = leads.join(F.broadcast(named), F.col(lender) == F.col("__l"), "left").crossJoin(F.broadcast(default.limit(1)))
-    return joined.withColumn("rule", F.coalesce("own", F.col("base").withField("receivers", F.array().cast("array<string>")))).drop("own", "base", "__l")
+    """Add ``rule``: the lender's own, else the default's without receivers; ``accepted`` in it has the receivers' profiles.
+
+    ``lenders`` is configuration with a row for each lender; more than ``MAX_LENDERS`` rows are joined by a shuffle.
+    """
+    hint = F.broadcast if lenders.limit(MAX_LENDERS + 1).count() <= MAX_LENDERS else lambda df: df
+    full = lenders.withColumn("accepted", F.transform("receivers", names.profile))
+    named = full.where("lender <> '__default__'").select(F.col("lender").alias("__l"), F.struct(*full.columns).alias("own"))
+    default = full.where("lender = '__default__'").select(F.struct(*full.columns).alias("base"))
+    joined = leads.join(hint(named), F.col(lender) == F.col("__l"), "left").crossJoin(F.broadcast(default.limit(1)))
+    bare = F.col("base").withField("receivers", F.array().cast("array<string>")).withField("accepted", F.filter("base.accepted", lambda _: F.lit(False)))
+    return joined.withColumn("rule", F.coalesce("own", bare)).drop("own", "base", "__l")
 
 
-def check_amount(doc: Column, sys: Column, tol: Column) -> Column:
-    d, s = text.num(doc), text.num(sys)
+def check_amount(d: Column, s: Column, tol: Column) -> Column:
     two = lambda x: F.format_string("%.2f", x)
     return _result(
         (d.isNull(), False, F.lit("amount not readable on document")),
@@ -67,28 +72,38 @@ def check_date(d: Column, s: Column, tol: Column) -> Column:
 
 
 def check_receiver(receiver: Column, full_text: Column, lender: Column, allow: Column) -> Column:
-    """Own name, then allowed names, then a payment handle; a payee that matches none fails; without a payee, whole words of the text."""
-    own, cand, body = names.self_names(lender), text.norm_name(receiver), text.norm_name(full_text)
-    first = lambda pool: F.get(F.filter(pool, lambda n: names.soft_match(cand, n)), 0)
-    by_own, by_allow = first(own), first(allow)
-    hit = names.handle_hit(full_text, F.concat(own, allow))
-    written = F.get(F.filter(F.concat(allow, own), lambda n: names.word_in_text(text.norm_name(n), body)), 0)
-    who, some = text.strip(receiver), F.size(allow) > 0
-    say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    return _result(
-        (by_own.isNotNull(), True, say("receiver matches lender name '", by_own, "'")),
-        (by_allow.isNotNull(), True, say("receiver matches approved receiver '", by_allow, "'")),
-        (hit.isNotNull(), True, say("receiver UPI id '", hit["handle"], "' carries '", hit["name"], "'")),
-        ((cand != "") & some, False, say("receiver '", who, "' is not among accepted names for ", lender)),
-        (cand != "", False, say("receiver '", who, "' does not match ", lender, " (no allowlist configured)")),
-        (written.isNotNull(), True, say("payee not in a field; '", written, "' found on document")),
-        (some, False, say("receiver unreadable and no accepted name found on document for ", lender)),
-        (F.lit(True), False, say("no accepted-receiver list configured for ", lender, ", and lender name not found on document")),
-    )
+    """Own name, then allowed names, then a payment handle; a payee that matches none fails; without a payee, whole words of the text.
 
+    ``allow`` holds profiles of names (:func:`names.profile`).
+    """
+    say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
-def check_lan(doc: Column, sys: Column) -> Column:
-    d, s = text.digits(doc), text.digits(sys)
+    def judge(v: Column) -> Column:
+        cand, own, who, some = v["cand"], v["own"], text.strip(receiver), F.size(allow) > 0
+        first = lambda pool: F.get(F.filter(pool, lambda n: names.soft_match(cand, v["tokens"], n)), 0)["name"]
+        written = lambda body: F.get(F.filter(F.concat(allow, own), lambda n: names.word_in_text(n["norm"], body)), 0)["name"]
+        ok = lambda hit, *message: F.when(hit.isNotNull(), F.struct(F.lit(True).alias("ok"), say(*message).alias("msg")))
+        return F.coalesce(
+            text.let(first(own), lambda n: ok(n, "receiver matches lender name '", n, "'")),
+            text.let(first(allow), lambda n: ok(n, "receiver matches approved receiver '", n, "'")),
+            text.let(names.handle_hit(names.handles(full_text), F.concat(own, allow)), lambda h: ok(h, "receiver UPI id '", h["handle"], "' carries '", h["name"], "'")),
+            _result(
+                ((cand != "") & some, False, say("receiver '", who, "' is not among accepted names for ", lender)),
+                (cand != "", False, say("receiver '", who, "' does not match ", lender, " (no allowlist configured)")),
+            ),
+            text.let(text.let(text.norm_name(full_text), written), lambda n: ok(n, "payee not in a field; '", n, "' found on document")),
+            _result(
+                (some, False, say("receiver unreadable and no accepted name found on document for ", lender)),
+                (F.lit(True), False, say("no accepted-receiver list configured for ", lender, ", and lender name not found on document")),
+            ),
+        )
+
+    pool = F.transform(names.self_names(lender), names.profile)
+    known = lambda cand: F.struct(cand.alias("cand"), F.split(cand, " ").alias("tokens"), pool.alias("own"))
+    return text.let(text.let(text.norm_name(receiver), known), judge)
+
+
+def check_lan(d: Column, s: Column) -> Column:
     return _result(
         (d == "", False, F.lit("loan account number not readable on document")),
         (s == "", False, F.lit("system loan account number missing")),
@@ -106,37 +121,44 @@ def _result(*rules: tuple[Column, bool, Column]) -> Column:
     return out
 
 
-def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = False) -> DataFrame:
-    """Add the verdict to rows that hold the system's and the document's fields.
+def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only: Column | None = None) -> DataFrame:
+    """Add the verdict to rows that hold the system's and the document's fields; rows where ``only`` is not true get nulls.
 
     Reads ``institute_name, payment_amount, payment_date, loan_account_number`` and the document's ``doc_amount,
     doc_date, doc_receiver, doc_lan, doc_text``. Adds ``status, reason, failed_fields, matched_fields, flag,
     date_gap_days, amount_delta, details``. One narrow projection; only the lender table is joined, as a broadcast.
     """
-    df = with_rule(leads, lenders)
     c = F.col
-    df = df.withColumns({"__d": dates.parse_date(c("doc_date"), fuzzy_dates), "__s": dates.parse_date(c("payment_date"), fuzzy_dates)})
-    df = df.withColumn("__checks", F.struct(
-        check_date(c("__d"), c("__s"), c("rule.date_tol")).alias("date"),
-        check_amount(c("doc_amount"), c("payment_amount"), c("rule.amt_tol")).alias("amount"),
-        check_receiver(c("doc_receiver"), c("doc_text"), c("institute_name"), c("rule.receivers")).alias("receiver"),
-        check_lan(c("doc_lan"), c("loan_account_number")).alias("loan_account_number"),
-    ))
-    one = lambda f: F.coalesce(*(F.when(f == n, c(f"__checks.{n}")) for n in CHECKS))
-    results = F.transform(c("rule.mandatory"), lambda f: F.struct(f.alias("field"), one(f)["ok"].alias("ok"), one(f)["msg"].alias("msg")))
-    df = df.withColumn("__r", results)
-    bad = F.filter("__r", lambda r: ~r["ok"])
+    df = with_rule(leads, lenders)
+    read = F.struct(
+        dates.parse_date(c("doc_date"), fuzzy_dates).alias("dd"), dates.parse_date(c("payment_date"), fuzzy_dates).alias("sd"), text.num(c("doc_amount")).alias("da"),
+        text.num(c("payment_amount")).alias("sa"), text.digits(c("doc_lan")).alias("dl"), text.digits(c("loan_account_number")).alias("sl"),
+    )
+
+    def checked(v: Column) -> Column:
+        by_field = {
+            "date": check_date(v["dd"], v["sd"], c("rule.date_tol")), "amount": check_amount(v["da"], v["sa"], c("rule.amt_tol")),
+            "receiver": check_receiver(c("doc_receiver"), c("doc_text"), c("institute_name"), c("rule.accepted")), "loan_account_number": check_lan(v["dl"], v["sl"]),
+        }
+        one = lambda f: F.coalesce(*(F.when(f == n, check) for n, check in by_field.items()))
+        results = F.transform(c("rule.mandatory"), lambda f: text.let(one(f), lambda x: F.struct(f.alias("field"), x["ok"].alias("ok"), x["msg"].alias("msg"))))
+        gap, delta = F.abs(F.datediff(v["dd"], v["sd"])), F.round(F.abs(v["da"] - v["sa"]), 2)
+        return F.struct(results.alias("r"), gap.alias("gap"), delta.alias("delta"))
+
+    df = df.withColumn("__v", text.let(read, checked) if only is None else F.when(only, text.let(read, checked)))
+    judged = lambda x: F.when(c("__v").isNotNull(), x)
+    bad = F.filter("__v.r", lambda r: ~r["ok"])
     recon, incoming = c("rule.reconciliation"), classify.incoming_credit(c("doc_text"))
     of = lambda kind: F.array(F.lit(kind))
     why = F.array_join(F.transform(bad, lambda r: F.concat(r["field"], F.lit(": "), r["msg"])), "; ")
     return df.withColumns({
-        "status": F.when(~recon & ~incoming & (F.size(bad) == 0), "verified").otherwise("unverified"),
-        "reason": F.when(recon, "requires cash-deposit reconciliation - not verifiable from document alone").when(
-            incoming, "looks like an incoming credit to your own account, not an outgoing loan repayment - needs review").otherwise(why),
-        "failed_fields": F.when(recon, of("reconciliation")).when(incoming, of("direction")).otherwise(F.transform(bad, lambda r: r["field"])),
-        "matched_fields": F.transform(F.filter("__r", lambda r: r["ok"] & ~recon), lambda r: r["field"]),
-        "flag": F.when(~recon & incoming, "incoming_credit"),
-        "date_gap_days": F.abs(F.datediff("__d", "__s")),
-        "amount_delta": F.round(F.abs(text.num(c("doc_amount")) - text.num(c("payment_amount"))), 2),
-        "details": F.map_from_entries(F.transform("__r", lambda r: F.struct(r["field"], r["msg"]))),
-    }).drop("__d", "__s", "__checks", "__r", "rule")
+        "status": judged(F.when(~recon & ~incoming & (F.size(bad) == 0), "verified").otherwise("unverified")),
+        "reason": judged(F.when(recon, "requires cash-deposit reconciliation - not verifiable from document alone").when(
+            incoming, "looks like an incoming credit to your own account, not an outgoing loan repayment - needs review").otherwise(why)),
+        "failed_fields": judged(F.when(recon, of("reconciliation")).when(incoming, of("direction")).otherwise(F.transform(bad, lambda r: r["field"]))),
+        "matched_fields": F.transform(F.filter("__v.r", lambda r: r["ok"] & ~recon), lambda r: r["field"]),
+        "flag": judged(F.when(~recon & incoming, "incoming_credit")),
+        "date_gap_days": c("__v.gap"),
+        "amount_delta": c("__v.delta"),
+        "details": F.map_from_entries(F.transform("__v.r", lambda r: F.struct(r["field"], r["msg"]))),
+    }).drop("__v", "rule")

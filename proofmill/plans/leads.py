@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import classify, dedup, verify
+from ..operators import classify, dedup, tables, verify
 
 DOC = ("doc_amount", "doc_date", "doc_receiver", "doc_lan", "doc_text")
 
 
-def process(leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ledger: DataFrame | None = None, fuzzy_dates: bool = False) -> DataFrame:
+def with_documents(leads: DataFrame, extractions: DataFrame, how: str = "left") -> DataFrame:
+    """``leads`` with their document's fields, ``doc_amount`` and so on, and ``has_doc``."""
+    docs = extractions.select(
+        "lead_id", F.col("amount").alias("doc_amount"), "doc_date", F.col("receiver_name").alias("doc_receiver"),
+        F.col("loan_account_number").alias("doc_lan"), F.col("full_text").alias("doc_text"), F.lit(True).alias("has_doc"),
+    )
+    return leads.join(docs, "lead_id", how)
+
+
+def process(leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ledger: DataFrame | None = None, fuzzy_dates: bool = True) -> DataFrame:
     """The final row of every lead: ``status`` of duplicate, unprocessed, non_document, verified or unverified, with its reasons.
 
     Duplicates stop before any document is read; leads without an extraction are unprocessed; documents
@@ -20,16 +29,12 @@ def process(leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ledger
     """
     judged = dedup.dedup_verdicts(leads, ledger, fuzzy_dates=fuzzy_dates)
     ids = [c for c in leads.columns]
-    docs = extractions.select(
-        "lead_id", F.col("amount").alias("doc_amount"), "doc_date", F.col("receiver_name").alias("doc_receiver"),
-        F.col("loan_account_number").alias("doc_lan"), F.col("full_text").alias("doc_text"), F.lit(True).alias("has_doc"),
-    )
     stopped = judged.where("dedup = 'duplicate'")
-    alive = judged.where("dedup <> 'duplicate'").join(docs, "lead_id", "left")
+    alive = with_documents(judged.where("dedup <> 'duplicate'"), extractions)
     evidence = classify.is_candidate(F.col("doc_text"), {"amount": F.col("doc_amount"), "loan_account_number": F.col("doc_lan")})
-    seen = verify.verify(alive, lenders, fuzzy_dates)
+    seen = verify.verify(alive.withColumn("__evidence", evidence), lenders, fuzzy_dates, F.col("has_doc") & F.col("__evidence"))
     none = F.array().cast("array<string>")
-    held, unread, blank = F.col("dedup") == "manual_review", F.col("has_doc").isNull(), ~evidence
+    held, unread, blank = F.col("dedup") == "manual_review", F.col("has_doc").isNull(), ~F.col("__evidence")
     status = F.when(unread, "unprocessed").when(blank, "non_document").when(held, "unverified").otherwise(F.col("status"))
     reason = F.when(unread, "image never reached OCR").when(blank, "not a valid payment document").when(
         held, "different loan account under an already-seen lead_code - needs review").otherwise(F.col("reason"))
@@ -60,8 +65,7 @@ def reverify(results: DataFrame, leads: DataFrame, extractions: DataFrame, lende
     held = F.coalesce(F.get_json_object("outcome", "$.flag"), F.lit("")) == "different_loan_account_same_lead_code"
     scan = results.where(F.col("verification_status").isin("verified", "unverified") & ~held)
     scan = scan.join(ids, "lead_id", "left_semi") if ids is not None else scan
-    docs = extractions.select("lead_id", F.col("amount").alias("doc_amount"), "doc_date", F.col("receiver_name").alias("doc_receiver"), F.col("loan_account_number").alias("doc_lan"), F.col("full_text").alias("doc_text"))
-    rows = scan.select("lead_id", F.col("verification_status").alias("old")).join(leads.drop("is_test"), "lead_id").join(docs, "lead_id")
+    rows = with_documents(scan.select("lead_id", F.col("verification_status").alias("old")).join(leads.drop("is_test"), "lead_id"), extractions, "inner")
     again = verify.verify(rows, lenders)
     return again.select("lead_id", "old", F.col("status").alias("new"), (F.col("old") != F.col("status")).alias("changed"))
 
@@ -105,3 +109,32 @@ def decide(results: DataFrame, decided: DataFrame, leads: DataFrame, extractions
         base = lenders if known else lenders.unionByName(lenders.where("lender = '__default__'").withColumns({"lender": F.lit(lender), "receivers": F.array().cast("array<string>")}))
         lenders = base.withColumn("receivers", added)
     return lenders, reverify(results, leads, extractions, lenders, hit)
+
+
+def comparison(rows: DataFrame) -> DataFrame:
+    """``lead_id, place, field, expected, document, mark``: the system's fields beside the document's, five rows a lead.
+
+    ``rows`` has both sides (as from :func:`with_documents`, with ``transaction_id`` and ``doc_reference`` if known) and the
+    verdict's ``matched_fields`` and ``failed_fields``. The mark is ok, bad or na; blanks are shown as a dash.
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    shown = lambda c: F.when(text.present(c.cast("string")), c.cast("string")).otherwise("—")
+    mark = lambda f: F.when(F.array_contains("matched_fields", f), "ok").when(F.array_contains("failed_fields", f), "bad").otherwise("na")
+    sides = (
+        ("Amount", "payment_amount", "doc_amount", "amount"), ("Date", "payment_date", "doc_date", "date"), ("Receiver", "institute_name", "doc_receiver", "receiver"),
+        ("Loan a/c", "loan_account_number", "doc_lan", "loan_account_number"), ("Reference", "transaction_id", "doc_reference", None),
+    )
+    each = F.array(*(F.struct(F.lit(n).alias("field"), shown(has(a)).alias("expected"), shown(has(b)).alias("document"), (mark(f) if f else F.lit("na")).alias("mark")) for n, a, b, f in sides))
+    return rows.select("lead_id", F.posexplode(each).alias("place", "c")).select("lead_id", "place", "c.*")
+
+
+def latest_review(reviews: DataFrame) -> DataFrame:
+    """The state of review of every lead: its last row."""
+    return tables.latest(reviews, ["lead_id"], F.desc("id"))
+
+
+def lead_status(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """What a caller polls: the job's state, the verdict if there is one, and whether the job is over."""
+    verdicts = results.select("lead_id", F.col("verification_status").alias("__v"))
+    both = jobs.join(verdicts, "lead_id", "left").withColumn("verification_status", F.coalesce("__v", "verification_status"))
+    return both.select("lead_id", "job_id", F.col("status").alias("job_status"), "attempts", "max_attempts", "last_error", "is_test", "verification_status", F.col("status").isin("done", "failed").alias("terminal"))

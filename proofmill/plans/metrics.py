@@ -77,6 +77,7 @@ def analytics(d: SimpleNamespace, scope: str = "real") -> dict[str, str]:
         "a10_stage_timings": f"SELECT stage, count(*) AS n, round(avg(ms), 6) AS avg_ms, {d.pctl('ms', 0.95)} AS p95_ms FROM {ev} e WHERE ms IS NOT NULL GROUP BY stage",
         "a11_queue": f"SELECT {n_if('attempts > 1')} AS retried, {n_if(chr(39).join(['status = ', 'failed', '']))} AS failed, {n_if(chr(39).join(['status = ', 'done', '']))} AS done, round(coalesce(avg(cast(attempts as double)), 0), 9) AS avg_attempts, count(*) AS total FROM {jobs} j",
         "a12_cache": f"SELECT {n_if(chr(39).join(['cache = ', 'hit', '']))} AS served_from_cache, count(*) AS stage2_total, {pct(n_if(chr(39).join(['cache = ', 'hit', ''])), 'count(*)')} AS hit_rate_pct FROM {ev} e WHERE stage = 'stage2_ocr_classify'",
+        "a12_cache_entries": "SELECT count(*) AS entries, cast(coalesce(sum(hits), 0) as bigint) AS hits FROM ocr_cache",
         "a13_model_errors": f"SELECT count(*) AS n FROM {ev} e WHERE {errors}",
         "a13_failed_jobs": f"SELECT coalesce(nullif(last_error, ''), '(no message)') AS err, count(*) AS n FROM {jobs} j WHERE status = 'failed' GROUP BY 1 ORDER BY n DESC, err LIMIT 8",
         "a14_unverified_reasons": f"SELECT f AS field, count(*) AS n FROM (SELECT {d.each(failed)} AS f FROM {res} r WHERE verification_status = 'unverified') x GROUP BY 1",
@@ -117,6 +118,10 @@ def analytics(d: SimpleNamespace, scope: str = "real") -> dict[str, str]:
         "a35_verdict_rollup": "SELECT verdict, count(*) AS n FROM lead_events WHERE stage = 'stage4_verify' GROUP BY 1",
         "a35_lender_reasons": f"SELECT lender, {d.js('outcome', 'reason')} AS why, count(*) AS n FROM lead_results WHERE verification_status = 'unverified' GROUP BY 1, 2",
         "a36_stuck_leases": f"SELECT job_id FROM jobs WHERE status = 'in_progress' AND lease_until < {day} - INTERVAL 30 DAYS",
+        "a36_quarantine_reasons": "SELECT reason, count(*) AS n FROM ingest_quarantine WHERE NOT resolved GROUP BY reason",
+        "a36_run_health": "SELECT id, source, ok, error, rows_seen, images_prefetched, prefetch_failed FROM ingest_runs ORDER BY id DESC LIMIT 20",
+        "a36_last_run": "SELECT source, max(started_at) AS started_at, cast(sum(images_prefetched) as bigint) AS images_prefetched, cast(sum(prefetch_failed) as bigint) AS prefetch_failed FROM ingest_runs GROUP BY source",
+        "a36_blob_totals": "SELECT count(*) AS blobs, cast(sum(bytes) as bigint) AS bytes FROM image_blobs",
         "a37_counts": f"""SELECT {n_if("status = 'pending'")} AS pending, {n_if("status = 'in_progress'")} AS in_progress, {n_if("status = 'failed'")} AS failed FROM jobs""",
         "a37_latency": f"SELECT {minute} AS minute, {qs('ms')}, {d.pctl('ms', 0.99)} AS p99 FROM lead_events WHERE stage = 'stage2_ocr_classify' AND ms IS NOT NULL GROUP BY 1",
         "a37_closed": f"SELECT {minute} AS minute, count(*) AS leads_closed FROM lead_events WHERE stage = 'lead_closed' GROUP BY 1",
