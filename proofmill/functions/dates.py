@@ -13,43 +13,61 @@ from .text import let
 _CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?\d{2})?|(?:0?\d|1[0-2]):[0-5]\d(?::[0-5]\d)?\s*[AP]M"
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 _GAP = r"(?:\s*[-/.,]\s*|\s+)"
-#: The forms that are read natively, each with a time of day after it or not.
-FORMS = (
-    r"(?<y1>\d{4})(?<s1>[-/.])(?<p1>\d{1,2})\k<s1>(?<q1>\d{1,2})",
-    r"(?<y2>\d{4})(?<p2>\d{2})(?<q2>\d{2})",
-    r"(?<a>\d{1,2})(?<s2>[-/.])(?<b>\d{1,2})\k<s2>(?<y3>\d{4}|\d{2})",
-    rf"(?<d4>\d{{1,2}})(?:st|nd|rd|th)?{_GAP}(?<m4>{_MONTHS}){_GAP}(?<y4>\d{{4}}|\d{{2}})",
-    rf"(?<m5>{_MONTHS}){_GAP}(?<d5>\d{{1,2}})(?:st|nd|rd|th)?{_GAP}(?<y5>\d{{4}}|\d{{2}})",
+_PART = r"0?[1-9]|[12]\d|3[01]"
+_YEAR_FIRST = rf"(\d{{4}})([-/.])({_PART})\2({_PART})"
+_DAY_FIRST = rf"({_PART})([-/.])({_PART})\2(\d{{4}})"
+#: Forms that need more than their parts put in another order.
+_OTHERS = (
+    r"(?<y2>\d{4})(?<p2>0[1-9]|[12]\d|3[01])(?<q2>0[1-9]|[12]\d|3[01])",
+    rf"(?<a>{_PART})(?<s>[-/.])(?<b>{_PART})\k<s>(?<y3>\d{{2}})",
+    rf"(?<d4>{_PART})(?:st|nd|rd|th)?{_GAP}(?<m4>{_MONTHS}){_GAP}(?<y4>\d{{4}}|\d{{2}})",
+    rf"(?<m5>{_MONTHS}){_GAP}(?<d5>{_PART})(?:st|nd|rd|th)?{_GAP}(?<y5>\d{{4}}|\d{{2}})",
 )
-_PATTERN = rf"(?i)^\s*(?:{'|'.join(FORMS)})(?:[T ]\s*(?:{_CLOCK}))?\s*$"
-#: Years, separator and parts of a date that begins with its year; parts and year of others; day and month name.
-_PARTS = "\x01${y1}${y2}|${s1}|${p1}${p2}|${q1}${q2}|${a}|${b}|${y3}${y4}${y5}|${d4}${d5}|${m4}${m5}"
 
 
-def native_date(x: Column, iso_day_first: bool) -> Column:
-    """Dates in one of ``FORMS``; null for all other texts.
+def _whole(*forms: str) -> str:
+    """A pattern for texts that hold a date in one of the forms, with a time of day after it or not."""
+    return rf"(?i)^\s*(?:{'|'.join(forms)})(?:[T ]\s*(?:{_CLOCK}))?\s*$"
+
+
+#: Year and parts of a date that begins with its year; parts and year of others; day and month name.
+_PARTS = "${y2}|${p2}|${q2}|${a}|${b}|${y3}${y4}${y5}|${d4}${d5}|${m4}${m5}"
+_NATIVE = _whole(_YEAR_FIRST, _DAY_FIRST.replace(r"\2", r"\6"), *_OTHERS)
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")).try_cast("date")
 
-    The day comes first, and gives way where the month would pass 12. Behind a leading year too: ``2025/10/05`` is
-    the tenth of May, and ``iso_day_first`` says whether ``2025-10-05`` is as well, as the verification rules
-    have it; the identity rules read it as the fifth of October. A year of two digits lies within fifty years.
-    """
 
+def _other_date(x: Column) -> Column:
     def read(parts: Column) -> Column:
-        part = lambda i: F.get(parts, i)
-        number = lambda i: part(i).try_cast("int")
-        date = lambda year, month, day: F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")).try_cast("date")
-        year = F.when(F.length(part(6)) == 4, number(6)).when(2000 + number(6) >= F.year(F.current_date()) + 50, 1900 + number(6)).otherwise(2000 + number(6))
-        swaps = (number(3) <= 12) if iso_day_first else (number(3) <= 12) & (part(1) != "-")
-        month = ((F.position(F.lower(F.substring(part(8), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
+        number = lambda i: F.get(parts, i).try_cast("int")
+        year = F.when(F.length(F.get(parts, 5)) == 4, number(5)).when(2000 + number(5) >= F.year(F.current_date()) + 50, 1900 + number(5)).otherwise(2000 + number(5))
+        month = ((F.position(F.lower(F.substring(F.get(parts, 7), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
         return (
-            F.when(part(2) != "", F.when(swaps, date(number(0), number(3), number(2))).otherwise(date(number(0), number(2), number(3))))
-            .when(part(8) != "", date(year, month, number(7)))
-            .when((number(4) > 12) | (number(5) <= 12), date(year, number(5), number(4)))
-            .otherwise(date(year, number(4), number(5)))
+            F.when(F.get(parts, 7) != "", _date(year, month, number(6)))
+            .when(F.get(parts, 1) != "", F.when(number(2) <= 12, _date(number(0), number(2), number(1))).otherwise(_date(number(0), number(1), number(2))))
+            .when((number(3) > 12) | (number(4) <= 12), _date(year, number(4), number(3)))
+            .otherwise(_date(year, number(3), number(4)))
         )
 
-    found = F.regexp_replace(x.cast("string"), _PATTERN, _PARTS)
-    return F.when(found.startswith("\x01"), let(F.split(F.substring(found, 2, 1 << 20), "[|]"), read))
+    form = _whole(*_OTHERS)
+    return F.when(x.rlike(form), let(F.split(F.regexp_replace(x, form, _PARTS), "[|]"), read))
+
+
+def native_date(x: Column, iso_day_first: bool) -> Column:
+    """Dates in digits, with or without separators, or with the month's name; null for all other texts.
+
+    The day comes first, and gives way where the month would pass 12. Behind a leading year too: ``2025/10/05`` is
+    the tenth of May, and ``iso_day_first`` says whether ``2025-10-05`` is as well, as the verification rules
+    have it; the identity rules read it as the fifth of October. A year of two digits lies within fifty years.
+    """
+    x = x.cast("string")
+    # Texts in another form become two dashes, which are no date.
+    ordered = lambda form, parts: F.regexp_replace(x, f"(?s){_whole(form)}|^.*$", parts).try_cast("date")
+    day_first = _YEAR_FIRST if iso_day_first else _YEAR_FIRST.replace("[-/.]", "[/.]")
+    year_first = [ordered(day_first, "$1-$4-$3"), ordered(_YEAR_FIRST, "$1-$3-$4")]
+    return F.coalesce(*year_first, ordered(_DAY_FIRST, "$4-$3-$1"), ordered(_DAY_FIRST, "$4-$1-$3"), _other_date(x))
 
 
 @F.pandas_udf("date")
@@ -73,10 +91,10 @@ _free_text = _free_text.asNondeterministic()  # it reads the clock; so, too, no
 def parse_date(x: Column, fuzzy: bool = True, iso_day_first: bool = True) -> Column:
     """The date in ``x``. Unless ``fuzzy`` is off, what the native forms cannot read goes to a parser of free text.
 
-    That parser fills missing parts from the current day. Rows that are read natively reach it as nulls.
+    That parser fills missing parts from the current day. Rows in a native form reach it as nulls.
     """
     native = native_date(x, iso_day_first)
-    return F.coalesce(native, _free_text(F.when(native.isNull(), x.cast("string")), F.lit(iso_day_first))) if fuzzy else native
+    return F.coalesce(native, _free_text(F.when(~x.cast("string").rlike(_NATIVE), x.cast("string")), F.lit(iso_day_first))) if fuzzy else native
 
 
 def pay_month(x: Column, fuzzy: bool = True) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..sources.scratch import materialise
 
 IDENTITY = ("lead_code", "loan_acct", "amount", "pay_ym")
 
@@ -45,9 +46,10 @@ def dedup_verdicts(leads: DataFrame, ledger: DataFrame | None = None, order: str
     Leads count in the order of ``order``, then ``lead_id``, within real and test rows apart. ``ledger`` holds
     earlier claims (``lead_id, is_test`` and the identity's parts); a lead never meets its own earlier claim.
     The first claim of each identity, loan and lead code are minima, so they are aggregated before the
-    shuffle; one join brings them back, and Spark splits it where an identity is very common.
+    shuffle; one join brings them back, and Spark splits it where an identity is very common. The leads with
+    their identities are written once, as several steps read them.
     """
-    df = with_identity(leads, fuzzy_dates)
+    df = materialise(with_identity(leads, fuzzy_dates))
     whole = df.where("identity IS NOT NULL")
     place = lambda turn: F.struct(F.lit(turn).alias("turn"), F.col(order).cast("long").alias("seq"), "lead_id")
     known = whole.select("is_test", "identity.*", place(1).alias("at"))
