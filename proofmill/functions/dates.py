@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import let
 
@@ -70,7 +71,7 @@ def native_date(x: Column, iso_day_first: bool) -> Column:
     return F.coalesce(*year_first, ordered(_DAY_FIRST, "$4-$3-$1"), ordered(_DAY_FIRST, "$4-$1-$3"), _other_date(x))
 
 
-@F.pandas_udf("date")
+@F.pandas_udf(T.DateType())
 def _free_text(texts: pd.Series, iso_day_first: pd.Series) -> pd.Series:
     from dateutil import parser
 

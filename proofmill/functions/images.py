@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Below these an image is dark, blurred or blank.
 DARK, BLUR, FLAT = 15, 50.0, 8.0
@@ -20,19 +21,20 @@ PRIVATE = (
 def _measure(data: bytes, height: int, width: int, channels: int) -> tuple[float, float, float]:
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
     gray = a[..., 0] if channels == 1 else np.floor(a[..., 2] * 0.299 + a[..., 1] * 0.587 + a[..., 0] * 0.114 + 0.5)  # rows are BGR
-    middle = gray[1:-1, 1:-1]
-    lap = 4 * middle - gray[:-2, 1:-1] - gray[2:, 1:-1] - gray[1:-1, :-2] - gray[1:-1, 2:] if middle.size else np.zeros(0)
+    # The Laplacian inside the border: each pixel's neighbours above, below and beside it, less four times itself.
+    h, w = max(0, height - 2), max(0, width - 2)
+    lap = sum(weight * gray[y : y + h, x : x + w] for y, x, weight in ((0, 1, 1), (2, 1, 1), (1, 0, 1), (1, 2, 1), (1, 1, -4))) if h and w else np.zeros(0)
     return round(float(gray.mean()), 1), round(float(gray.std()), 1), round(float(lap.var()) if lap.size else 0.0, 1)
 
 
-@F.pandas_udf("brightness double, contrast_std double, blur_laplacian_var double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("brightness", "contrast_std", "blur_laplacian_var")]))
 def image_metrics(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
     rows = [_measure(*x) for x in zip(data, height, width, channels)]
     return pd.DataFrame(rows, columns=["brightness", "contrast_std", "blur_laplacian_var"])
 
 
 def judge(m: str = "m") -> Column:
-    """Reason text by the first rule that fails, on the rounded metrics."""
+    """The messages. Reason text by the first rule that fails, on the rounded metrics."""
     c = lambda n: F.col(f"{m}.{n}")
     return (
         F.when(c("brightness") < DARK, F.concat(F.lit("image effectively black (brightness "), c("brightness"), F.lit(")")))

@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.dedup import with_identity
 from ..operators.mapping import Mapping, map_rows
@@ -67,31 +66,40 @@ def within(events: DataFrame, as_of, minutes: int) -> DataFrame:
     return events.where((F.col("ts") > F.lit(as_of) - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("ts") <= F.lit(as_of)))
 
 
-def dedup_stream(leads: DataFrame, order: str = "seq") -> DataFrame:
-    """``lead_id, dedup, owner`` for a stream of leads: the batch verdicts, kept across micro-batches.
+class Claims(StatefulProcessor):
+    """The claims under one lead code, each under its own key of the state: who owns it, and which loans are known."""
 
-    State is held for each lead code (real and test rows apart): the claims made under it, each with its owner.
-    Inside a micro-batch leads count in the order of ``order``, then ``lead_id``. A lead that comes again
-    meets its own claim and keeps its owner.
-    """
-    part = with_identity(leads).where("identity IS NOT NULL")
-    rows = part.select("is_test", F.col("identity.lead_code").alias("code"), F.col(order).cast("long").alias("seq"), "lead_id", F.col("identity.loan_acct").alias("loan"), F.concat_ws("|", "identity.amount", "identity.pay_ym").alias("paid"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.owners = handle.getMapState("owners", "loan string, paid string", "lead_id string")
+        self.loans = handle.getMapState("loans", "loan string", "known boolean")
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else []
-        owners = {(loan, paid): lead for loan, paid, lead in held}
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["seq", "lead_id"]).itertuples():
-            claim = (r.loan, r.paid)
-            if claim in owners:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        out, any_known = [], next(iter(self.loans.keys()), None) is not None
+        for r in pd.concat(list(rows)).sort_values(["seq", "lead_id"]).itertuples():
+            claim, loan = (r.loan, r.paid), (r.loan,)
+            if self.owners.containsKey(claim):
                 verdict = "duplicate"
             else:
-                verdict = "new" if not owners else "emi" if any(loan == r.loan for loan, _ in owners) else "manual_review"
-                owners[claim] = r.lead_id
-            out.append((r.lead_id, verdict, owners[claim]))
-        state.update(([(loan, paid, lead) for (loan, paid), lead in owners.items()],))
+                verdict = "new" if not any_known else "emi" if self.loans.containsKey(loan) else "manual_review"
+                self.owners.updateValue(claim, (r.lead_id,))
+                self.loans.updateValue(loan, (True,))
+                any_known = True
+            out.append((r.lead_id, verdict, self.owners.getValue(claim)[0]))
         yield pd.DataFrame(out, columns=["lead_id", "dedup", "owner"])
 
-    return rows.groupBy("is_test", "code").applyInPandasWithState(
-        judge, "lead_id string, dedup string, owner string", "claims array<struct<loan:string,paid:string,owner:string>>", "append", GroupStateTimeout.NoTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def dedup_stream(leads: DataFrame, order: str = "seq") -> DataFrame:
+    """``lead_id, dedup, owner`` for a stream of leads: the batch verdicts, kept across micro-batches.
+
+    State is held for each lead code (real and test rows apart), one entry for each claim, so it grows with the claims and no
+    row of it does; it is kept in RocksDB, which this sets as the session's state store. Inside a micro-batch leads count in the
+    order of ``order``, then ``lead_id``; the leads that a code has in one micro-batch are sorted in one task, so the
+    source's limit on micro-batches bounds them. A lead that comes again meets its own claim and keeps its owner.
+    """
+    leads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    part = with_identity(leads).where("identity IS NOT NULL")
+    rows = part.select("is_test", F.col("identity.lead_code").alias("code"), F.col(order).cast("long").alias("seq"), "lead_id", F.col("identity.loan_acct").alias("loan"), F.concat_ws("|", "identity.amount", "identity.pay_ym").alias("paid"))
+    return rows.groupBy("is_test", "code").transformWithStateInPandas(Claims(), "lead_id string, dedup string, owner string", "append", "none")
