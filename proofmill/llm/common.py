@@ -1,19 +1,19 @@
-"""What the operators share: materialised tables in the shared folder, safe broadcasts, batches of texts."""
+"""What the operators share: tables in the shared folder, safe broadcasts, batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import discard, materialise, shuffles_freed
+
+__all__ = ["chunks", "discard", "materialise", "shuffles_freed", "small", "text_map"]
+
 #: Rows of texts handled at once inside a task hold at most about so many bytes.
 CHUNK_BYTES = 4 << 20
 
@@ -21,52 +21,6 @@ CHUNK_BYTES = 4 << 20
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    named = f"file://{tempfile.mkdtemp(prefix='proofmill-')}"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark deletes the shuffle files of every action when it ends, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that :func:`materialise` wrote and that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(t))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted rows are under ``limit``; else Spark plans a shuffle join."""
     return F.broadcast(df) if rows <= limit else df
