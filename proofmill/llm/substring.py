@@ -159,10 +159,9 @@ def _own() -> Column:
     return F.struct("doc", "mark", "pos")
 
 
-def _repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``doc, mark, pos, n, first``: with the coordinates of the first row that agrees in ``keys``."""
-    firsts = rows.groupBy(*keys).agg(F.min(_own()).alias("first"))
-    return rows.join(firsts, keys).select("doc", "mark", "pos", "n", "first")
+def _firsts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``first``: the coordinates of the first of several rows that agree in ``keys``. Written, so that Spark can split the joins with it where a key is hot."""
+    return materialise(rows.groupBy(*keys).agg(F.min(_own()).alias("first"), F.count("*").alias("often")).where("often > 1").drop("often"))
 
 
 def _joined_up(steps: DataFrame) -> DataFrame:
@@ -208,13 +207,16 @@ def repeated_paths(docs: DataFrame, window: int, gram: int, bits: int = 64) -> D
     for seed in count():
         often = materialise(_minimisers(docs, window, gram, seed))
         shared = materialise(_pieces(docs, window, gram, seed, bits).join(often, "m", "left_semi"))
-        pieces = materialise(_repeats(shared, ["m", "n", "digest"]))
-        discard(often, shared)
+        firsts = _firsts(shared, ["m", "n", "digest"])
+        pieces = shared.join(firsts, ["m", "n", "digest"], "left").select("doc", "mark", "pos", "n", F.coalesce("first", _own()).alias("first"))
+        pieces = materialise(pieces)
+        discard(often, shared, firsts)
         again = ~F.col("first").eqNullSafe(_own())
         edges = materialise(_taken_apart(docs, pieces.where(~again), window, seed, bits))
-        steps = pieces.unionByName(_repeats(edges.withColumn("n", F.lit(1)), ["h"])).where(again)
+        firsts = _firsts(edges, ["h"])
+        steps = pieces.unionByName(edges.join(firsts, "h").select("doc", "mark", "pos", F.lit(1).alias("n"), "first")).where(again)
         paths = materialise(_joined_up(steps))
-        discard(pieces, edges)
+        discard(pieces, edges, firsts)
         with shuffles_freed(docs.sparkSession):
             if not _unlike(docs, paths, window).limit(1).count():
                 return paths
