@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, text_map
+from .common import discard, materialise, text_map
 from .graph import components
 
 
@@ -198,14 +198,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(met).select("u", "v")
 
 
-def _rest(prefixes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs ``u, v`` of different roots: all that share a prefix shingle and can still reach the similarity.
+def _rest(of: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs ``u, v`` of different roots in ``of(gram, key, n, pos, root)``: all that share a prefix shingle and can still reach the similarity.
 
     At every shingle the texts outside its largest group meet all others, so a large group of copies never
     meets itself; frequent shingles are salted.
     """
-    of = prefixes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    of = materialise(of)
     sizes = of.groupBy("gram", "root").agg(F.count("*").alias("m")).groupBy("gram")
     sizes = sizes.agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main")).where("all > most")
     few = F.col("all") - F.col("most")
@@ -240,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = materialise(low.join(_with_partners(low, similarity), "key", "left_semi").select("key", "copies"))
     sets = materialise(_shingle_sets(keyed.join(some, "key", "left_semi").dropDuplicates(["key"]), shingle))
     group = linked(sets, some, similarity).select(F.col("node").alias("key"), F.col("root").alias("top"))
+    discard(some, sets)
     return low.select("key").join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
 
 
@@ -254,21 +253,28 @@ def linked(sets: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
     hubs = ranked.groupBy("gram").agg(F.max("rank").alias("hub"))
     stars = ranked.join(hubs, "gram").select("u", F.col("hub.key").alias("v")).where("u <> v").distinct()
     stars = materialise(_alike(stars, sets, similarity))
-    between = _alike(_rest(prefixes.drop("often"), components(stars), similarity), sets, similarity)
-    return components(stars.unionByName(between))
+    roots = components(stars).withColumnRenamed("node", "key")
+    rooted = materialise(prefixes.drop("often").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    joined = components(stars.unionByName(_alike(_rest(rooted, similarity), sets, similarity)))
+    discard(prefixes, stars, rooted)
+    return joined
 
 
 def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of :func:`near_duplicates`, with all its columns: that with the smallest id.
 
-    Ids that are null come last; of rows equal in id, the smallest text hash stays, of equal rows one.
+    Ids that are null come last; of rows equal in id, the smallest text hash stays, of equal rows one. Texts that share
+    their 64-bit hash but not their SHA-256 are different: none of them goes for the other's sake.
     """
-    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed, sha = F.xxhash64(text), F.sha2(text, 256)
     groups = near_duplicates(docs, id_col, text_col, **options)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text_hash")).join(groups, "text_hash")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))).alias("first")
-    keep = materialise(rows.groupBy("group_id").agg(first).select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash")))
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
-
-
+    # Copies fall together before the join, so that a text of which there are very many is one row in it.
+    place = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("sha"))).alias("first")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), hashed.alias("text_hash"), sha.alias("sha")).groupBy("text_hash", "sha").agg(place)
+    texts = texts.withColumn("own", F.when(F.col("sha") != F.min("sha").over(W.partitionBy("text_hash")), F.col("sha")))
+    first = F.min(F.struct("first.none", "first.id", "text_hash", "sha")).alias("first")
+    keep = texts.join(groups, "text_hash").groupBy("group_id", "own").agg(first)
+    keep = materialise(keep.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.sha").alias("__sha")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (hashed == F.col("__hash")) & (sha == F.col("__sha"))
+    return docs.join(keep, same, "left_semi").dropDuplicates([id_col, text_col])
