@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Component values of one quantisation level.
 LEVEL = 16
 #: Vectors that share an index, about; fewer, but not below the second number, where else there would be too few tasks.
-VECTOR_BLOCK, LEAST_BLOCK = 65_536, 4_096
+VECTOR_BLOCK, LEAST_BLOCK = 65_536, 8_192
 
 
 class ImpactIndex:
@@ -33,6 +33,7 @@ class ImpactIndex:
                 high.append(v[-1])
                 dim.append(d)
         self.ids, self.low, self.high, self.dim = ids, np.array(low, np.int64), np.array(high, np.int64), np.array(dim, np.int64)
+        self.sizes = np.array([len(x) for x in ids], np.int64)
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of everything that can be among the ``k`` best outside ``skip``.
@@ -47,23 +48,24 @@ class ImpactIndex:
         top = np.maximum(q * self.low, q * self.high)
         order = np.argsort(-top, kind="stable")
         bound, unseen = np.zeros(n, np.int64), np.full(n, dims, np.int64)
-        sizes = np.cumsum([len(self.ids[s]) for s in order])
-        checks = iter([*np.searchsorted(sizes, sizes[-1] * np.array([0.4, 0.5, 0.6, 0.7, 0.8, 0.9])), len(order) - 1])
-        check, few, members = next(checks), max(4 * k, n // 100), np.arange(n)
-        for i, s in enumerate(order):
-            bound[self.ids[s]] += top[s]
-            unseen[self.ids[s]] -= 1
-            if i >= check:
-                check = next(checks, len(order))
-                most = bound + unseen * (top[order[i + 1]] if i + 1 < len(order) else 0)
-                most[skip] = np.iinfo(np.int64).min
-                best = np.argpartition(-most, min(few, n) - 1)[:few]
-                known = np.sort((v[best] @ query)[most[best] > np.iinfo(np.int64).min])[::-1]
-                if len(known) < k:
-                    continue
-                members = np.flatnonzero(most >= known[k - 1])
-                if len(members) <= few:
-                    break
+        sizes = self.sizes[order]
+        done, few, members = 0, max(4 * k, n // 100), np.arange(n)
+        ends = np.searchsorted(np.cumsum(sizes), sizes.sum() * np.array([0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) + 1
+        for end in [*np.minimum(ends, len(order)).tolist(), len(order)]:
+            if end > done:  # the next segments, all at once
+                rows = np.concatenate([self.ids[s] for s in order[done:end]])
+                np.add.at(bound, rows, np.repeat(top[order[done:end]], sizes[done:end]))
+                unseen -= np.bincount(rows, minlength=n)
+                done = end
+            most = bound + unseen * (top[order[done]] if done < len(order) else 0)
+            most[skip] = np.iinfo(np.int64).min
+            best = np.argpartition(-most, min(few, n) - 1)[:few]
+            known = np.sort((v[best] @ query)[most[best] > np.iinfo(np.int64).min])[::-1]
+            if len(known) < k:
+                continue
+            members = np.flatnonzero(most >= known[k - 1])
+            if len(members) <= few:
+                break
         members = np.setdiff1d(members, skip)
         return members, v[members] @ query
 
