@@ -72,7 +72,9 @@ def contaminated(
     probe = probe.join(small(sketch, sketch.count()), F.col("shingle") == F.col("h"))
     found = materialise(probe.select("text_hash", "item").distinct())
     held = keyed.join(found.select("text_hash").distinct(), "text_hash", "left_semi")
-    held = _shingles(held.select("doc_id", "text_hash", F.sha2("text", 256).alias("sha"), words(F.col("text")).alias("words")), shingle, True).distinct()
+    held = _shingles(held.select("doc_id", "text_hash", F.sha2("text", 256).alias("sha"), words(F.col("text")).alias("words")), shingle, True)
+    # Only shingles of items go on, before anything is shuffled.
+    held = held.join(small(index.select("shingle").distinct(), index.count()), "shingle", "left_semi").distinct()
     asked = found.join(index.select("shingle", "item", "n"), "item")
     shared = held.join(asked, ["text_hash", "shingle"])
     counts = shared.groupBy("doc_id", "text_hash", "sha", "item", F.col("n").alias("n_shingles")).agg(F.count("*").alias("n_shared"))
