@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Folders made here, by application: only for local sessions that name none.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,11 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    named = f"file://{tempfile.mkdtemp(prefix='proofmill-')}"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='proofmill-')}"
+    return _OWN[context.applicationId]
 
 
 @contextmanager
