@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.scratch import discard, materialise, shuffles_freed
 
-__all__ = ["chunks", "discard", "materialise", "shuffles_freed", "small", "text_map"]
+__all__ = ["chunks", "discard", "materialise", "shuffles_freed", "small", "text_map", "text_slices"]
 
 #: Rows of texts handled at once inside a task hold at most about so many bytes.
 CHUNK_BYTES = 4 << 20
@@ -60,3 +60,13 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         held += n + 64
     if lo < len(sizes):
         yield lo, len(sizes)
+
+
+def text_slices(text: bytes, size: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The words of ``text``, in lists made of about ``size`` bytes each, so that a very long text is never a list of all its words."""
+    lo = 0
+    while lo < len(text):
+        hi = text.find(b" ", lo + size) if len(text) - lo > size else -1
+        hi = len(text) if hi < 0 else hi
+        yield text[lo:hi].split()
+        lo = hi

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontam, licenses, mixing, simhash, substring, tokens, topk, urls
+from . import compression, decontam, divergence, licenses, mixing, simhash, substring, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_mixing, op3_licenses, op4_decontamination, op5_language, op6_topk, op7_tokens, op8_substrings, op9_urls, op10_quality)
+    for f in (
+        op1_simhash, op2_mixing, op3_licenses, op4_decontamination, op5_language, op6_topk, op7_tokens, op8_substrings, op9_urls, op10_quality,
+        op12_divergence,
+    )
 }
 
 #: op1, op3, op5, op7, op8 and op10 have no SQL (64-bit hashing over links, learned models, or too slow on whole
 #: tables); op2 draws at random. Their tests compare with brute force or held-out rows.
-ORACLE = {"op4_decontamination": decontam.ORACLE, "op6_topk": topk.ORACLE, "op9_urls": urls.ORACLE}
+ORACLE = {"op4_decontamination": decontam.ORACLE, "op6_topk": topk.ORACLE, "op9_urls": urls.ORACLE, "op12_divergence": divergence.ORACLE}
