@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontam, divergence, licenses, mixing, resample, simhash, substring, tokens, topk, urls
+from . import compression, decontam, divergence, licenses, mixing, resample, rules, simhash, substring, tokens, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.check_quality(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
@@ -66,10 +70,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_mixing, op3_licenses, op4_decontamination, op5_language, op6_topk, op7_tokens, op8_substrings, op9_urls, op10_quality,
-        op12_divergence, op13_resampling,
+        op11_rules, op12_divergence, op13_resampling,
     )
 }
 
-#: op1, op3, op5, op7, op8, op10 and op13 have no SQL (64-bit hashing over links, learned models, checksums that the SQL engine
+#: op1, op3, op5, op7, op8, op10, op11 and op13 have no SQL (64-bit hashing over links, learned models, checksums that the SQL engine
 #: lacks, or too slow on whole tables); op2 draws at random. Their tests compare with brute force or held-out rows.
 ORACLE = {"op4_decontamination": decontam.ORACLE, "op6_topk": topk.ORACLE, "op9_urls": urls.ORACLE, "op12_divergence": divergence.ORACLE}
