@@ -1,8 +1,10 @@
 """Source divergence audit: how the term shares of the sources of a language differ.
 
-1. Every task counts the terms of its rows in radix tries over UTF-8 bytes, one for each language; a leaf has counters by source.
-   A trie is walked in byte order and its leaves become rows when it has grown to a fixed number of counters.
-2. The leaves of all tasks are merged by prefix range: a range exchange on language and term, then sums inside each range.
+1. Every task counts the terms of its rows by language and source and lays the counts out as a burst trie over UTF-8 bytes: the
+   first bytes of a term lead to a container, which holds the rest of its terms in byte order, and for each the counters of the
+   sources. When it has grown to a fixed number of counters, its containers become rows.
+2. Containers of all tasks meet by prefix range and are merged, one prefix at a time. Prefixes below which too
+   much would meet burst first, in all tasks' containers alike: their terms move to containers of longer prefixes.
 3. A second walk goes through the kept terms of each range in UTF-8 order. It sums what every pair of sources differs by, and
    has each source's ten best terms of the range.
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,98 +28,164 @@ from .common import discard, materialise, text_slices
 
 #: The scale of shares, the terms listed for each source.
 SCALE, BEST = 1_000_000_000, 10
-#: Counters that a task holds before it hands on its tries; rows of terms and pairs of sources that one comparison holds.
-COUNTERS, TERM_ROWS, PAIRS = 400_000, 250_000, 4_000_000
+#: Bytes that lead to a container at first; counters that one prefix may bring together before its containers burst.
+DEPTH, CONTAINER = 2, 2_000_000
+#: Counters that a task holds before it hands on its trie; rows of terms and pairs of sources that one comparison holds.
+COUNTERS, TERM_ROWS, PAIRS = 500_000, 100_000, 4_000_000
 #: Cells of the dense blocks that are compared at once.
 CELLS = 1 << 20
 #: A-Z to a-z; letters and all bytes beyond ASCII stay, the rest separates.
 _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-class Trie:
-    """A radix trie over bytes: ``label`` leads to this node, ``leaf`` counts the term that ends here by source."""
-
-    __slots__ = ("label", "kids", "leaf")
-
-    def __init__(self, label: bytes = b""):
-        self.label, self.kids, self.leaf = label, {}, None
-
-    def at(self, term: bytes) -> dict:
-        """The counters of ``term``, made if there are none; a label is cut in two where the term leaves it."""
-        node, done = self, 0
-        while done < len(term):
-            kid = node.kids.get(term[done])
-            if kid is None:
-                kid = node.kids[term[done]] = Trie(term[done:])
-            elif not term.startswith(kid.label, done):
-                same = next(i for i, (a, b) in enumerate(zip(kid.label, term[done:] + b"\0")) if a != b)
-                upper = node.kids[term[done]] = Trie(kid.label[:same])
-                kid.label = kid.label[same:]
-                upper.kids[kid.label[0]] = kid
-                kid = upper
-            node, done = kid, done + len(kid.label)
-        if node.leaf is None:
-            node.leaf = {}
-        return node.leaf
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms and their counters in byte order, which is the order of UTF-8 code points."""
-        stack = [(b"", self)]
-        while stack:
-            prefix, node = stack.pop()
-            prefix += node.label
-            if node.leaf:
-                yield prefix, node.leaf
-            stack.extend((prefix, node.kids[b]) for b in sorted(node.kids, reverse=True))
-
-
-LEAF = "lang string, term binary, source string, n long, docs long"
-
-
-def _leaves(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    tries: dict[str, Trie] = {}
-    for (lang, source), (n, docs) in held.items():
-        trie = tries.setdefault(lang, Trie())
-        for term, count in n.items():
-            trie.at(term)[source] = (count, docs[term])
-    rows: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        lang, term, source, n, docs = zip(*rows)
-        return pa.RecordBatch.from_pydict({"lang": pa.array(lang), "term": pa.array(term, pa.binary()), "source": pa.array(source), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
-
-    for lang in sorted(tries):
-        for term, leaf in tries.pop(lang).walk():
-            rows += [(lang, term, source, *counts) for source, counts in leaf.items()]
-            if len(rows) >= 50_000:
-                yield batch()
-                rows = []
-    if rows:
-        yield batch()
+PIECE = "lang string, prefix binary, whole boolean, rest binary, docs array<long>, sizes array<long>, names array<string>, source array<long>, n array<long>"
+
+
+def _lists(values: np.ndarray | pa.Array, edges: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def containers(lang: str, terms: list[bytes], docs: np.ndarray, sizes: np.ndarray, names: list[str], source: np.ndarray, n: np.ndarray, depth: int) -> pa.RecordBatch:
+    """A trie as rows: one container for each ``depth`` first bytes of its ``terms``, which are in byte order.
+
+    Term after term, ``docs`` counts documents and ``sizes`` counters; these have an index into ``names`` and ``n`` occurrences.
+    A container has what follows the prefix in its terms, joined by spaces, which no term holds, and names of its own.
+    ``whole``: the prefix is the only term, so the container can't burst.
+    """
+    prefixes = [t[:depth] for t in terms]
+    starts = [i for i, p in enumerate(prefixes) if not i or p != prefixes[i - 1]]
+    spans = list(zip(starts, [*starts[1:], len(terms)]))
+    edges = np.array([*starts, len(terms)])
+    counters = np.append(0, np.cumsum(sizes))[edges]
+    held = np.repeat(np.arange(len(starts)), np.diff(counters)) * len(names) + source
+    used, at = np.unique(held, return_inverse=True)
+    own = np.searchsorted(used // len(names), np.arange(len(starts) + 1))
+    return pa.RecordBatch.from_pydict(
+        {
+            "lang": pa.array([lang] * len(starts)),
+            "prefix": pa.array([prefixes[i] for i in starts], pa.binary()),
+            "whole": pa.array([b == a + 1 and terms[a] == prefixes[a] for a, b in spans]),
+            "rest": pa.array([b" ".join([t[depth:] for t in terms[a:b]]) for a, b in spans], pa.binary()),
+            "docs": _lists(docs, edges),
+            "sizes": _lists(sizes, edges),
+            "names": _lists(pa.array(names).take(pa.array(used % len(names))), own),
+            "source": _lists(at - np.repeat(own[:-1], np.diff(counters)), counters),
+            "n": _lists(n, counters),
+        }
+    )
+
+
+def opened(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes, list[bytes], np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]]:
+    """The containers in a batch: language, prefix, and the rest as in :func:`containers`, terms without the prefix."""
+    flat = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy()) for c in ("docs", "sizes", "source", "n")}
+    for row in range(len(batch)):
+        lang, prefix, rest, names = (batch.column(c)[row].as_py() for c in ("lang", "prefix", "rest", "names"))
+        docs, sizes, source, n = (values[at[row] : at[row + 1]] for at, values in flat.values())
+        yield lang, prefix, rest.split(b" "), docs, sizes, names, source, n
 
 
 def count_terms(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``lang, term, source, n, docs``: partial counts of ``docs(lang, source, text)``, to be summed; the leaves of the tasks' tries."""
+    """Containers of the tasks' tries over ``docs(lang, source, text)``, to be merged."""
+
+    def trie(lang: str, sources: dict[str, Counter], having: Counter) -> pa.RecordBatch:
+        terms = sorted(having)
+        place = {t: i for i, t in enumerate(terms)}
+        row = np.fromiter(chain.from_iterable(map(place.__getitem__, c) for c in sources.values()), np.int64)
+        n = np.fromiter(chain.from_iterable(c.values() for c in sources.values()), np.int64)
+        source = np.repeat(np.arange(len(sources)), [len(c) for c in sources.values()])
+        order = np.argsort(row, kind="stable")
+        in_docs = np.fromiter(map(having.__getitem__, terms), np.int64)
+        return containers(lang, terms, in_docs, np.bincount(row, minlength=len(terms)), list(sources), source[order], n[order], DEPTH)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[str, tuple[dict[str, Counter], Counter]] = {}
         size = 0
         for batch in batches:
             langs, sources = (batch.column(i).to_pylist() for i in (0, 1))
             for lang, source, text in zip(langs, sources, batch.column(2)):
-                n, having = held.setdefault((lang, source), (Counter(), Counter()))
-                before, seen = len(n), set()
+                by_source, having = held.setdefault(lang, ({}, Counter()))
+                counts, seen = by_source.setdefault(source, Counter()), set()
+                before = len(counts)
                 for words in text_slices(text.as_py().translate(_FOLD)):
-                    n.update(words)
+                    counts.update(words)
                     seen.update(words)
                 having.update(seen)
-                size += len(n) - before
+                size += len(counts) - before
                 if size >= counters:
-                    yield from _leaves(held)
+                    yield from (trie(k, *v) for k, v in held.items() if v[1])
                     held, size = {}, 0
-        yield from _leaves(held)
+        yield from (trie(k, *v) for k, v in held.items() if v[1])
+
+    return docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(count, PIECE)
+
+
+def burst(pieces: DataFrame, most: int) -> DataFrame:
+    """``pieces`` without prefixes below which more than ``most`` counters would meet, but for single terms."""
+    depth = DEPTH
+    while True:
+        heavy = pieces.where("NOT whole").groupBy("lang", "prefix").agg(F.sum(F.size("n")).alias("met")).where(F.col("met") > most).select("lang", "prefix")
+        heavy = materialise(heavy)
+        if heavy.isEmpty():
+            discard(heavy)
+            return pieces
+        depth *= 2
+
+        def deeper(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lang, prefix, terms, *rest in opened(batch):
+                    yield containers(lang, [prefix + t for t in terms], *rest, depth)
+
+        again = pieces.join(heavy, ["lang", "prefix"], "left_semi").select(*pieces.columns).mapInArrow(deeper, PIECE)
+        before, pieces = pieces, materialise(pieces.join(heavy, ["lang", "prefix"], "left_anti").select(*pieces.columns).unionByName(again))
+        discard(before, heavy)
+
+
+class Merged:
+    """One prefix of one language: containers are added, then the terms in enough documents are taken out."""
+
+    def __init__(self, lang: str, prefix: bytes):
+        self.lang, self.prefix = lang, prefix
+        self.terms: dict[bytes, int] = {}
+        self.names: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, terms: list[bytes], docs: np.ndarray, sizes: np.ndarray, names: list[str], source: np.ndarray, n: np.ndarray) -> None:
+        at = np.array([self.terms.setdefault(t, len(self.terms)) for t in terms])
+        name = np.array([self.names.setdefault(x, len(self.names)) for x in names])
+        self.rows.append((at, docs, np.repeat(at, sizes), name[source], n))
+
+    def kept(self, min_docs: int, range_: int) -> pa.RecordBatch:
+        at, docs, term, source, n = (np.concatenate(x) for x in zip(*self.rows))
+        having, width = np.zeros(len(self.terms), np.int64), len(self.names)
+        np.add.at(having, at, docs)
+        key, place = np.unique(term * width + source, return_inverse=True)
+        sums = np.zeros(len(key), np.int64)
+        np.add.at(sums, place, n)
+        often = having[key // width] >= min_docs
+        key, sums = key[often], sums[often]
+        names = pa.array([self.prefix + t for t in self.terms], pa.binary())
+        columns = {"lang": pa.array([self.lang] * len(key), pa.string()), "term": names.take(pa.array(key // width)), "source": pa.array(list(self.names)).take(pa.array(key % width))}
+        return pa.RecordBatch.from_pydict({**columns, "n": pa.array(sums), "range": pa.array(np.full(len(key), range_, np.int32))})
+
+
+def merge(pieces: DataFrame, min_docs: int) -> DataFrame:
+    """``lang, term, source, n, range``: the terms in ``min_docs`` documents or more, merged prefix by prefix in each range of prefixes."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, range_ = None, 0
+        for batch in batches:
+            range_ = batch.column("range")[0].as_py()  # the same in a whole task
+            for lang, prefix, *container in opened(batch):
+                if here is None or (lang, prefix) != (here.lang, here.prefix):
+                    if here:
+                        yield here.kept(min_docs, range_)
+                    here = Merged(lang, prefix)
+                here.add(*container)
+        if here:
+            yield here.kept(min_docs, range_)
 
-    return docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(count, LEAF)
+    ranged = pieces.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").withColumn("range", F.spark_partition_id())
+    return ranged.mapInArrow(merged, "lang string, term binary, source string, n long, range int")
 
 
 def share(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -175,7 +244,7 @@ def _compared(key: tuple, terms: pd.DataFrame, groups: pd.DataFrame) -> pd.DataF
 
 def audit_sources(
     docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = 10,
-    counters: int = COUNTERS, term_rows: int = TERM_ROWS, pairs: int = PAIRS,
+    counters: int = COUNTERS, container: int = CONTAINER, term_rows: int = TERM_ROWS, pairs: int = PAIRS,
 ) -> DataFrame:
     """Rows ``lang, source, part, item, value, rank``: how far every source is from the others of its language, and by which terms.
 
@@ -187,17 +256,15 @@ def audit_sources(
 
     Null texts, languages and sources are empty ones; a source without terms takes part with counts of zero, and a language
     without kept terms has distances of zero. Repeated rows count again. Texts may be of any length: long ones are
-    counted in slices. An empty table gives an empty result; other columns are not read. The last three parameters
+    counted in slices. An empty table gives an empty result; other columns are not read. The last four parameters
     bound what a task holds and change no result.
     """
     col = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     docs = docs.select(col(lang_col).alias("lang"), col(source_col).alias("source"), col(text_col).alias("text"))
-    leaves = materialise(count_terms(docs, counters))
-    merged = leaves.repartitionByRange("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    often = merged.withColumn("docs", F.sum("docs").over(W.partitionBy("lang", "term"))).where(F.col("docs") >= min_docs)
-    kept = materialise(often.select("lang", "term", "source", "n", F.spark_partition_id().alias("range")))
+    pieces = burst(materialise(count_terms(docs, counters)), container)
+    kept = materialise(merge(pieces, min_docs))
+    discard(pieces)
     groups = materialise(docs.select("lang", "source").distinct())
-    discard(leaves)
 
     in_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     by_term = kept.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count("*").alias("v"))

@@ -179,7 +179,7 @@ def brute_audit(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"counters": 30, "term_rows": 20, "pairs": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"counters": 30, "container": 50, "term_rows": 20, "pairs": 3}])
 def test_op12_brute_force(spark, bounds):
     rows = audit_rows()
     want = brute_audit(rows)
@@ -204,14 +204,20 @@ def test_op12_shares_of_large_counts():
     assert divergence.share(count, whole).tolist() == [1 + 10**9 * (c + 2) // w for c, w in zip(count.tolist(), whole.tolist())]
 
 
-def test_op12_trie_walks_in_byte_order():
-    rng, trie, want = random.Random(3), divergence.Trie(), {}
-    for i in range(3000):
-        word = "".join(rng.choice("abcé字") for _ in range(rng.randrange(1, 9))).encode()
-        want[word] = want.get(word, 0) + 1
-        leaf = trie.at(word)
-        leaf["s"] = leaf.get("s", 0) + 1
-    assert [(t, leaf["s"]) for t, leaf in trie.walk()] == sorted(want.items())
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_op12_containers_hold_the_trie(depth):
+    rng = random.Random(3)
+    leaves = {"".join(rng.choice("abcé字") for _ in range(rng.randrange(1, 9))).encode(): [(f"s{i}", rng.randrange(1, 9)) for i in rng.sample(range(5), rng.randrange(1, 5))] for _ in range(900)}
+    terms = sorted(leaves)
+    source, n = (np.array(x) for x in zip(*((int(s[1:]), n) for t in terms for s, n in leaves[t])))
+    batch = divergence.containers("xx", terms, np.arange(len(terms)), np.array([len(leaves[t]) for t in terms]), [f"s{i}" for i in range(5)], source, n, depth)
+    got, docs = {}, []
+    for _, prefix, rest, docs_of, sizes, names, at, count in divergence.opened(batch):
+        docs += docs_of.tolist()
+        counters = iter([(names[i], k) for i, k in zip(at, count)])
+        got |= {prefix + t: [next(counters) for _ in range(size)] for t, size in zip(rest, sizes)}
+    assert list(got.items()) == sorted(leaves.items()) and docs == list(range(len(terms)))
+    assert batch.column("prefix").to_pylist() == sorted({t[:depth] for t in terms})
 
 
 # op13
