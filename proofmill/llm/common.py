@@ -6,24 +6,34 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import discard, materialise, shuffles_freed
 
-__all__ = ["chunks", "discard", "materialise", "shuffles_freed", "small", "text_map", "text_slices"]
+__all__ = ["chunks", "discard", "materialise", "packed", "shuffles_freed", "small", "text_map", "text_slices", "unpacked"]
 
 #: Rows of texts handled at once inside a task hold at most about so many bytes.
 CHUNK_BYTES = 4 << 20
 
-#: A table is hinted as broadcast only below this many rows (each of a few fixed-width columns).
-BROADCAST_ROWS = 1_000_000
+#: A table is hinted as broadcast only below so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the counted rows are under ``limit``; else Spark plans a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when the counted bytes are under ``limit``; else Spark plans a shuffle join."""
+    return F.broadcast(df) if size <= limit else df
+
+
+def packed(df: DataFrame) -> Column:
+    """The whole row in one column, whatever its columns are called."""
+    return F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that :func:`packed` put into ``row``, under their names; those ``changed`` with new values."""
+    return df.select(*(changed.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)))
 
 
 def text_map(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import materialise, packed, small, unpacked
 
 #: Everything but letters, marks and digits separates words.
 SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
@@ -69,12 +69,15 @@ def contaminated(
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     sketch = index.where("in_sketch").select("h", "item")
     probe = _shingles(keyed.select("text_hash", words(F.col("text")).alias("words")), shingle, False)
-    probe = probe.join(small(sketch, sketch.count()), F.col("shingle") == F.col("h"))
+    # 8 bytes for a hash; an item's id may be a text.
+    size = sketch.agg(F.coalesce(F.sum(8 + F.coalesce(F.octet_length(F.col("item.item_id").cast("string")), F.lit(0))), F.lit(0))).first()[0]
+    probe = probe.join(small(sketch, size), F.col("shingle") == F.col("h"))
     found = materialise(probe.select("text_hash", "item").distinct())
     held = keyed.join(found.select("text_hash").distinct(), "text_hash", "left_semi")
     held = _shingles(held.select("doc_id", "text_hash", F.sha2("text", 256).alias("sha"), words(F.col("text")).alias("words")), shingle, True)
     # Only shingles of items go on, before anything is shuffled.
-    held = held.join(small(index.select("shingle").distinct(), index.count()), "shingle", "left_semi").distinct()
+    size = index.agg(F.coalesce(F.sum(F.octet_length("shingle")), F.lit(0))).first()[0]
+    held = held.join(small(index.select("shingle").distinct(), size), "shingle", "left_semi").distinct()
     asked = found.join(index.select("shingle", "item", "n"), "item")
     shared = held.join(asked, ["text_hash", "shingle"])
     counts = shared.groupBy("doc_id", "text_hash", "sha", "item", F.col("n").alias("n_shingles")).agg(F.count("*").alias("n_shared"))
@@ -88,9 +91,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **o
     Nulls, empty and very long texts, repeated rows and empty tables are handled as in :func:`contaminated`: null and short
     texts stay, repeated rows stay or go together. Columns keep their names and values, whatever they are called.
     """
-    bad = materialise(contaminated(docs, items, text_col=text_col, **options).select(F.col("text_hash").alias("__bad"), F.col("sha").alias("__sha")).distinct())
+    bad = materialise(contaminated(docs, items, text_col=text_col, **options).select(F.col("text_hash").alias("hash"), "sha").distinct())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(bad, (F.xxhash64(text) == F.col("__bad")) & (F.sha2(text, 256) == F.col("__sha")), "left_anti")
+    rows = docs.select(packed(docs), F.xxhash64(text).alias("hash"), F.sha2(text, 256).alias("sha"))
+    return unpacked(rows.join(bad, ["hash", "sha"], "left_anti"), docs.columns)
 
 
 #: DuckDB SQL for op4: plain containment of distinct 5-word shingles.
