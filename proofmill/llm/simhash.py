@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_map
+from .common import discard, materialise, packed, text_map, unpacked
 from .graph import components
 
 
@@ -275,6 +275,7 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts.withColumn("own", F.when(F.col("sha") != F.min("sha").over(W.partitionBy("text_hash")), F.col("sha")))
     first = F.min(F.struct("first.none", "first.id", "text_hash", "sha")).alias("first")
     keep = texts.join(groups, "text_hash").groupBy("group_id", "own").agg(first)
-    keep = materialise(keep.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.col("first.sha").alias("__sha")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (hashed == F.col("__hash")) & (sha == F.col("__sha"))
-    return docs.join(keep, same, "left_semi").dropDuplicates([id_col, text_col])
+    keep = materialise(keep.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("hash"), F.col("first.sha").alias("sha")))
+    rows = docs.select(packed(docs), F.col(id_col).cast("long").alias("id"), hashed.alias("hash"), sha.alias("sha")).alias("a")
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.sha") == F.col("b.sha"))
+    return unpacked(rows.join(keep.alias("b"), same, "left_semi").dropDuplicates(["id", "hash", "sha"]), docs.columns)
