@@ -29,7 +29,7 @@ def rule(verdict: str, entry: str) -> Rule:
 #: The entries of op9.
 RULES = (rule("block", "net/"), rule("allow", "example.net/en/"), rule("block", "example.com/de/"), rule("allow", "org/fr/"))
 
-_PATH, _END = "\0path", "\0end"
+_PATH, _END, _MOST = "\0path", "\0end", "\0most"
 
 
 def build_trie(rules: Iterable[Rule]) -> dict:
@@ -46,6 +46,7 @@ def build_trie(rules: Iterable[Rule]) -> dict:
         ends = node.setdefault(_END, {})
         if ends.get(rest, ("", "allow"))[1] != "block":  # of two equal entries the blocking one counts
             ends[rest] = (r.host + r.path, r.verdict)
+            node[_MOST] = max(node.get(_MOST, 0), len(rest))
     return root
 
 
@@ -61,8 +62,9 @@ def lookup(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         for segment in segments:
             if here is None:
                 break
-            ends = here.get(_END, {})
-            fit = max((e for e in ends if segment.startswith(e)), key=len, default=None)
+            ends = here.get(_END)
+            # The beginnings of the segment are looked up, so the number of entries that end here does not matter.
+            fit = ends and next((e for i in range(min(len(segment), here[_MOST]), -1, -1) if (e := segment[:i]) in ends), None)
             if fit is not None and (found is None or len(ends[fit][0]) >= len(found[0])):
                 found = ends[fit]
             here = here.get(segment)
