@@ -17,6 +17,8 @@ from .common import text_map
 
 #: Bounds of the samples that the classifiers learn from: rows per class, characters per row, bytes per dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 300, 20_000, 65_536
+#: Labels that are learned: those with the most rows, of equals the first in code-point order.
+LABELS = 256
 #: Rows that the quality score is calibrated on, at most.
 CALIBRATION_ROWS = 8_000
 _BITS = 30
@@ -33,7 +35,8 @@ def spread(labelled: DataFrame, label: str, rows: int) -> DataFrame:
 
     Counts per label set a hash threshold first, so only about twice the wanted rows are ever ranked.
     """
-    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}
+    most = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(LABELS)
+    counts = {r[label]: r["count"] for r in most.collect()}
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITS))
     below = [(F.col(label) == k) & (hashed < int((1 << _BITS) * min(1, (2 * rows + 100) / n))) for k, n in counts.items() if k is not None]
     near = one_each(labelled.where(reduce(lambda a, b: a | b, below, F.lit(False))), label)
