@@ -527,6 +527,37 @@ def test_op9_brute_force(spark):
     assert rows_of(urls.filter_urls(df, max_rules=3), "page_id", "host", "path", "rule", "verdict") == sorted(want, key=repr)
 
 
+def test_op9_many_entries_of_one_host():
+    rng = random.Random(19)
+    paths = lambda n: ["/" + "".join(rng.choice("abc/") for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+    rules = [urls.rule(rng.choice(("allow", "block")), "host.example" + p) for p in paths(300)]
+    trie, asked = urls.build_trie(rules), paths(500)
+    for path in asked:
+        fits = [(len(r.path), r.verdict == "block", "host.example" + r.path, r.verdict) for r in rules if path.startswith(r.path)]
+        assert urls.lookup(trie, "www.host.example", path) == (max(fits)[2:] if fits else None)
+    # Entries that end in one segment are looked up, not gone through.
+    most = lambda n: max(len(here[urls._END]) for here in [urls.build_trie([urls.rule("block", f"h/{i:06d}") for i in range(n)])["h"][urls._PATH][""]])
+    assert most(2000) == 2000
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return dict.__contains__(self, key)
+
+    trie = urls.build_trie([urls.rule("block", f"h/{i:06d}") for i in range(20_000)])
+    node = trie["h"][urls._PATH][""]
+    node[urls._END] = Counted(node[urls._END])
+    assert urls.lookup(trie, "h", "/019999xyz") == ("h/019999", "block") and Counted.asked <= 7
+
+
+def test_op5_bounds_its_labels(spark, monkeypatch):
+    monkeypatch.setattr(compression, "LABELS", 2)
+    rows = [(i, "some text here " * 5, ("en", "en", "en", "de", "de", f"x{i}")[i % 6], "web", 1, "x", 1, "y") for i in range(120)]
+    assert compression.learn_languages(spark.createDataFrame(rows, DOCS))[0] == ["de", "en"]
+
+
 def test_op9_trie_and_join_agree(spark):
     """Random entries and urls on both sides of the limit, against a scan of all entries."""
     rng = random.Random(10)

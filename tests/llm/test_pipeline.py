@@ -101,3 +101,25 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, kind in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id string, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    docs, labels, items = corpus(random.Random(72))
+    names = ("doc_id", "text", "lang", "source", "n_chars", "kept", "__sha", "__hash", "__id", "__bad", "score", "predicted", "held_out", "a.b", "row", "hash", "sha", "id", "n_removed", "text_hash", "key", "doc")
+    kinds = ["long", "string", "string", "string", "long"] + ["string"] * (len(names) - 5)
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    rows = [(*r, *(f"{n} of {r[0]}" for n in names[5:])) for r in docs]
+    rows += [(900, None, "en", "a", 0, *("x" for _ in names[5:])), (900, "", "en", "a", 0, *("x" for _ in names[5:]))]
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data, kind in (("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id string, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    wide, narrow = spark.createDataFrame(rows, schema), spark.createDataFrame([r[:5] for r in rows], plain)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out, want = stage(spark, wide, str(tmp_path)), stage(spark, narrow, str(tmp_path))
+        assert out.columns == list(names)
+        got = out.collect()
+        assert sorted((tuple(r[:5]) for r in got), key=repr) == sorted(map(tuple, want.collect()), key=repr), name
+        assert all(r[5:] == tuple("x" if r[0] == 900 else f"{n} of {r[0]}" for n in names[5:]) for r in got), name
+        if name == "near_dedup":
+            assert sum(not r[1] for r in got) == 1
+    assert corpus_pipeline.mix_sources(spark, wide, str(tmp_path)).count() == corpus_pipeline.mix_sources(spark, narrow, str(tmp_path)).count() > 0
