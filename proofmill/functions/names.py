@@ -1,11 +1,11 @@
-"""Tolerant name matching, native throughout: the arrays of names stay inside one row, so no cross join arises."""
+"""What names, payees and payment handles are made of, as native expressions; :mod:`proofmill.operators.receivers` matches them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, norm_name
+from .text import norm_name
 
 #: Words that carry no identity.
 GENERIC = (
@@ -32,10 +32,6 @@ def distinctive(name: Column) -> Column:
     return F.filter(F.split(name, " "), lambda t: (F.length(t) >= 3) & ~t.isin(*GENERIC))
 
 
-def field_match(name: Column, candidate: Column) -> Column:
-    return (candidate != "") & (F.contains(name, candidate) | F.contains(candidate, name))
-
-
 def token_match(accepted: Column, token: Column) -> Column:
     """Equal, or within one typo from four letters on, two from eight."""
     return F.when(F.length(accepted) >= 8, F.levenshtein(accepted, token, 2) >= 0).when(
@@ -43,18 +39,6 @@ def token_match(accepted: Column, token: Column) -> Column:
     ).otherwise(accepted == token)
 
 
-def profile(name: Column) -> Column:
-    """What matching needs of an accepted name: ``struct(name, norm, tokens, pattern)``."""
-    of = lambda n: F.struct(name.alias("name"), n.alias("norm"), distinctive(n).alias("tokens"), name_pattern(n).alias("pattern"))
-    return let(norm_name(name), of)
-
-
-def soft_match(candidate: Column, candidate_tokens: Column, accepted: Column) -> Column:
-    """A normalised payee against the :func:`profile` of a name: containment either way, or one distinctive token."""
-    anchored = F.exists(accepted["tokens"], lambda t: F.exists(candidate_tokens, lambda c: token_match(t, c)))
-    return (accepted["norm"] != "") & (candidate != "") & (field_match(accepted["norm"], candidate) | anchored)
-
-
 def word_in_text(name: Column, text: Column) -> Column:
     """A normalised name as whole words of a normalised text."""
     return (name != "") & (text != "") & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" ")))
@@ -74,14 +58,3 @@ def name_pattern(n: Column) -> Column:
     own = F.array_join(distinctive(n), "|")
     piece = F.concat(F.lit("(?:"), pieces, F.lit("|[0-9])*"))
     return F.when(own != "", F.concat(F.lit("^"), piece, F.lit("(?:"), own, F.lit(")"), piece, F.lit("$")))
-
-
-def handle_hit(found: Column, accepted: Column) -> Column:
-    """``struct(name, handle)`` of the first name, then the first of the handles ``found`` that carries it; else null."""
-
-    def of(name: Column) -> Column:
-        segments = lambda h: F.split(F.element_at(F.split(h, "@"), 1), "[._-]")
-        hit = F.filter(found, lambda h: F.exists(segments(h), lambda s: (s != "") & F.rlike(s, name["pattern"])))
-        return F.struct(name["name"].alias("name"), F.get(hit, 0).alias("handle"))
-
-    return F.when(F.size(found) > 0, F.get(F.filter(F.transform(accepted, of), lambda x: x["handle"].isNotNull()), 0))

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, names, text
-from . import classify
+from ..functions import dates, text
+from . import classify, receivers
 
 #: Rows of the rule and receiver tables (one per lender) that are broadcast at most.
 MAX_LENDERS = 100_000
@@ -38,16 +38,16 @@ def load_lender_table(spark: SparkSession, rules_path: str, receivers_path: str)
 
 
 def with_rule(leads: DataFrame, lenders: DataFrame, lender: str = "institute_name") -> DataFrame:
-    """Add ``rule``: the lender's own, else the default's without receivers; ``accepted`` in it has the receivers' profiles.
+    """Add ``rule``: the lender's own, else the default's without receivers.
 
     ``lenders`` is configuration with a row for each lender; more than ``MAX_LENDERS`` rows are joined by a shuffle.
     """
     hint = F.broadcast if lenders.limit(MAX_LENDERS + 1).count() <= MAX_LENDERS else lambda df: df
-    full = lenders.withColumn("accepted", F.transform("receivers", names.profile))
+    full = lenders.withColumn("has_receivers", F.size("receivers") > 0).drop("receivers")
     named = full.where("lender <> '__default__'").select(F.col("lender").alias("__l"), F.struct(*full.columns).alias("own"))
     default = full.where("lender = '__default__'").select(F.struct(*full.columns).alias("base"))
     joined = leads.join(hint(named), F.col(lender) == F.col("__l"), "left").crossJoin(F.broadcast(default.limit(1)))
-    bare = F.col("base").withField("receivers", F.array().cast("array<string>")).withField("accepted", F.filter("base.accepted", lambda _: F.lit(False)))
+    bare = F.col("base").withField("has_receivers", F.lit(False))
     return joined.withColumn("rule", F.coalesce("own", bare)).drop("own", "base", "__l")
 
 
@@ -71,36 +71,28 @@ def check_date(d: Column, s: Column, tol: Column) -> Column:
     )
 
 
-def check_receiver(receiver: Column, full_text: Column, lender: Column, allow: Column) -> Column:
+def check_receiver(receiver: Column, lender: Column, some: Column, hits: dict[str, Column]) -> Column:
     """Own name, then allowed names, then a payment handle; a payee that matches none fails; without a payee, whole words of the text.
 
-    ``allow`` holds profiles of names (:func:`names.profile`).
+    ``some``: the lender has allowed names. ``hits`` are the names found by :func:`receivers.with_hits`.
     """
     say = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-
-    def judge(v: Column) -> Column:
-        cand, own, who, some = v["cand"], v["own"], text.strip(receiver), F.size(allow) > 0
-        first = lambda pool: F.get(F.filter(pool, lambda n: names.soft_match(cand, v["tokens"], n)), 0)["name"]
-        written = lambda body: F.get(F.filter(F.concat(allow, own), lambda n: names.word_in_text(n["norm"], body)), 0)["name"]
-        ok = lambda hit, *message: F.when(hit.isNotNull(), F.struct(F.lit(True).alias("ok"), say(*message).alias("msg")))
-        return F.coalesce(
-            text.let(first(own), lambda n: ok(n, "receiver matches lender name '", n, "'")),
-            text.let(first(allow), lambda n: ok(n, "receiver matches approved receiver '", n, "'")),
-            text.let(names.handle_hit(names.handles(full_text), F.concat(own, allow)), lambda h: ok(h, "receiver UPI id '", h["handle"], "' carries '", h["name"], "'")),
-            _result(
-                ((cand != "") & some, False, say("receiver '", who, "' is not among accepted names for ", lender)),
-                (cand != "", False, say("receiver '", who, "' does not match ", lender, " (no allowlist configured)")),
-            ),
-            text.let(text.let(text.norm_name(full_text), written), lambda n: ok(n, "payee not in a field; '", n, "' found on document")),
-            _result(
-                (some, False, say("receiver unreadable and no accepted name found on document for ", lender)),
-                (F.lit(True), False, say("no accepted-receiver list configured for ", lender, ", and lender name not found on document")),
-            ),
-        )
-
-    pool = F.transform(names.self_names(lender), names.profile)
-    known = lambda cand: F.struct(cand.alias("cand"), F.split(cand, " ").alias("tokens"), pool.alias("own"))
-    return text.let(text.let(text.norm_name(receiver), known), judge)
+    ok = lambda hit, *message: F.when(hits[hit].isNotNull(), F.struct(F.lit(True).alias("ok"), say(*message).alias("msg")))
+    who, named = text.strip(receiver), text.norm_name(receiver) != ""
+    return F.coalesce(
+        ok("own_name", "receiver matches lender name '", hits["own_name"], "'"),
+        ok("allowed_name", "receiver matches approved receiver '", hits["allowed_name"], "'"),
+        ok("handle_name", "receiver UPI id '", hits["handle"], "' carries '", hits["handle_name"], "'"),
+        _result(
+            (named & some, False, say("receiver '", who, "' is not among accepted names for ", lender)),
+            (named, False, say("receiver '", who, "' does not match ", lender, " (no allowlist configured)")),
+        ),
+        ok("written_name", "payee not in a field; '", hits["written_name"], "' found on document"),
+        _result(
+            (some, False, say("receiver unreadable and no accepted name found on document for ", lender)),
+            (F.lit(True), False, say("no accepted-receiver list configured for ", lender, ", and lender name not found on document")),
+        ),
+    )
 
 
 def check_lan(d: Column, s: Column) -> Column:
@@ -126,10 +118,12 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only:
 
     Reads ``institute_name, payment_amount, payment_date, loan_account_number`` and the document's ``doc_amount,
     doc_date, doc_receiver, doc_lan, doc_text``. Adds ``status, reason, failed_fields, matched_fields, flag,
-    date_gap_days, amount_delta, details``. One narrow projection; only the lender table is joined, as a broadcast.
+    date_gap_days, amount_delta, details``. The lender table is joined as a broadcast; names are matched once for every different
+    payee, handle list and text (:mod:`receivers`), for which ``leads`` is read several times: write it first if it is costly.
     """
     c = F.col
-    df = with_rule(leads, lenders)
+    hits = ("own_name", "allowed_name", "handle_name", "handle", "written_name")
+    df = with_rule(receivers.with_hits(leads, lenders, F.lit(True) if only is None else only), lenders)
     read = F.struct(
         dates.parse_date(c("doc_date"), fuzzy_dates).alias("dd"), dates.parse_date(c("payment_date"), fuzzy_dates).alias("sd"), text.num(c("doc_amount")).alias("da"),
         text.num(c("payment_amount")).alias("sa"), text.digits(c("doc_lan")).alias("dl"), text.digits(c("loan_account_number")).alias("sl"),
@@ -138,7 +132,7 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only:
     def checked(v: Column) -> Column:
         by_field = {
             "date": check_date(v["dd"], v["sd"], c("rule.date_tol")), "amount": check_amount(v["da"], v["sa"], c("rule.amt_tol")),
-            "receiver": check_receiver(c("doc_receiver"), c("doc_text"), c("institute_name"), c("rule.accepted")), "loan_account_number": check_lan(v["dl"], v["sl"]),
+            "receiver": check_receiver(c("doc_receiver"), c("institute_name"), c("rule.has_receivers"), {n: c(n) for n in hits}), "loan_account_number": check_lan(v["dl"], v["sl"]),
         }
         one = lambda f: F.coalesce(*(F.when(f == n, check) for n, check in by_field.items()))
         results = F.transform(c("rule.mandatory"), lambda f: text.let(one(f), lambda x: F.struct(f.alias("field"), x["ok"].alias("ok"), x["msg"].alias("msg"))))
@@ -161,4 +155,4 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only:
         "date_gap_days": c("__v.gap"),
         "amount_delta": c("__v.delta"),
         "details": F.map_from_entries(F.transform("__v.r", lambda r: F.struct(r["field"], r["msg"]))),
-    }).drop("__v", "rule")
+    }).drop("__v", "rule", *hits)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import classify, dedup, tables, verify
+from ..sources.scratch import materialise
 
 DOC = ("doc_amount", "doc_date", "doc_receiver", "doc_lan", "doc_text")
 
@@ -25,14 +26,16 @@ def process(leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ledger
 
     Duplicates stop before any document is read; leads without an extraction are unprocessed; documents
     without payment evidence are no documents; the rest is verified. A lead whose loan account is new
-    under a known lead code is never verified. The extraction joins only leads that still need it.
+    under a known lead code is never verified. The extraction joins only leads that still need it; these rows are written once, as
+    the match of receivers reads them several times.
     """
     judged = dedup.dedup_verdicts(leads, ledger, fuzzy_dates=fuzzy_dates)
     ids = [c for c in leads.columns]
     stopped = judged.where("dedup = 'duplicate'")
     alive = with_documents(judged.where("dedup <> 'duplicate'"), extractions)
     evidence = classify.is_candidate(F.col("doc_text"), {"amount": F.col("doc_amount"), "loan_account_number": F.col("doc_lan")})
-    seen = verify.verify(alive.withColumn("__evidence", evidence), lenders, fuzzy_dates, F.col("has_doc") & F.col("__evidence"))
+    alive = materialise(alive.withColumn("__evidence", evidence))
+    seen = verify.verify(alive, lenders, fuzzy_dates, F.col("has_doc") & F.col("__evidence"))
     none = F.array().cast("array<string>")
     held, unread, blank = F.col("dedup") == "manual_review", F.col("has_doc").isNull(), ~F.col("__evidence")
     status = F.when(unread, "unprocessed").when(blank, "non_document").when(held, "unverified").otherwise(F.col("status"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofmill.functions import dates, images, names, text
-from proofmill.operators import mapping, tables, verify
+from proofmill.operators import mapping, receivers, tables, verify
 from proofmill.plans import leads, metrics
 from proofmill.queries import RECEIVERS, RULES
 from proofmill.sources import readers
@@ -53,8 +53,9 @@ def test_dates_are_those_of_the_parser(spark):
 ])
 def test_handles(spark, handle, name, hit):
     began = time.time()
-    found = names.handle_hit(names.handles(F.lit(f"utr {handle} ok")), F.array(names.profile(F.lit(name))))
-    assert (spark.range(1).select(found.alias("x")).first()["x"] is not None) == hit and time.time() - began < 30
+    accepted = spark.createDataFrame([("L", 0, False, name, name.lower())], "lender string, rank int, own boolean, name string, norm string")
+    found = spark.range(1).select(F.lit("L").alias("lender"), names.handles(F.lit(f"utr {handle} ok")).alias("handles"))
+    assert (receivers.handle_hits(found, accepted).count() == 1) == hit and time.time() - began < 30
 
 
 def test_image_quality(spark):
