@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from ..sources.scratch import materialise
 
 #: Letters of the beginnings by which one name is looked for inside another.
 GRAM = 4
@@ -111,7 +112,8 @@ def with_hits(leads: DataFrame, lenders: DataFrame, only: Column) -> DataFrame:
         "__body": F.when(asks & (cand == ""), text.norm_name(c("doc_text"))),
     })
     of = lambda key, name: keyed.where(c(key).isNotNull()).select(c("__lender").alias("lender"), c(key).alias(name))
-    accepted = accepted_names(keyed.where("__lender IS NOT NULL").select(c("__lender").alias("lender")).distinct(), lenders)
+    # Written, so that Spark knows its size when it plans the lookups.
+    accepted = materialise(accepted_names(keyed.where("__lender IS NOT NULL").select(c("__lender").alias("lender")).distinct(), lenders))
     out = keyed
     for key, name, hits in (("__cand", "cand", payee_hits), ("__handles", "handles", handle_hits), ("__body", "body", written_hits)):
         found = hits(of(key, name), accepted).withColumnsRenamed({"lender": "__of", name: "__key"})
