@@ -3,50 +3,78 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..operators.cursors import REASON, quarantine_key, run_row
 from ..operators.dedup import with_identity
+from ..operators.keyed import KeyedTable
 from ..operators.mapping import Mapping, map_rows
-from ..operators.tables import insert_if_absent
+from ..sources.scratch import discard, materialise
 
 #: Priorities of rows that arrive live and of those that a backfill brings.
 LIVE, BACKFILL = 5, 8
 
 
-def absent(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """The rows whose keys the Parquet table at ``path`` lacks; of equal keys the first in column order."""
-    try:
-        table = rows.sparkSession.read.parquet(path)
-    except AnalysisException:  # the table starts with this batch
-        table = rows.limit(0)
-    return insert_if_absent(table, rows, keys, *map(F.col, rows.columns))
+def queue_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> KeyedTable:
+    return KeyedTable(spark, path, ["lead_id"], schema)
 
 
-def ingest(raw: DataFrame, mapping: Mapping, queue: str, quarantine: str, priority: int = LIVE) -> None:
-    """Valid rows into ``queue`` unless their lead is there, the others into ``quarantine`` with the reason.
+def quarantine_table(spark: SparkSession, path: str) -> KeyedTable:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "source_key", "source_row", "reason")])
+    return KeyedTable(spark, path, ["source", "source_key"], schema.add("first_seen", T.TimestampType()).add("resolved", T.BooleanType()), {"first_seen": "min"})
 
-    Running a batch again adds nothing, so a restart after a failure between the two writes is harmless.
-    """
-    rows = map_rows(raw, mapping)
-    valid = rows.where("reason IS NULL").drop("reason").withColumns({"priority": F.lit(priority), "status": F.lit("pending")})
-    absent(valid, queue, ["lead_id"]).write.mode("append").parquet(queue)
-    bad = rows.where("reason IS NOT NULL")
-    bad = bad.select(F.sha1(F.to_json(F.struct(*bad.columns))).alias("row_key"), "lead_id", "reason", F.lit(False).alias("resolved"))
-    absent(bad, quarantine, ["row_key"]).write.mode("append").parquet(quarantine)
 
+def ingest(raw: DataFrame, mapping: Mapping, queue: str, quarantine: str, priority: int = LIVE, batch: str = "batch", source: str = "primary", runs: str | None = None) -> None:
+    """Valid rows into ``queue`` unless their lead is there; the others into ``quarantine`` with the reason, where a row that comes again is unresolved again.
 
-def start_ingest(stream: DataFrame, mapping: Mapping, queue: str, quarantine: str, checkpoint: str, backfill: bool = False) -> StreamingQuery:
+    ``runs`` gets a row of counts for the batch. Running a batch again replaces what it wrote, so a restart after a failure
+    between two writes is harmless. The mapped rows are written once, so that the source is read once.
+    """
+    spark, started = raw.sparkSession, datetime.now(UTC)
+    rows = materialise(map_rows(raw, mapping))
+    valid = rows.where("reason IS NULL").drop("reason").withColumns({"priority": F.lit(priority), "status": F.lit("pending")})
+    table = queue_table(spark, queue, valid.schema)
+    new = materialise(table.absent(valid, batch))
+    table.write(new, batch)
+    content = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in ("lead_id", "reason"))))
+    bad = rows.where("reason IS NOT NULL").select(
+        F.lit(source).alias("source"), quarantine_key(F.col("lead_id"), content).alias("source_key"), content.alias("source_row"), F.substring("reason", 1, REASON).alias("reason"),
+        F.lit(started).alias("first_seen"), F.lit(False).alias("resolved"),
+    )
+    quarantine_table(spark, quarantine).write(bad, batch)
+    if runs:
+        seen = rows.select("reason", "lead_id").join(new.select("lead_id").withColumn("is_new", F.lit(True)), "lead_id", "left")
+        # Of rows with one lead in a batch one is new, the others are duplicates.
+        counted = seen.withColumn("is_new", F.col("is_new") & (F.row_number().over(W.partitionBy("lead_id").orderBy(F.col("reason").isNotNull())) == 1))
+        row = run_row(counted.withColumn("is_new", F.coalesce("is_new", F.lit(False))), source, "backfill" if priority == BACKFILL else "live", F.lit(started), F.current_timestamp())
+        row.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{runs}/run={source}-{batch}")
+    discard(rows, new)
+
+
+def start_ingest(
+    stream: DataFrame, mapping: Mapping, queue: str, quarantine: str, checkpoint: str, backfill: bool = False, source: str = "primary", runs: str | None = None, compact_every: int = 50
+) -> StreamingQuery:
     """Ingest every micro-batch of ``stream``; late rows are accepted, as nothing here depends on time.
 
     The checkpoint holds the source's offsets: it is the cursor, it never goes back, and one query at a time
-    may use it. A backfill reads what there is, in batches as the source limits them, and stops.
+    may use it. A backfill reads what there is, in batches as the source limits them, and stops. Every ``compact_every``
+    batches the tables' logs are folded into their bases.
     """
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: ingest(df, mapping, queue, quarantine, BACKFILL if backfill else LIVE))
+
+    def take(df: DataFrame, n: int) -> None:
+        if n and n % compact_every == 0:  # before the batch, so that repeating it finds its own log
+            queue_table(df.sparkSession, queue).compact()
+            quarantine_table(df.sparkSession, quarantine).compact()
+        ingest(df, mapping, queue, quarantine, BACKFILL if backfill else LIVE, f"{source}-{n}", source, runs)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
     return (writer.trigger(availableNow=True) if backfill else writer.trigger(processingTime="120 seconds")).start()
 
 

@@ -1,4 +1,5 @@
 import json
+import sqlite3
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from proofmill.operators.dedup import dedup_verdicts
 from proofmill.operators.mapping import Mapping
 from proofmill.sources import readers, sinks
-from proofmill.streaming import ingest
+from proofmill.streaming import ingest, polling
 
 
 def test_csv_and_submit(spark, tmp_path):
@@ -70,19 +71,48 @@ def test_sinks(spark, tmp_path):
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
-    src, queue, bad, ck = (str(tmp_path / n) for n in ("src", "queue", "bad", "ck"))
+    src, queue, bad, ck, runs = (str(tmp_path / n) for n in ("src", "queue", "bad", "ck", "runs"))
     m = Mapping({"institute_name": "lender", "payment_amount": "amount"}, "created_at", "id", "LEAD-", ["institute_name"])
     schema = "id string, lender string, amount string, created_at string"
     write = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").json(src)
+    leads = lambda: sorted(r["lead_id"] for r in ingest.queue_table(spark, queue).read().collect())
+    held = lambda: sorted((r["source_key"], r["reason"], r["resolved"]) for r in ingest.quarantine_table(spark, bad).read().collect())
     write([("1", "A", "5", "t"), ("2", "", "5", "t"), ("3", "B", "x", "t"), ("1", "A", "5", "t")])
-    stream = spark.readStream.schema(schema).json(src)
-    ingest.start_ingest(stream, m, queue, bad, ck, backfill=True).awaitTermination()
-    write([("1", "A", "5", "t"), ("4", "A", "7", "s")])
-    ingest.start_ingest(stream, m, queue, bad, ck, backfill=True).awaitTermination()
-    assert sorted(r["lead_id"] for r in spark.read.parquet(queue).collect()) == ["LEAD-1", "LEAD-4"]
-    assert sorted((r["lead_id"], r["reason"]) for r in spark.read.parquet(bad).collect()) == [("LEAD-2", "missing required field 'institute_name'"), ("LEAD-3", "payment_amount not numeric: 'x'")]
-    ingest.ingest(spark.read.schema(schema).json(src), m, queue, bad)
-    assert spark.read.parquet(queue).count() == 2 and spark.read.parquet(bad).count() == 2
+    run = lambda: ingest.start_ingest(spark.readStream.schema(schema).json(src), m, queue, bad, ck, backfill=True, runs=runs, compact_every=2).awaitTermination()
+    run()
+    faults = [("LEAD-2", "missing required field 'institute_name'", False), ("LEAD-3", "payment_amount not numeric: 'x'", False)]
+    assert leads() == ["LEAD-1"] and held() == faults
+    # Somebody resolves a row; it comes again with another fault and is open again.
+    table = ingest.quarantine_table(spark, bad)
+    table.write(table.read().where("source_key = 'LEAD-3'").withColumn("resolved", F.lit(True)), "by-hand")
+    assert held()[1][2] is True
+    write([("1", "A", "5", "t"), ("4", "A", "7", "s"), ("3", "B", "y", "t")])
+    run()
+    assert leads() == ["LEAD-1", "LEAD-4"] and held() == [faults[0], ("LEAD-3", "payment_amount not numeric: 'y'", False)]
+    write([("5", "A", "5", "t")])
+    run()  # the third batch compacts first
+    assert leads() == ["LEAD-1", "LEAD-4", "LEAD-5"] and held() == [faults[0], ("LEAD-3", "payment_amount not numeric: 'y'", False)]
+    counts = spark.read.parquet(runs).select("rows_seen", "enqueued", "duplicates", "quarantined").collect()
+    assert sorted(map(tuple, counts)) == [(1, 1, 0, 0), (3, 1, 1, 1), (4, 1, 1, 2)]
+    # A batch that is run again replaces itself.
+    for _ in range(2):
+        ingest.ingest(spark.createDataFrame([("9", "A", "5", "t"), ("1", "A", "5", "t")], schema), m, queue, bad, batch="again")
+        assert leads() == ["LEAD-1", "LEAD-4", "LEAD-5", "LEAD-9"]
+
+
+def test_ingest_polls_a_table(spark, tmp_path):
+    base, queue, bad, ck = (str(tmp_path / n) for n in ("source.db", "queue", "bad", "ck"))
+    con = sqlite3.connect(base)
+    con.execute("CREATE TABLE leads (id INTEGER PRIMARY KEY, created_at TEXT, lender TEXT, amount TEXT)")
+    con.executemany("INSERT INTO leads VALUES (?, ?, ?, ?)", [(i, f"2024-01-01 00:{i:02d}:00", "A" if i % 7 else "", str(i)) for i in range(50)])
+    con.commit()
+    con.close()
+    m = Mapping({"institute_name": "lender", "payment_amount": "amount"}, "created_at", "id", "LEAD-", ["institute_name"])
+    for _ in range(2):
+        stream = polling.poll(spark, ck, module="sqlite3", connect=base, table="leads", columns="id, created_at, lender, amount", **{"from": "2024-01-01 00:00:00"})
+        ingest.start_ingest(stream, m, queue, bad, ck, backfill=True).awaitTermination()
+    assert sorted(r["lead_id"] for r in ingest.queue_table(spark, queue).read().collect()) == sorted(f"LEAD-{i}" for i in range(50) if i % 7)
+    assert ingest.quarantine_table(spark, bad).read().count() == 8
 
 
 def test_dedup_stream_agrees_with_batch(spark, tmp_path):
