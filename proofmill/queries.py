@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from . import oracle
 from .functions import dates, images, text
 from .operators import cache, classify, cursors, dedup, mapping, tables, verify
 from .plans import leads, metrics
+from .streaming import alerts
 from .views import register, view, with_views
 
 #: Configuration of the queries: rules and receivers of the lenders in the lead views.
@@ -418,6 +420,21 @@ def a25_undecided(spark, sf):
     return out.select("lender", "receiver_norm", "first_lead", F.col("count").alias("n"), "ready")
 
 
+_SPAN = "(CASE rule WHEN 'truncation' THEN 15 ELSE 10 END)"
+
+
+@query(f"""WITH e AS (SELECT cast(floor((epoch_us(ts) - 1) / 60000000) AS bigint) + 1 AS minute, ms, coalesce(model_error, '') AS err, finish_reason FROM lead_events WHERE stage = 'stage2_ocr_classify'),
+h AS (SELECT minute, 'model_errors' AS rule, 0.0::DOUBLE AS v FROM e WHERE err <> '' UNION ALL SELECT minute, 'latency_p95', ms FROM e WHERE ms IS NOT NULL UNION ALL SELECT minute, 'truncation', 0.0 FROM e WHERE finish_reason = 'length'),
+s AS (SELECT rule, unnest(range(minute, minute + {_SPAN})) AS minute, v FROM h),
+f AS (SELECT rule, minute, minute - row_number() OVER (PARTITION BY rule ORDER BY minute) AS run FROM s GROUP BY rule, minute HAVING CASE WHEN rule = 'latency_p95' THEN quantile_cont(v, 0.95) > 100 ELSE count(*) > 0 END),
+r AS (SELECT rule, min(minute) AS a, max(minute) AS b, CASE WHEN rule = 'latency_p95' THEN 5 ELSE 0 END AS hold FROM f GROUP BY rule, run)
+SELECT rule, a AS minute, 'pending' AS state FROM r WHERE hold > 0 UNION ALL SELECT rule, a + hold, 'firing' FROM r WHERE b - a >= hold UNION ALL SELECT rule, b + 1, CASE WHEN b - a >= hold THEN 'resolved' ELSE 'normal' END FROM r""")
+def a38_alert_states(spark, sf):
+    """When each alert became pending, fired and ended; slow means 100 ms here, as the events' times are small."""
+    watched = tuple(replace(r, limit=100.0) if r.quantile else r for r in alerts.RULES)
+    return alerts.states(view(spark, sf, "lead_events"), watched).select("rule", F.floor(F.unix_timestamp("minute") / 60).alias("minute"), "state")
+
+
 def _sql_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = metrics.analytics(metrics.SPARK)[name]
@@ -431,3 +448,22 @@ def _sql_query(name: str):
 for _name, _sql in metrics.analytics(metrics.DUCKDB).items():
     QUERIES[_name] = _sql_query(_name)
     ORACLE[_name] = with_views(_sql)
+
+
+def a7_model_latency(spark, sf):
+    """Percentiles of the model's time, selected over all events."""
+    return metrics.model_latency(tables.scoped(view(spark, sf, "lead_events")))
+
+
+def a10_stage_timings(spark, sf):
+    """A10: mean and 95th percentile of every stage."""
+    return metrics.stage_timings(tables.scoped(view(spark, sf, "lead_events"))).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+def a37_time_per_stage(spark, sf):
+    """The panel of whole milliseconds."""
+    return metrics.stage_timings(view(spark, sf, "lead_events")).select("stage", "n", F.round("avg_ms").alias("avg_ms"), F.round("p95_ms").alias("p95_ms"))
+
+
+for _f in (a7_model_latency, a10_stage_timings, a37_time_per_stage):
+    QUERIES[_f.__name__] = _f
