@@ -29,9 +29,9 @@ from .common import discard, materialise, text_slices
 #: The scale of shares, the terms listed for each source.
 SCALE, BEST = 1_000_000_000, 10
 #: Bytes that lead to a container at first; counters that one prefix may bring together before its containers burst.
-DEPTH, CONTAINER = 2, 2_000_000
+DEPTH, CONTAINER = 2, 1_000_000
 #: Counters that a task holds before it hands on its trie; rows of terms and pairs of sources that one comparison holds.
-COUNTERS, TERM_ROWS, PAIRS = 500_000, 100_000, 4_000_000
+COUNTERS, TERM_ROWS, PAIRS = 250_000, 50_000, 4_000_000
 #: Cells of the dense blocks that are compared at once.
 CELLS = 1 << 20
 #: A-Z to a-z; letters and all bytes beyond ASCII stay, the rest separates.
