@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +101,11 @@ class Claims(StatefulProcessor):
         self.owners = handle.getMapState("owners", "loan string, paid string", "lead_id string")
         self.loans = handle.getMapState("loans", "loan string", "known boolean")
 
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples():
+            self.owners.updateValue((r.loan, r.paid), (r.lead_id,))
+            self.loans.updateValue((r.loan,), (True,))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         out, any_known = [], next(iter(self.loans.keys()), None) is not None
         for r in pd.concat(list(rows)).sort_values(["seq", "lead_id"]).itertuples():
@@ -119,15 +124,35 @@ class Claims(StatefulProcessor):
         pass
 
 
-def dedup_stream(leads: DataFrame, order: str = "seq") -> DataFrame:
+def _claims(rows: DataFrame, *more: Column | str) -> DataFrame:
+    return rows.select("is_test", F.col("lead_code").alias("code"), "lead_id", F.col("loan_acct").alias("loan"), F.concat_ws("|", "amount", "pay_ym").alias("paid"), *more)
+
+
+def dedup_stream(leads: DataFrame, order: str = "seq", ledger: DataFrame | None = None) -> DataFrame:
     """``lead_id, dedup, owner`` for a stream of leads: the batch verdicts, kept across micro-batches.
 
     State is held for each lead code (real and test rows apart), one entry for each claim, so it grows with the claims and no
     row of it does; it is kept in RocksDB, which this sets as the session's state store. Inside a micro-batch leads count in the
     order of ``order``, then ``lead_id``; the leads that a code has in one micro-batch are sorted in one task, so the
     source's limit on micro-batches bounds them. A lead that comes again meets its own claim and keeps its owner.
+
+    ``ledger`` (rows as from :func:`dedup.ledger_rows`, one for each identity) is the state of a new query's first batch, so that
+    it goes on where a batch job ended; a query that restarts from its checkpoint has it already.
     """
     leads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     part = with_identity(leads).where("identity IS NOT NULL")
-    rows = part.select("is_test", F.col("identity.lead_code").alias("code"), F.col(order).cast("long").alias("seq"), "lead_id", F.col("identity.loan_acct").alias("loan"), F.concat_ws("|", "identity.amount", "identity.pay_ym").alias("paid"))
-    return rows.groupBy("is_test", "code").transformWithStateInPandas(Claims(), "lead_id string, dedup string, owner string", "append", "none")
+    rows = _claims(part.select("is_test", "lead_id", "identity.*", F.col(order).cast("long").alias("seq")), "seq")
+    known = None if ledger is None else _claims(ledger).groupBy("is_test", "code")
+    return rows.groupBy("is_test", "code").transformWithStateInPandas(Claims(), "lead_id string, dedup string, owner string", "append", "none", known)
+
+
+def ledger_difference(spark: SparkSession, checkpoint: str, ledger: DataFrame) -> DataFrame:
+    """Claims that only one of a stream's state and a ledger has: ``is_test, code, loan, paid, in_state, in_ledger`` (the owners).
+
+    The state is read from the checkpoint by Spark's own reader, one state variable at a time.
+    """
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "owners").load()
+    held = state.select("key.is_test", "key.code", "user_map_key.loan", "user_map_key.paid", F.col("user_map_value.lead_id").alias("in_state"))
+    claims = _claims(ledger).withColumnRenamed("lead_id", "in_ledger")
+    both = held.join(claims, ["is_test", "code", "loan", "paid"], "full_outer")
+    return both.where(~F.col("in_state").eqNullSafe(F.col("in_ledger")))

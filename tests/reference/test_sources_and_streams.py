@@ -6,7 +6,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.operators.dedup import dedup_verdicts
+from proofmill.operators import lookup
+from proofmill.operators.dedup import dedup_verdicts, ledger_rows
 from proofmill.operators.mapping import Mapping
 from proofmill.sources import readers, sinks
 from proofmill.streaming import ingest, polling
@@ -128,6 +129,54 @@ def test_dedup_stream_agrees_with_batch(spark, tmp_path):
     assert got == sorted(map(tuple, batch))
 
 
+def test_dedup_stream_goes_on_from_a_ledger(spark, tmp_path):
+    schema = "lead_id string, seq long, is_test boolean, lead_code string, loan_account_number string, payment_amount string, payment_date string"
+    rows = [(f"L{i:03d}", i, False, f"C{i % 4}", f"ln{i * 7 % 5}", str(100 + i % 3), f"2024-0{1 + i % 2}-05") for i in range(90)]
+    old, new = spark.createDataFrame(rows[:40], schema), rows[40:]
+    ledger = ledger_rows(old, spark.createDataFrame([(r[0], False) for r in rows[:40]], "lead_id string, is_test boolean"))
+    for lo in (0, 25):
+        spark.createDataFrame(new[lo : lo + 25], schema).coalesce(1).write.mode("append").json(str(tmp_path / "s"))
+        out = ingest.dedup_stream(spark.readStream.schema(schema).json(str(tmp_path / "s")), ledger=ledger)
+        out.writeStream.option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).format("parquet").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).select("lead_id", "dedup", "owner").collect()))
+    every = dedup_verdicts(spark.createDataFrame(rows, schema)).select("lead_id", "dedup", "owner").collect()
+    assert got == sorted(tuple(r) for r in every if r["lead_id"] >= "L040") and "duplicate" in {r[1] for r in got}
+    # The state holds what the ledger of all leads has, and no more.
+    whole = ledger_rows(spark.createDataFrame(rows, schema), spark.createDataFrame([(r[0], False) for r in rows], "lead_id string, is_test boolean"))
+    assert ingest.ledger_difference(spark, str(tmp_path / "c"), whole).count() == 0
+    assert ingest.ledger_difference(spark, str(tmp_path / "c"), ledger).count() == whole.count() - ledger.count() > 0
+
+
+def test_database_by_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/derby;create=true"
+    rows = spark.range(1000).select((F.col("id") * 3).cast("int").alias("id"), F.concat(F.lit("lead "), "id").alias("name"))
+    rows.write.format("jdbc").options(**readers.jdbc_options(url), dbtable="leads").save()
+    df = readers.open_source(spark, "db", url=url, table="leads", key="id", parts="5")
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
+    some = readers.increment(df, 2990, "id", "id").select("id")
+    assert [r["id"] for r in some.collect()] == [2991, 2994, 2997]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ID,2990)" in plan.replace("id", "ID") and "ReadSchema: struct<ID:int>" in plan.replace("id", "ID")
+    # Each range holds its part of the rows.
+    assert max(len(p) for p in df.rdd.glom().collect()) < 400
+    empty = spark.createDataFrame([], "id int, name string")
+    empty.write.format("jdbc").options(**readers.jdbc_options(url), dbtable="nothing").save()
+    assert readers.read_database(spark, url, "nothing", "id").count() == 0
+
+
+def test_journey_reads_one_file(spark, tmp_path):
+    events = spark.range(20_000).select("id", F.concat(F.lit("LEAD-"), F.pmod(F.col("id") * 7919, F.lit(3000))).alias("lead_id"), F.lit("stage").alias("stage"))
+    path = str(tmp_path / "events")
+    lookup.write_clustered(events, path, "lead_id", "id", buckets=32)
+    rows = lookup.lookup(spark, path, "lead_id", "LEAD-77", buckets=32)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, events.where("lead_id = 'LEAD-77'").collect()))
+    leaf = rows._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert leaf.metrics().get("numFiles").get().value() <= 2 and leaf.metrics().get("numOutputRows").get().value() < 3000
+    assert [r["id"] for r in lookup.journey(spark, path, "LEAD-77", buckets=32).collect()] == sorted(r["id"] for r in rows.collect())
+    assert lookup.journey(spark, path, "nobody", buckets=32).count() == 0
+
+
 def test_windows(spark):
     rows = [("lead_closed", "2024-01-01 00:00:10"), ("lead_closed", "2024-01-01 00:00:50"), ("lead_closed", "2024-01-01 00:01:10"), ("x", "2024-01-01 00:01:10")]
     df = spark.createDataFrame(rows, "stage string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
