@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -63,21 +63,62 @@ def events(final: DataFrame) -> DataFrame:
     return final.select("lead_id", F.posexplode(steps).alias("seq", "e")).select("lead_id", "seq", "e.stage", "e.status")
 
 
+def _held() -> Column:
+    return F.coalesce(F.get_json_object("outcome", "$.flag"), F.lit("")) == "different_loan_account_same_lead_code"
+
+
+def _scanned(results: DataFrame, ids: DataFrame | None) -> DataFrame:
+    scan = results.where(F.col("verification_status").isin("verified", "unverified"))
+    return scan.join(ids, "lead_id", "left_semi") if ids is not None else scan
+
+
 def reverify(results: DataFrame, leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Rows ``lead_id, old, new, changed`` of verified and unverified results judged again, without those held by dedup."""
-    held = F.coalesce(F.get_json_object("outcome", "$.flag"), F.lit("")) == "different_loan_account_same_lead_code"
-    scan = results.where(F.col("verification_status").isin("verified", "unverified") & ~held)
-    scan = scan.join(ids, "lead_id", "left_semi") if ids is not None else scan
+    scan = _scanned(results, ids).where(~_held())
     rows = with_documents(scan.select("lead_id", F.col("verification_status").alias("old")).join(leads.drop("is_test"), "lead_id"), extractions, "inner")
     again = verify.verify(rows, lenders)
     return again.select("lead_id", "old", F.col("status").alias("new"), (F.col("old") != F.col("status")).alias("changed"))
 
 
+def reverify_counts(results: DataFrame, leads: DataFrame, moves: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row on what :func:`reverify` did: ``scanned, changed, flipped`` (to verified), ``skipped_dedup`` and ``moves`` (old to new, how often).
+
+    ``moves`` are its rows; write them first, so that nothing is judged twice.
+    """
+    scan = _scanned(results, ids).join(leads.select("lead_id"), "lead_id", "left_semi")
+    seen = scan.agg(F.count("*").alias("scanned"), F.count_if(_held()).alias("skipped_dedup"))
+    by = moves.where("changed").groupBy(F.concat("old", F.lit("->"), "new").alias("move"), "new").agg(F.count("*").alias("n"))
+    # At most one row for each pair of statuses.
+    every = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("changed"), F.coalesce(F.sum(F.when(F.col("new") == "verified", F.col("n"))), F.lit(0)).alias("flipped"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("move", "n")))).alias("moves"))
+    return seen.join(F.broadcast(every)).select("scanned", "changed", "flipped", "skipped_dedup", "moves")
+
+
+def reverify_events(moves: DataFrame, note: str = "") -> DataFrame:
+    """``lead_id, stage, status, reason`` of the events that changed rows leave behind."""
+    reason = F.concat("old", F.lit(" -> "), "new", F.lit(f" (deterministic re-verify, no model call{note and '; ' + note})"))
+    return moves.where("changed").select("lead_id", F.lit("reverify").alias("stage"), F.when(F.col("new") == "verified", "PASS").otherwise("FAIL").alias("status"), reason.alias("reason"))
+
+
+def verify_one(lenders: DataFrame, record: dict, extraction: dict | None = None, lead_id: str = "API-LEAD") -> dict:
+    """The decision on one record, as a request submits it: no ledger is asked and none is changed.
+
+    ``extraction`` has the document's fields (``amount, doc_date, receiver_name, loan_account_number, full_text``); without one the
+    document could not be read.
+    """
+    spark = lenders.sparkSession
+    names = ("institute_name", "payment_amount", "payment_date", "loan_account_number", "lead_code")
+    row = (lead_id, 0, True, *(str(record.get(n) or "").strip() for n in names))
+    rows = spark.createDataFrame([row], "lead_id string, seq long, is_test boolean, " + ", ".join(f"{n} string" for n in names))
+    fields = ("amount", "doc_date", "receiver_name", "loan_account_number", "full_text")
+    docs = [] if extraction is None else [(lead_id, *(extraction.get(n) for n in fields))]
+    out = process(rows, spark.createDataFrame(docs, "lead_id string, " + ", ".join(f"{n} string" for n in fields)), lenders)
+    return out.select("lead_id", "status", "reason", "failed_fields", "matched_fields", "flag").first().asDict()
+
+
 def approval_candidates(results: DataFrame) -> DataFrame:
     """Unverified real leads that failed on a readable receiver, with ``ready`` where it is all that failed."""
     failed = F.from_json(F.get_json_object("outcome", "$.failed_fields"), "array<string>")
-    held = F.coalesce(F.get_json_object("outcome", "$.flag"), F.lit("")) == "different_loan_account_same_lead_code"
-    rows = results.where(~F.col("is_test") & (F.col("verification_status") == "unverified") & ~held).withColumns({
+    rows = results.where(~F.col("is_test") & (F.col("verification_status") == "unverified") & ~_held()).withColumns({
         "receiver": F.get_json_object("extracted", "$.receiver_name"), "failed": failed, "ready": failed == F.array(F.lit("receiver")),
     })
     rows = rows.where(F.array_contains("failed", "receiver") & (F.coalesce("receiver", F.lit("")) != ""))
@@ -136,6 +177,11 @@ def latest_review(reviews: DataFrame) -> DataFrame:
     return tables.latest(reviews, ["lead_id"], F.desc("id"))
 
 
+def review_history(reviews: DataFrame, lead_id: str) -> DataFrame:
+    """All that reviewers did to one lead, in order."""
+    return reviews.where(F.col("lead_id") == lead_id).orderBy("id")
+
+
 def lead_status(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """What a caller polls: the job's state, the verdict if there is one, and whether the job is over."""
     verdicts = results.select("lead_id", F.col("verification_status").alias("__v"))

@@ -21,6 +21,11 @@ def write_results(results: DataFrame, path: str, status: str = "verification_sta
     ranked.orderBy("__rank", order).drop("__rank").write.option("header", True).csv(path)
 
 
+def append_events(events: DataFrame, path: str, batch: str) -> None:
+    """Append events as the batch of this name; a batch that is written again replaces itself, so a stream may repeat its last one."""
+    events.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
 def put_blobs(blobs: DataFrame, store: str, content: str = "content") -> DataFrame:
     """Append the blobs that ``store`` lacks, keyed by SHA-256 and laid out by the key's first byte; returns ``sha256, bytes`` of the new ones.
 

@@ -12,7 +12,7 @@ from proofmill.functions import dates, images, names, text
 from proofmill.operators import mapping, receivers, tables, verify
 from proofmill.plans import leads, metrics
 from proofmill.queries import RECEIVERS, RULES
-from proofmill.sources import readers
+from proofmill.sources import readers, sinks
 from proofmill.views import register, view
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +137,37 @@ def test_rules_of_configuration(spark):
         verify.lender_table(spark, RULES | {"X": RULES["SMFG_PL"] | {"needs_lan": False}}, {})
     assert [r["x"] for r in spark.createDataFrame([("[1",), ("",), ('{"a": 2}',)], "v string").select(F.try_variant_get(text.as_object(F.col("v")), "$.a", "int").alias("x")).collect()] == [None, None, 2]
     assert spark.range(1).select(text.utc(F.lit("2024-01-01T05:30:00+05:30")).alias("x")).first()["x"] == "2024-01-01 00:00:00"
+
+
+def test_reverify_counts_and_events(spark):
+    results, rows, docs, _ = decision_tables(spark)
+    held = spark.createDataFrame([("4", "HDBFS_PL", "unverified", False, '{"flag":"different_loan_account_same_lead_code"}', "{}"), ("5", "X", "duplicate", False, "{}", "{}")], results.schema)
+    every = results.unionByName(held)
+    more = spark.createDataFrame([("4", True, "HDBFS_PL", "1", "2024-01-15", "1")], rows.schema)
+    table = verify.lender_table(spark, RULES, RECEIVERS | {"HDBFS_PL": ["Speedo Fin"]})
+    moves = leads.reverify(every, rows.unionByName(more), docs, table)
+    assert sorted((r["lead_id"], r["new"]) for r in moves.collect()) == [("1", "verified"), ("2", "unverified"), ("3", "unverified")]
+    counts = leads.reverify_counts(every, rows.unionByName(more), moves).first()
+    assert tuple(counts)[:4] == (4, 1, 1, 1) and counts["moves"] == {"unverified->verified": 1}
+    assert [tuple(r) for r in leads.reverify_events(moves, "approved").collect()] == [("1", "reverify", "PASS", "unverified -> verified (deterministic re-verify, no model call; approved)")]
+    none = leads.reverify_counts(every, rows, moves.limit(0)).first()
+    assert (none["changed"], none["flipped"], none["moves"]) == (0, 0, {})
+
+
+def test_one_record(spark):
+    table = verify.lender_table(spark, RULES, RECEIVERS)
+    record = {"institute_name": "HDBFS_PL", "payment_amount": "5000", "payment_date": "2024-01-15", "loan_account_number": 77, "lead_code": None}
+    paid = {"amount": "5000.00", "doc_date": "15/01/2024", "receiver_name": "HDB Fin Services", "full_text": "amount paid"}
+    assert leads.verify_one(table, record, paid)["status"] == "verified"
+    bad = leads.verify_one(table, record, paid | {"amount": "9"}, "L1")
+    assert (bad["lead_id"], bad["status"], bad["failed_fields"]) == ("L1", "unverified", ["amount"])
+    assert leads.verify_one(table, record)["status"] == "unprocessed"
+    assert leads.verify_one(table, record, {"full_text": "lunch"})["status"] == "non_document"
+
+
+def test_review_history_and_event_log(spark, tmp_path):
+    reviews = spark.createDataFrame([(3, "a", "confirmed"), (1, "a", "overturned"), (2, "b", "confirmed")], "id long, lead_id string, decision string")
+    assert [r["id"] for r in leads.review_history(reviews, "a").collect()] == [1, 3]
+    for batch, ids in (("0", [1, 2]), ("1", [3]), ("1", [3])):
+        sinks.append_events(spark.createDataFrame([(i, "x") for i in ids], "id long, stage string"), str(tmp_path / "events"), batch)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "events")).collect()) == [1, 2, 3]
