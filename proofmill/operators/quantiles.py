@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialise
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], weight: str | None = None) -> DataFrame:
     """``keys`` and a column for each of ``wanted`` (name to share): what ``percentile`` gives, by distributed selection.
 
     Different values are counted before the shuffle and dealt out by ranges of key and value. The sizes of the ranges, a few
     rows for each group, tell which range holds a wanted rank; only these ranges are read again, each on its own. Null values
-    do not count; groups of nulls only are left out.
+    do not count; groups of nulls only are left out. ``weight`` is a column that says how often a row counts.
     """
     at = [f"k{i}" for i in range(len(keys))]
-    rows = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(a) for k, a in zip(keys, at)), F.col(value).cast("double").alias("value"))
-    counted = rows.groupBy(*at, "value").agg(F.count("*").alias("n"))
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(a) for k, a in zip(keys, at)), F.col(value).cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    counted = rows.groupBy(*at, "value").agg(F.sum("n").alias("n"))
     ranged = materialise(counted.repartitionByRange(*at, "value").withColumn("range", F.spark_partition_id()))
     group = W.partitionBy(*at)
     sizes = ranged.groupBy(*at, "range").agg(F.sum("n").alias("size"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proofmill.functions import dates, images, names, text
 from proofmill.operators import mapping, receivers, tables, verify
-from proofmill.plans import leads, metrics
+from proofmill.plans import dashboard, leads, metrics
 from proofmill.queries import RECEIVERS, RULES
 from proofmill.sources import readers, sinks
 from proofmill.views import register, view
@@ -112,10 +112,33 @@ def test_decisions(spark):
     assert [r["lender"] for r in leads.approval_queue(results, decided).collect()] == ["JANA_SF"]
 
 
-def test_snapshot_and_scopes(spark):
+def near(rows):
+    return sorted((tuple(f"{x:.6g}" if isinstance(x, float) else x for x in r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("scope", ["real", "test"])
+def test_snapshot_equals_the_queries(spark, scope):
+    sql = metrics.analytics(metrics.SPARK, scope)
     register(spark, SF, " ".join(metrics.analytics(metrics.SPARK).values()))
-    found = metrics.snapshot(spark, "test")
-    assert set(found) == set(metrics.SNAPSHOT) and all(df.limit(1).count() >= 0 for df in found.values())
+    found = dashboard.snapshot(spark, scope)
+    assert set(found) == set(metrics.SNAPSHOT)
+    for name, df in found.items():
+        want = spark.sql(sql[name])
+        assert df.columns == want.columns, name
+        assert near(df.collect()) == near(want.collect()), name
+        scans = df._jdf.queryExecution().optimizedPlan().collectLeaves().toString()
+        assert name == "a11_queue" or not any(t in scans for t in ("o_orderkey", "event_id", "doc_id")), name
+
+
+def test_each_cube_scans_once(spark):
+    register(spark, SF, " ".join(metrics.analytics(metrics.SPARK).values()))
+    for cube, table, wide in ((dashboard.event_cube, "lead_events", "event_type"), (dashboard.result_cube, "lead_results", "o_orderstatus"), (dashboard.review_cube, "lead_reviews", "toxic")):
+        plan = cube(spark.table(table))._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.split("ReadSchema: ")[1:] if wide in x.split("\n")[0]]
+        assert len(scans) == (2 if table == "lead_reviews" else 1), table  # the view itself is a union of two scans
+
+
+def test_scopes(spark):
     n = {s: tables.scoped(view(spark, SF, "leads"), s).count() for s in ("real", "test", "all")}
     assert n["real"] + n["test"] == n["all"] and n["test"]
 
