@@ -31,7 +31,7 @@ SCALE, BEST = 1_000_000_000, 10
 #: Bytes that lead to a container at first; counters that one prefix may bring together before its containers burst.
 DEPTH, CONTAINER = 2, 1_000_000
 #: Counters that a task holds before it hands on its trie; rows of terms and pairs of sources that one comparison holds.
-COUNTERS, TERM_ROWS, PAIRS = 250_000, 50_000, 4_000_000
+COUNTERS, TERM_ROWS, PAIRS = 250_000, 20_000, 4_000_000
 #: Cells of the dense blocks that are compared at once.
 CELLS = 1 << 20
 #: A-Z to a-z; letters and all bytes beyond ASCII stay, the rest separates.
@@ -275,11 +275,12 @@ def audit_sources(
         F.pmod(F.xxhash64("source"), "blocks").alias("block"),
     )
     whole = materialise(whole)
-    rows, ranges = kept.agg(F.count("*"), F.count_distinct("range")).first()
-    part = F.pmod(F.xxhash64("term"), F.lit(1 + rows // (term_rows * max(1, ranges)))).alias("part")
+    # A range that holds more than the others is compared in more parts.
+    sizes = kept.groupBy("lang", "range").agg((1 + F.floor(F.count("*") / term_rows)).alias("parts"))
+    parted = kept.join(sizes, ["lang", "range"]).withColumn("part", F.pmod(F.xxhash64("term"), "parts")).drop("parts")
     each = lambda df: df.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    tiles = each(kept.select("lang", "range", part).distinct().join(sources, "lang"))
-    left = each(kept.select("*", part).join(sources, "lang")).groupBy("lang", "range", "part", "b")
+    tiles = each(parted.select("lang", "range", "part").distinct().join(sources, "lang"))
+    left = each(parted.join(sources, "lang")).groupBy("lang", "range", "part", "b")
     right = tiles.join(whole.drop("blocks"), "lang").withColumnsRenamed({c: f"of_{c}" for c in tiles.columns}).groupBy(*(f"of_{c}" for c in tiles.columns))
     found = materialise(left.cogroup(right).applyInPandas(_compared, FOUND).withColumn("item", F.col("item").cast("string")))
 
