@@ -267,7 +267,8 @@ def mix(
     Each source's documents are laid end to end and cut into blocks of ``block`` words (:func:`sample_slots`
     chooses blocks) and the mixed corpus of :func:`mixed_blocks` is written; ``taken`` is how many of a
     document's words stand in it, repeats counted. A
-    source's total comes within half a block of its target and no document exceeds ``repeat`` times its size.
+    source's total comes within one and a half blocks of its target (half a block by rounding to whole slots, less than one by
+    the short last block), and no document exceeds ``repeat`` times its size.
 
     Reruns agree: the order inside a source follows a hash of the id, then the id and the size; rows
     equal in these are interchangeable. Null texts have size 0, take part in no block and have taken 0;
