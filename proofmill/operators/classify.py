@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +49,8 @@ OUTGOING = (
 
 
 def _has(low: Column, words: tuple[str, ...]) -> Column:
-    return low.rlike("|".join(map(re.escape, words)))
+    """Does a text have one of the words? ``low`` is a name bound by ``text.let``, so that it is lower-cased once."""
+    return F.exists(F.array(*map(F.lit, words)), lambda m: F.contains(low, m))
 
 
 def _low(x: Column) -> Column:
@@ -59,8 +58,7 @@ def _low(x: Column) -> Column:
 
 
 def markers(full_text: Column) -> Column:
-    low = _low(full_text)
-    return F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(low, m))
+    return text.let(_low(full_text), lambda low: F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(low, m)))
 
 
 def evidence_fields(columns: dict[str, Column]) -> Column:
@@ -70,7 +68,7 @@ def evidence_fields(columns: dict[str, Column]) -> Column:
 def is_candidate(full_text: Column, columns: dict[str, Column]) -> Column:
     """Payment content in the text or a hard field; what a model says about the image does not count."""
     fields = [text.present(columns[c]) for c in EVIDENCE if c in columns]
-    out = _has(_low(full_text), MARKERS)
+    out = text.let(_low(full_text), lambda low: _has(low, MARKERS))
     for f in fields:
         out = out | f
     return out
@@ -97,17 +95,18 @@ def stage_two(document_type: Column, full_text: Column, describes: Column, field
 
 
 def payment_method(document_type: Column, full_text: Column) -> Column:
-    kind, low = _low(document_type), _low(full_text)
-    out = F.when(F.lit(False), F.lit(""))
-    for where, table in ((kind, TYPE_METHODS), (low, TEXT_METHODS)):
-        for label, words in table:
-            out = out.when(_has(where, words), label)
-    return out.otherwise("Other")
+    def named(v: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for where, table in ((v["kind"], TYPE_METHODS), (v["low"], TEXT_METHODS)):
+            for label, words in table:
+                out = out.when(_has(where, words), label)
+        return out.otherwise("Other")
+
+    return text.let(F.struct(_low(document_type).alias("kind"), _low(full_text).alias("low")), named)
 
 
 def incoming_credit(full_text: Column) -> Column:
-    low = _low(full_text)
-    return _has(low, INCOMING) & ~_has(low, OUTGOING)
+    return text.let(_low(full_text), lambda low: _has(low, INCOMING) & ~_has(low, OUTGOING))
 
 
 def precomputed(ex=lambda c: F.col(c)) -> list[Column]:
