@@ -197,9 +197,9 @@ def _scattered(plan: DataFrame, slots: int, seed: int) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")
-    )
+    """``doc_id, source, size, mark``; the mark tells apart texts of one id and size."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark"))
 
 
 def _key() -> Column:
@@ -207,16 +207,21 @@ def _key() -> Column:
     return F.struct("source").alias("key")
 
 
-def _laid(docs: DataFrame, sized: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``key, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
+def _placed(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``rows`` (of ``source, doc_id, size, mark``) that have words, with their ``key`` and their ``start`` in the source; ``sized`` are all of them."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sized.count() // 2_000))).alias("bucket")
     sums = sized.where("size > 0").groupBy(_key(), bucket).agg(F.sum("size").alias("n"))
     bases = sums.select("key", "bucket", (F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("base"))
+    full = rows.where("size > 0").select("*", _key(), bucket).drop("source").join(bases, ["key", "bucket"])
+    order = W.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, 0)
+    return full.withColumn("start", F.col("base") + F.sum("size").over(order) - F.col("size"))
+
+
+def _laid(docs: DataFrame, sized: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``key, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
     text = F.col(text_col).cast("string")
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), text.alias("text"))
-    full = full.where("size > 0").select(_key(), "doc_id", "size", "text", bucket).join(bases, ["key", "bucket"])
-    order = W.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0)
-    return full.select("key", "doc_id", "size", (F.col("base") + F.sum("size").over(order) - F.col("size")).alias("start"), "text")
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return _placed(full, sized).select("key", "doc_id", "size", "start", "text")
 
 
 def pack(laid: DataFrame, block: int) -> DataFrame:
@@ -280,6 +285,7 @@ def mix(
     laid = _laid(docs, sized, id_col, text_col, source_col)
     mixed = materialise(_mixed(laid, plan, block, slots, seed))
     used = mixed.select(_key(), F.explode("parts").alias("p")).groupBy("key", "p.start").agg(F.sum("p.n").alias("taken"))
-    got = laid.drop("text").join(used, ["key", "start"], "left").select("key", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
+    # The places follow from the sizes, so no text is read again.
+    got = _placed(sized, sized).join(used, ["key", "start"], "left").select("key", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     every = got.unionByName(sized.where("size = 0").select(_key(), "doc_id", "size", F.lit(0).cast("long").alias("taken")))
     return every.join(plan.withColumn("key", _key()).drop("source"), "key").select("doc_id", "key.source", "size", "source_size", "target", "taken")
