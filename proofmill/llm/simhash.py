@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, packed, text_map, unpacked
+from .common import apart, discard, materialise, packed, text_map, unpacked
 from .graph import components
 
 
@@ -77,7 +77,7 @@ def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
     k = fps.select("fp", F.explode(F.array(*(F.lit(x) for x in keys))).alias("keep")).withColumn("val", F.col("fp").bitwiseAND(F.col("keep")))
     hub = k.groupBy("keep", "val").agg(F.min("fp").alias("v"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= max_bits
-    return k.join(hub, ["keep", "val"]).where((F.col("fp") != F.col("v")) & near).select(F.col("fp").alias("u"), "v").distinct()
+    return k.join(apart(hub), ["keep", "val"]).where((F.col("fp") != F.col("v")) & near).select(F.col("fp").alias("u"), "v").distinct()
 
 
 def _cross(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _cross(fps: DataFrame, max_bits: int) -> DataFrame:
         first = first & ((F.col("a.seg") <= s) | (F.bit_count(x.bitwiseAND(F.lit(_signed(_mask(lo, hi))))) > 1))
     on = (F.col("a.seg") == F.col("b.seg")) & (F.col("a.bit") == F.col("b.bit")) & (F.col("a.val") == F.col("b.val"))
     once = (F.col("a.bit") != 0) | (F.col("fp0") < F.col("fp1"))
-    return a.join(b, on & once & close & first).select(F.col("fp0").alias("u"), F.col("fp1").alias("v"))
+    return apart(a).join(b, on & once & close & first).select(F.col("fp0").alias("u"), F.col("fp1").alias("v"))
 
 
 def link_groups(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -114,11 +114,11 @@ def link_groups(fps: DataFrame, max_bits: int) -> DataFrame:
     lost, and a group of near copies never yields all of its pairs.
     """
     stars = components(_stars(fps, max_bits))
-    half = materialise(fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    half = materialise(fps.join(apart(stars.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     between = _cross(half, max_bits).select(F.col("u").alias("fp"), "v")
     roots = half.withColumnRenamed("fp", "v").withColumnRenamed("root", "r")
-    joined = components(between.join(half, "fp").join(roots, "v").select(F.col("root").alias("u"), F.col("r").alias("v")))
-    return half.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    joined = components(between.join(apart(half), "fp").join(apart(roots), "v").select(F.col("root").alias("u"), F.col("r").alias("v")))
+    return half.join(apart(joined.select(F.col("node").alias("root"), F.col("root").alias("top"))), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def simhash_groups(
@@ -136,10 +136,10 @@ def simhash_groups(
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle))
     reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = reps.join(link_groups(reps.select("fp"), max_bits), "fp")
+    groups = reps.join(apart(link_groups(reps.select("fp"), max_bits)), "fp")
     label = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = materialise(groups.join(label, "root").select("fp", "component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = materialise(groups.join(apart(label), "root").select("fp", "component_id"))
+    return fps.join(apart(of), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
@@ -195,7 +195,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     a, b = (sets.select(F.col("key").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "uv")
     both = F.size(F.array_intersect("u_grams", "v_grams"))
     met = both >= similarity * (F.size("u_grams") + F.size("v_grams") - both) - F.lit(1e-9)
-    return pairs.join(a, "u").join(b, "v").where(met).select("u", "v")
+    return pairs.join(apart(a), "u").join(apart(b), "v").where(met).select("u", "v")
 
 
 def _rest(of: DataFrame, similarity: float) -> DataFrame:
@@ -208,7 +208,7 @@ def _rest(of: DataFrame, similarity: float) -> DataFrame:
     sizes = sizes.agg(F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main")).where("all > most")
     few = F.col("all") - F.col("most")
     sizes = sizes.select("gram", "main", F.least(few, F.expr("1 + (all - most) * all div 1000000")).alias("salts"))
-    of = of.join(sizes, "gram")
+    of = of.join(apart(sizes), "gram")
     left = of.where("root <> main").select("gram", F.pmod(F.xxhash64("key"), "salts").alias("salt"), *(F.col(c).alias(f"u_{c}") for c in ("key", "root", "n", "pos")))
     right = of.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "main", *(F.col(c).alias(f"v_{c}") for c in ("key", "root", "n", "pos")))
     once = (F.col("v_root") == F.col("main")) | (F.col("u_key") < F.col("v_key"))
@@ -216,7 +216,7 @@ def _rest(of: DataFrame, similarity: float) -> DataFrame:
     most = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
     can = most * (1 + similarity) >= similarity * (F.col("u_n") + F.col("v_n")) - F.lit(1e-6)
     on = (left.gram == right.gram) & (left.salt == right.salt) & (F.col("u_root") != F.col("v_root")) & once & can
-    return left.join(right, on).select(F.col("u_key").alias("u"), F.col("v_key").alias("v")).distinct()
+    return apart(left).join(right, on).select(F.col("u_key").alias("u"), F.col("v_key").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -235,11 +235,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
     low = _shingle_sets(keyed, shingle, similarity).groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"))
     low = materialise(low)
-    some = materialise(low.join(_with_partners(low, similarity), "key", "left_semi").select("key", "copies"))
-    sets = materialise(_shingle_sets(keyed.join(some, "key", "left_semi").dropDuplicates(["key"]), shingle))
+    some = materialise(low.join(apart(_with_partners(low, similarity)), "key", "left_semi").select("key", "copies"))
+    sets = materialise(_shingle_sets(keyed.join(apart(some), "key", "left_semi").dropDuplicates(["key"]), shingle))
     group = linked(sets, some, similarity).select(F.col("node").alias("key"), F.col("root").alias("top"))
     discard(some, sets)
-    return low.select("key").join(group, "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
+    return low.select("key").join(apart(group), "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
 
 
 def linked(sets: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
@@ -248,13 +248,13 @@ def linked(sets: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
     ``copies(key, copies)`` helps to choose central texts.
     """
     prefixes = materialise(_prefixes(sets, similarity))
-    central = prefixes.groupBy("key").agg(F.sum("often").alias("s")).join(copies, "key").select("key", F.struct("s", "copies", "key").alias("rank"))
-    ranked = prefixes.join(central, "key").select("gram", F.col("key").alias("u"), "rank")
+    central = prefixes.groupBy("key").agg(F.sum("often").alias("s")).join(apart(copies), "key").select("key", F.struct("s", "copies", "key").alias("rank"))
+    ranked = prefixes.join(apart(central), "key").select("gram", F.col("key").alias("u"), "rank")
     hubs = ranked.groupBy("gram").agg(F.max("rank").alias("hub"))
-    stars = ranked.join(hubs, "gram").select("u", F.col("hub.key").alias("v")).where("u <> v").distinct()
+    stars = ranked.join(apart(hubs), "gram").select("u", F.col("hub.key").alias("v")).where("u <> v").distinct()
     stars = materialise(_alike(stars, sets, similarity))
     roots = components(stars).withColumnRenamed("node", "key")
-    rooted = materialise(prefixes.drop("often").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    rooted = materialise(prefixes.drop("often").join(apart(roots), "key", "left").withColumn("root", F.coalesce("root", "key")))
     joined = components(stars.unionByName(_alike(_rest(rooted, similarity), sets, similarity)))
     discard(prefixes, stars, rooted)
     return joined
@@ -274,8 +274,8 @@ def dedup_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), hashed.alias("text_hash"), sha.alias("sha")).groupBy("text_hash", "sha").agg(place)
     texts = texts.withColumn("own", F.when(F.col("sha") != F.min("sha").over(W.partitionBy("text_hash")), F.col("sha")))
     first = F.min(F.struct("first.none", "first.id", "text_hash", "sha")).alias("first")
-    keep = texts.join(groups, "text_hash").groupBy("group_id", "own").agg(first)
+    keep = texts.join(apart(groups), "text_hash").groupBy("group_id", "own").agg(first)
     keep = materialise(keep.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("hash"), F.col("first.sha").alias("sha")))
     rows = docs.select(packed(docs), F.col(id_col).cast("long").alias("id"), hashed.alias("hash"), sha.alias("sha")).alias("a")
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.sha") == F.col("b.sha"))
-    return unpacked(rows.join(keep.alias("b"), same, "left_semi").dropDuplicates(["id", "hash", "sha"]), docs.columns)
+    return unpacked(rows.join(apart(keep.alias("b")), same, "left_semi").dropDuplicates(["id", "hash", "sha"]), docs.columns)

@@ -8,7 +8,7 @@ import re
 import pytest
 import xxhash
 
-from proofmill.llm import compression, decontam, licenses, mixing, simhash, substring, tokens, topk, urls
+from proofmill.llm import compression, decontam, graph, licenses, mixing, simhash, substring, tokens, topk, urls
 from proofmill.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, words int, kept string"
@@ -97,6 +97,23 @@ def test_op1_links_of_bit_flips(spark, seed):
     assert got == {v: find(parent, v) for v in signed}
 
 
+def test_op1_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """No table of the links is held whole by the driver, however small its files are."""
+    rng = random.Random(5)
+    plans, write = [], simhash.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "materialise", seen)
+    rows = [(i, sentence(rng, 80) if i % 2 else "one text of which there are many copies") for i in range(40)]
+    for of in (simhash.simhash_groups, simhash.dedup_near):
+        plans.append(of(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     rng = random.Random(3)
     shared = sentence(rng, 60)
