@@ -31,31 +31,17 @@ def _whole(*forms: str) -> str:
     return rf"(?i)^\s*(?:{'|'.join(forms)})(?:[T ]\s*(?:{_CLOCK}))?\s*$"
 
 
-#: Year and parts of a date that begins with its year; parts and year of others; day and month name.
-_PARTS = "${y2}|${p2}|${q2}|${a}|${b}|${y3}${y4}${y5}|${d4}${d5}|${m4}${m5}"
 _NATIVE = _whole(_YEAR_FIRST, _DAY_FIRST.replace(r"\2", r"\6"), *_OTHERS)
+#: One pass over a text gives what stands in any form: year, sign and parts of dates that begin with their year; parts and year of
+#: those that end with it; then of the others the year and parts, parts, year, day and month name. All are blank for other texts.
+_PARTS = "$1|$2|$3|$4|$5|$7|$8|${y2}|${p2}|${q2}|${a}|${b}|${y3}${y4}${y5}|${d4}${d5}|${m4}${m5}"
+_SPLIT = rf"(?s){_NATIVE}|^.*$"
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day.cast("string")).try_cast("date")
 
 
-def _other_date(x: Column) -> Column:
-    def read(parts: Column) -> Column:
-        number = lambda i: F.get(parts, i).try_cast("int")
-        year = F.when(F.length(F.get(parts, 5)) == 4, number(5)).when(2000 + number(5) >= F.year(F.current_date()) + 50, 1900 + number(5)).otherwise(2000 + number(5))
-        month = ((F.position(F.lower(F.substring(F.get(parts, 7), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
-        return (
-            F.when(F.get(parts, 7) != "", _date(year, month, number(6)))
-            .when(F.get(parts, 1) != "", F.when(number(2) <= 12, _date(number(0), number(2), number(1))).otherwise(_date(number(0), number(1), number(2))))
-            .when((number(3) > 12) | (number(4) <= 12), _date(year, number(4), number(3)))
-            .otherwise(_date(year, number(3), number(4)))
-        )
-
-    form = _whole(*_OTHERS)
-    return F.when(x.rlike(form), let(F.split(F.regexp_replace(x, form, _PARTS), "[|]"), read))
-
-
 def native_date(x: Column, iso_day_first: bool) -> Column:
     """Dates in digits, with or without separators, or with the month's name; null for all other texts.
 
@@ -63,12 +49,24 @@ def native_date(x: Column, iso_day_first: bool) -> Column:
     the tenth of May, and ``iso_day_first`` says whether ``2025-10-05`` is as well, as the verification rules
     have it; the identity rules read it as the fifth of October. A year of two digits lies within fifty years.
     """
-    x = x.cast("string")
-    # Texts in another form become two dashes, which are no date.
-    ordered = lambda form, parts: F.regexp_replace(x, f"(?s){_whole(form)}|^.*$", parts).try_cast("date")
-    day_first = _YEAR_FIRST if iso_day_first else _YEAR_FIRST.replace("[-/.]", "[/.]")
-    year_first = [ordered(day_first, "$1-$4-$3"), ordered(_YEAR_FIRST, "$1-$3-$4")]
-    return F.coalesce(*year_first, ordered(_DAY_FIRST, "$4-$3-$1"), ordered(_DAY_FIRST, "$4-$1-$3"), _other_date(x))
+
+    def read(parts: Column) -> Column:
+        part = lambda i: F.get(parts, i)
+        number = lambda i: part(i).try_cast("int")
+        plain = lambda *at: F.concat_ws("-", *(part(i) for i in at)).try_cast("date")
+        year = F.when(F.length(part(12)) == 4, number(12)).when(2000 + number(12) >= F.year(F.current_date()) + 50, 1900 + number(12)).otherwise(2000 + number(12))
+        month = ((F.position(F.lower(F.substring(part(14), 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
+        day_first = plain(0, 3, 2) if iso_day_first else F.when(part(1) != "-", plain(0, 3, 2))
+        return (
+            F.when(part(0) != "", F.coalesce(day_first, plain(0, 2, 3)))
+            .when(part(6) != "", F.coalesce(plain(6, 5, 4), plain(6, 4, 5)))
+            .when(part(14) != "", _date(year, month, number(13)))
+            .when(part(8) != "", F.when(number(9) <= 12, _date(number(7), number(9), number(8))).otherwise(_date(number(7), number(8), number(9))))
+            .when((number(10) > 12) | (number(11) <= 12), _date(year, number(11), number(10)))
+            .when(part(10) != "", _date(year, number(10), number(11)))
+        )
+
+    return let(F.split(F.regexp_replace(x.cast("string"), _SPLIT, _PARTS), "[|]"), read)
 
 
 @F.pandas_udf(T.DateType())

@@ -16,6 +16,9 @@ from ..sources.scratch import materialise
 #: Letters of the beginnings by which one name is looked for inside another.
 GRAM = 4
 
+#: Answers are broadcast below so many bytes, counting as many for each besides its question.
+ANSWERS, ROW_BYTES = 16 << 20, 400
+
 
 def deleted(word: Column, most: int) -> Column:
     """What is left of ``word`` after deleting up to ``most`` of its letters, itself included."""
@@ -102,20 +105,24 @@ def written_hits(texts: DataFrame, accepted: DataFrame) -> DataFrame:
 def with_hits(leads: DataFrame, lenders: DataFrame, only: Column) -> DataFrame:
     """``leads`` with ``own_name, allowed_name, handle_name, handle, written_name`` where ``only`` is true; else nulls.
 
-    Reads ``institute_name, doc_receiver, doc_text``. Every different payee, list of handles and text without a payee is
-    matched once and joined back; the joins' sizes are Spark's to judge.
+    Reads ``institute_name, doc_receiver, doc_text``. What is asked about a lead is its lender, payee, handles and, without a payee,
+    text. Different questions are collected in one pass and written, each kind of name is matched to them once, and one join
+    brings the answers back: a broadcast of up to ``ANSWERS`` bytes, as counted, so that the leads are not shuffled; else by shuffle.
     """
     c = F.col
     cand, asks = text.norm_name(c("doc_receiver")), F.coalesce(only, F.lit(False))
-    keyed = leads.withColumns({
-        "__lender": F.when(asks, F.coalesce("institute_name", F.lit(""))), "__cand": F.when(asks, cand), "__handles": F.when(asks, names.handles(c("doc_text"))),
-        "__body": F.when(asks & (cand == ""), text.norm_name(c("doc_text"))),
-    })
-    of = lambda key, name: keyed.where(c(key).isNotNull()).select(c("__lender").alias("lender"), c(key).alias(name))
+    question = F.struct(
+        F.coalesce("institute_name", F.lit("")).alias("lender"), cand.alias("cand"), names.handles(c("doc_text")).alias("handles"), F.when(cand == "", text.norm_name(c("doc_text"))).alias("body"),
+    )
+    keyed = leads.withColumn("__asked", F.when(asks, question))
+    asked = materialise(keyed.where("__asked IS NOT NULL").select("__asked").distinct())
     # Written, so that Spark knows its size when it plans the lookups.
-    accepted = materialise(accepted_names(keyed.where("__lender IS NOT NULL").select(c("__lender").alias("lender")).distinct(), lenders))
-    out = keyed
-    for key, name, hits in (("__cand", "cand", payee_hits), ("__handles", "handles", handle_hits), ("__body", "body", written_hits)):
-        found = hits(of(key, name), accepted).withColumnsRenamed({"lender": "__of", name: "__key"})
-        out = out.join(found, (c("__lender") == c("__of")) & (c(key) == c("__key")), "left").drop("__of", "__key")
-    return out.drop("__lender", "__cand", "__handles", "__body")
+    accepted = materialise(accepted_names(asked.select("__asked.lender").distinct(), lenders))
+    found = asked.select("__asked", "__asked.*")
+    for name, hits in (("cand", payee_hits), ("handles", handle_hits), ("body", written_hits)):
+        of = asked.select("__asked.lender", f"__asked.{name}").where(c(name).isNotNull())
+        found = found.join(hits(of, accepted), ["lender", name], "left")
+    answers = materialise(found.select(c("__asked").alias("__key"), "own_name", "allowed_name", "handle_name", "handle", "written_name"))
+    held = F.sum(ROW_BYTES + F.coalesce(F.octet_length(F.to_json("__key")), F.lit(0)))
+    few = (answers.agg(held).first()[0] or 0) <= ANSWERS
+    return keyed.join(answers.hint("broadcast" if few else "merge"), c("__asked") == c("__key"), "left").drop("__asked", "__key")

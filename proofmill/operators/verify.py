@@ -119,7 +119,7 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only:
     Reads ``institute_name, payment_amount, payment_date, loan_account_number`` and the document's ``doc_amount,
     doc_date, doc_receiver, doc_lan, doc_text``. Adds ``status, reason, failed_fields, matched_fields, flag,
     date_gap_days, amount_delta, details``. The lender table is joined as a broadcast; names are matched once for every different
-    payee, handle list and text (:mod:`receivers`), for which ``leads`` is read several times: write it first if it is costly.
+    payee, handle list and text (:mod:`receivers`), for which ``leads`` is read once more: write it first if it is costly.
     """
     c = F.col
     hits = ("own_name", "allowed_name", "handle_name", "handle", "written_name")
@@ -129,19 +129,18 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only:
         text.num(c("payment_amount")).alias("sa"), text.digits(c("doc_lan")).alias("dl"), text.digits(c("loan_account_number")).alias("sl"),
     )
 
-    def checked(v: Column) -> Column:
-        by_field = {
-            "date": check_date(v["dd"], v["sd"], c("rule.date_tol")), "amount": check_amount(v["da"], v["sa"], c("rule.amt_tol")),
-            "receiver": check_receiver(c("doc_receiver"), c("institute_name"), c("rule.has_receivers"), {n: c(n) for n in hits}), "loan_account_number": check_lan(v["dl"], v["sl"]),
-        }
-        one = lambda f: F.coalesce(*(F.when(f == n, check) for n, check in by_field.items()))
-        results = F.transform(c("rule.mandatory"), lambda f: text.let(one(f), lambda x: F.struct(f.alias("field"), x["ok"].alias("ok"), x["msg"].alias("msg"))))
-        gap, delta = F.abs(F.datediff(v["dd"], v["sd"])), F.round(F.abs(v["da"] - v["sa"]), 2)
-        return F.struct(results.alias("r"), gap.alias("gap"), delta.alias("delta"))
-
-    df = df.withColumn("__v", text.let(read, checked) if only is None else F.when(only, text.let(read, checked)))
-    judged = lambda x: F.when(c("__v").isNotNull(), x)
-    bad = F.filter("__v.r", lambda r: ~r["ok"])
+    # A column of its own, so that a caller who needs only gaps does not pay for the checks and their messages.
+    df = df.withColumn("__r", read if only is None else F.when(only, read))
+    v = lambda n: c(f"__r.{n}")
+    by_field = {
+        "date": check_date(v("dd"), v("sd"), c("rule.date_tol")), "amount": check_amount(v("da"), v("sa"), c("rule.amt_tol")),
+        "receiver": check_receiver(c("doc_receiver"), c("institute_name"), c("rule.has_receivers"), {n: c(n) for n in hits}), "loan_account_number": check_lan(v("dl"), v("sl")),
+    }
+    one = lambda f: F.coalesce(*(F.when(f == n, check) for n, check in by_field.items()))
+    results = F.transform(c("rule.mandatory"), lambda f: text.let(one(f), lambda x: F.struct(f.alias("field"), x["ok"].alias("ok"), x["msg"].alias("msg"))))
+    judged = lambda x: F.when(c("__r").isNotNull(), x)
+    df = df.withColumn("__v", judged(results))
+    bad = F.filter("__v", lambda r: ~r["ok"])
     recon, incoming = c("rule.reconciliation"), classify.incoming_credit(c("doc_text"))
     of = lambda kind: F.array(F.lit(kind))
     why = F.array_join(F.transform(bad, lambda r: F.concat(r["field"], F.lit(": "), r["msg"])), "; ")
@@ -150,9 +149,9 @@ def verify(leads: DataFrame, lenders: DataFrame, fuzzy_dates: bool = True, only:
         "reason": judged(F.when(recon, "requires cash-deposit reconciliation - not verifiable from document alone").when(
             incoming, "looks like an incoming credit to your own account, not an outgoing loan repayment - needs review").otherwise(why)),
         "failed_fields": judged(F.when(recon, of("reconciliation")).when(incoming, of("direction")).otherwise(F.transform(bad, lambda r: r["field"]))),
-        "matched_fields": F.transform(F.filter("__v.r", lambda r: r["ok"] & ~recon), lambda r: r["field"]),
+        "matched_fields": F.transform(F.filter("__v", lambda r: r["ok"] & ~recon), lambda r: r["field"]),
         "flag": judged(F.when(~recon & incoming, "incoming_credit")),
-        "date_gap_days": c("__v.gap"),
-        "amount_delta": c("__v.delta"),
-        "details": F.map_from_entries(F.transform("__v.r", lambda r: F.struct(r["field"], r["msg"]))),
-    }).drop("__v", "rule", *hits)
+        "date_gap_days": F.abs(F.datediff(v("dd"), v("sd"))),
+        "amount_delta": F.round(F.abs(v("da") - v("sa")), 2),
+        "details": F.map_from_entries(F.transform("__v", lambda r: F.struct(r["field"], r["msg"]))),
+    }).drop("__r", "__v", "rule", *hits)

@@ -27,7 +27,7 @@ def process(leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ledger
     Duplicates stop before any document is read; leads without an extraction are unprocessed; documents
     without payment evidence are no documents; the rest is verified. A lead whose loan account is new
     under a known lead code is never verified. The extraction joins only leads that still need it; these rows are written once, as
-    the match of receivers reads them several times.
+    verification reads them twice.
     """
     judged = dedup.dedup_verdicts(leads, ledger, fuzzy_dates=fuzzy_dates)
     ids = [c for c in leads.columns]
@@ -73,10 +73,13 @@ def _scanned(results: DataFrame, ids: DataFrame | None) -> DataFrame:
 
 
 def reverify(results: DataFrame, leads: DataFrame, extractions: DataFrame, lenders: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Rows ``lead_id, old, new, changed`` of verified and unverified results judged again, without those held by dedup."""
+    """Rows ``lead_id, old, new, changed`` of verified and unverified results judged again, without those held by dedup.
+
+    The joined rows are written once, as verification reads them twice.
+    """
     scan = _scanned(results, ids).where(~_held())
     rows = with_documents(scan.select("lead_id", F.col("verification_status").alias("old")).join(leads.drop("is_test"), "lead_id"), extractions, "inner")
-    again = verify.verify(rows, lenders)
+    again = verify.verify(materialise(rows), lenders)
     return again.select("lead_id", "old", F.col("status").alias("new"), (F.col("old") != F.col("status")).alias("changed"))
 
 

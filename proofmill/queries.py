@@ -12,6 +12,7 @@ from . import oracle
 from .functions import dates, images, text
 from .operators import cache, classify, cursors, dedup, mapping, tables, verify
 from .plans import leads, metrics
+from .sources.scratch import materialise
 from .streaming import alerts
 from .views import register, view, with_views
 
@@ -133,7 +134,7 @@ def v7_outcomes(spark, sf):
 @query(f"SELECT lead_id, gap, delta FROM {_VERIFIED} v WHERE has")
 def v8_margins(spark, sf):
     """V8: days and rupees between the system's row and the document."""
-    rows = leads.with_documents(view(spark, sf, "leads"), view(spark, sf, "extractions"), "inner")
+    rows = materialise(leads.with_documents(view(spark, sf, "leads"), view(spark, sf, "extractions"), "inner"))
     return verify.verify(rows, _config(spark)).select("lead_id", F.col("date_gap_days").alias("gap"), F.col("amount_delta").alias("delta"))
 
 
@@ -268,7 +269,7 @@ SELECT l.lead_id, v.matched, v.failed, unnest(['Amount', 'Date', 'Receiver', 'Lo
  unnest(list_transform([e.amount, e.doc_date, e.receiver_name, e.loan_account_number, NULL], lambda x: coalesce(nullif(x, ''), '—'))) AS document FROM leads l JOIN extractions e ON e.lead_id = l.lead_id JOIN {_VERIFIED} v ON v.lead_id = l.lead_id) c""")
 def p24_comparison(spark, sf):
     """The system's fields beside the document's, with the verdict's mark."""
-    rows = leads.with_documents(view(spark, sf, "leads"), view(spark, sf, "extractions"), "inner")
+    rows = materialise(leads.with_documents(view(spark, sf, "leads"), view(spark, sf, "extractions"), "inner"))
     return leads.comparison(verify.verify(rows, _config(spark))).select("lead_id", "field", "expected", "document", "mark")
 
 

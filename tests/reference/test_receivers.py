@@ -92,3 +92,31 @@ def test_handles_in_order(spark):
 def test_deletions(spark):
     got = spark.range(1).select(receivers.deleted(F.lit("abcd"), 2).alias("d"), receivers.deleted(F.lit("a"), 2).alias("e")).first()
     assert set(got["d"]) == {"abcd", "bcd", "acd", "abd", "abc", "ab", "ac", "ad", "bc", "bd", "cd"} and set(got["e"]) == {"a", ""}
+
+
+def test_questions_are_asked_once_and_leads_are_not_shuffled(spark, monkeypatch):
+    """Leads are read twice, whatever is matched: once for the different questions, once with the answers."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "institute_name string, doc_receiver string, doc_text string"
+    rows = [("SMFG_PL", ("SMFG", "", None, "Nobody")[i % 4], ("to smfg9@upi", "smfg pl stands here", "", None)[i // 4 % 4]) for i in range(160)] + [("B", "SMFG", "x")]
+    leads = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    known = spark.createDataFrame([("SMFG_PL", ["SMFG India"])], "lender string, receivers array<string>")
+    plans = []
+    for limit in (receivers.ANSWERS, 0):
+        monkeypatch.setattr(receivers, "ANSWERS", limit)
+        before = read.value
+        out = receivers.with_hits(leads, known, F.col("institute_name") == "SMFG_PL")
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        got = out.collect()
+        assert read.value - before == 2 * len(rows) and len(got) == len(rows)
+        hit = {(r["doc_receiver"], r["doc_text"]): (r["own_name"] or r["allowed_name"], r["handle"], r["written_name"]) for r in got if r["institute_name"] == "SMFG_PL"}
+        assert all(hit["SMFG", t][0] and hit["Nobody", t][0] is None for t in ("to smfg9@upi", "", None))
+        assert hit["Nobody", "to smfg9@upi"][1] == "smfg9@upi" and hit["", "smfg pl stands here"][2] and hit["Nobody", "smfg pl stands here"][2] is None
+        assert [tuple(r)[3:] for r in got if r["institute_name"] == "B"] == [(None,) * 5]
+    assert "SortMergeJoin" not in plans[0] and "SortMergeJoin" in plans[1]
