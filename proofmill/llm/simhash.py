@@ -14,6 +14,10 @@ from .common import apart, discard, materialise, packed, text_map, unpacked
 from .graph import components
 
 
+#: Words of a shingle in a fingerprint.
+FINGERPRINT_WORDS = 4
+
+
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """64-bit SimHash of the space-joined word shingles, as a signed integer; no words: zero."""
     n = len(words)
@@ -107,14 +111,20 @@ def _cross(fps: DataFrame, max_bits: int) -> DataFrame:
     return apart(a).join(b, on & once & close & first).select(F.col("fp0").alias("u"), F.col("fp1").alias("v"))
 
 
+def _linked_stars(fps: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The links ``u, v`` of :func:`_stars`, and every one of ``fps`` with its ``root`` over them."""
+    links = materialise(_stars(fps, max_bits))
+    stars = apart(components(links).withColumnRenamed("node", "fp"))
+    return links, materialise(fps.join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def link_groups(fps: DataFrame, max_bits: int) -> DataFrame:
     """``fp, root`` for distinct fingerprints: root is the smallest fingerprint reachable over links of ``max_bits`` bits.
 
     Stars join dense groups first; then every link between two different groups is found. No link is
     lost, and a group of near copies never yields all of its pairs.
     """
-    stars = components(_stars(fps, max_bits))
-    half = materialise(fps.join(apart(stars.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    _, half = _linked_stars(fps, max_bits)
     between = _cross(half, max_bits).select(F.col("u").alias("fp"), "v")
     roots = half.withColumnRenamed("fp", "v").withColumnRenamed("root", "r")
     joined = components(between.join(apart(half), "fp").join(apart(roots), "v").select(F.col("root").alias("u"), F.col("r").alias("v")))
@@ -145,22 +155,24 @@ def simhash_groups(
 def _shingle_sets(texts: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
     """``key, n, grams``: the number of a text's distinct shingle hashes, and these in unsigned order.
 
-    With ``similarity`` only so many of the lowest that :func:`_with_partners` needs.
+    With ``similarity`` only so many of the lowest that :func:`_with_partners` needs, and ``fp``, the text's SimHash.
     """
 
     def sets(texts: list[bytes]) -> dict[str, list]:
-        n, grams = [], []
+        n, grams, fp = [], [], []
         for t in texts:
             words = t.lower().split()
+            if similarity is not None:
+                fp.append(fingerprint(words, FINGERPRINT_WORDS))
             joined = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
             g = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in joined], np.uint64))
             n.append(len(g))
             if similarity is not None:
                 g = g[: len(g) - math.ceil(similarity * len(g) - 1e-9) + 1 + len(g) // 10]
             grams.append(g.view(np.int64))
-        return {"n": n, "grams": grams}
+        return {"n": n, "grams": grams} | ({"fp": fp} if similarity is not None else {})
 
-    return text_map(texts, ["key"], "text", sets, "key long, n long, grams array<long>")
+    return text_map(texts, ["key"], "text", sets, "key long, n long, grams array<long>" + (", fp long" if similarity is not None else ""))
 
 
 def _with_partners(low: DataFrame, similarity: float) -> DataFrame:
@@ -219,12 +231,29 @@ def _rest(of: DataFrame, similarity: float) -> DataFrame:
     return apart(left).join(right, on).select(F.col("u_key").alias("u"), F.col("v_key").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _simhash_pairs(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs ``u, v`` of the texts in ``fps(key, fp)`` that join all whose fingerprints link at ``max_bits`` bits, as in :func:`link_groups`.
+
+    Texts with one fingerprint meet the smallest key among them; linked fingerprints meet in these keys.
+    """
+    least = materialise(fps.groupBy("fp").agg(F.min("key").alias("rep")))
+    links, half = _linked_stars(least.select("fp"), max_bits)
+    rep = lambda n: apart(least.select(F.col("fp").alias(n), F.col("rep").alias(f"{n}_rep")))
+    between = links.unionByName(_cross(half, max_bits)).join(rep("u"), "u").join(rep("v"), "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v"))
+    same = fps.join(apart(least), "fp").where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v"))
+    return between.unionByName(same).distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 4
+) -> DataFrame:
     """``text_hash, group_id`` for every different text of ``docs``: near copies share a ``group_id``.
 
     Groups are the components of all pairs whose ``shingle``-word sets have an exact Jaccard similarity of
     ``similarity`` or more; no pair is missed. Texts that share too few of their lowest shingle hashes with
-    any other go first. The rest is joined by a prefix filter over shingles from the rarest on: first each
+    any other go first. The rest is linked by SimHash: fingerprints at ``max_bits`` or fewer bits meet through their
+    deletion-variant signatures, and the exact similarity verifies each pair. What fingerprints miss between the groups so
+    found (short texts, long additions) is joined by a prefix filter over shingles from the rarest on: first each
     text with the most central one at a shingle, which joins most of a large group in linear time, then all
     pairs between different groups. ``group_id`` is the smallest text hash of the group.
 
@@ -233,28 +262,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
-    low = _shingle_sets(keyed, shingle, similarity).groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    low = _shingle_sets(keyed, shingle, similarity).groupBy("key").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("fp").alias("fp"))
     low = materialise(low)
-    some = materialise(low.join(apart(_with_partners(low, similarity)), "key", "left_semi").select("key", "copies"))
+    some = materialise(low.join(apart(_with_partners(low, similarity)), "key", "left_semi").select("key", "copies", "fp"))
     sets = materialise(_shingle_sets(keyed.join(apart(some), "key", "left_semi").dropDuplicates(["key"]), shingle))
-    group = linked(sets, some, similarity).select(F.col("node").alias("key"), F.col("root").alias("top"))
-    discard(some, sets)
+    found = materialise(_alike(_simhash_pairs(some.select("key", "fp"), max_bits), sets, similarity))
+    group = linked(sets, some.select("key", "copies"), similarity, found).select(F.col("node").alias("key"), F.col("root").alias("top"))
+    discard(some, sets, found)
     return low.select("key").join(apart(group), "key", "left").select(F.col("key").alias("text_hash"), F.coalesce("top", "key").alias("group_id"))
 
 
-def linked(sets: DataFrame, copies: DataFrame, similarity: float) -> DataFrame:
+def linked(sets: DataFrame, copies: DataFrame, similarity: float, found: DataFrame) -> DataFrame:
     """``node, root``: the components of all pairs of ``sets(key, n, grams)`` at this Jaccard similarity or more.
 
-    ``copies(key, copies)`` helps to choose central texts.
+    ``copies(key, copies)`` helps to choose central texts; ``found(u, v)`` are such pairs that are known, and prefixes are joined only between the
+    groups that these make.
     """
-    prefixes = materialise(_prefixes(sets, similarity))
+    known = components(found).withColumnRenamed("node", "key")
+    prefixes = materialise(_prefixes(sets, similarity).join(apart(known), "key", "left").withColumn("root", F.coalesce("root", "key")))
     central = prefixes.groupBy("key").agg(F.sum("often").alias("s")).join(apart(copies), "key").select("key", F.struct("s", "copies", "key").alias("rank"))
-    ranked = prefixes.join(apart(central), "key").select("gram", F.col("key").alias("u"), "rank")
-    hubs = ranked.groupBy("gram").agg(F.max("rank").alias("hub"))
-    stars = ranked.join(apart(hubs), "gram").select("u", F.col("hub.key").alias("v")).where("u <> v").distinct()
-    stars = materialise(_alike(stars, sets, similarity))
+    ranked = prefixes.join(apart(central), "key").select("gram", F.col("key").alias("u"), "root", "rank")
+    hubs = ranked.groupBy("gram").agg(F.max(F.struct("rank.*", "root")).alias("hub"))
+    stars = ranked.join(apart(hubs), "gram").where("root <> hub.root").select("u", F.col("hub.key").alias("v")).distinct()
+    stars = materialise(_alike(stars, sets, similarity).unionByName(found))
     roots = components(stars).withColumnRenamed("node", "key")
-    rooted = materialise(prefixes.drop("often").join(apart(roots), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    rooted = materialise(prefixes.drop("often", "root").join(apart(roots), "key", "left").withColumn("root", F.coalesce("root", "key")))
     joined = components(stars.unionByName(_alike(_rest(rooted, similarity), sets, similarity)))
     discard(prefixes, stars, rooted)
     return joined

@@ -114,6 +114,39 @@ def test_op1_broadcasts_nothing_that_grows(spark, monkeypatch):
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
 
 
+def test_near_duplicates_are_linked_by_simhash(spark, monkeypatch):
+    """Fingerprints find near copies, the exact similarity verifies them, and only the rest is left to prefixes."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = sentence(rng, 600, 5000).split()
+        texts += [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (10, 300, 500)]
+    short = sentence(rng, 40, 5000)
+    texts += [short, short + " and four words more", "one", "two", "x y", "X y"]
+    fps = [brute_fingerprint(t) for t in texts]
+    near, near_root = brute_near(texts), {}
+    found, linked = [], simhash.linked
+
+    def seen(sets, copies, similarity, pairs):
+        found.extend(map(tuple, pairs.collect()))
+        return linked(sets, copies, similarity, pairs)
+
+    monkeypatch.setattr(simhash, "linked", seen)
+    groups = {r["text_hash"]: r["group_id"] for r in simhash.near_duplicates(docs_of(spark, list(enumerate(texts)))).collect()}
+    key = [h - (1 << 64) if (h := xxhash.xxh64_intdigest(t, 42)) >> 63 else h for t in texts]
+    for i, k in enumerate(key):
+        near_root.setdefault(near[i], groups[k])
+        assert groups[k] == near_root[near[i]]
+    assert len(set(near_root.values())) == len(set(near))
+    at = {k: i for i, k in enumerate(key)}
+    assert found and all(near[at[u]] == near[at[v]] for u, v in found)
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4 and near[i] == near[j]}
+    parent = list(range(len(texts)))
+    for u, v in found:
+        parent[find(parent, at[u])] = find(parent, at[v])
+    assert close and all(find(parent, i) == find(parent, j) for i, j in close)
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     rng = random.Random(3)
     shared = sentence(rng, 60)
