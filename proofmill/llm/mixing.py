@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: numpy draws from fewer slots than this.
 NUMPY_LIMIT = 1_000_000_000
@@ -104,18 +104,22 @@ def shard_counts(quota: np.ndarray, shards: int, slots: int, shard: int, seed: i
     return quota, used
 
 
-def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of ``range(n)`` at ``i``: four Feistel rounds, walked until inside the range."""
+def permuted(i: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of ``range(n)`` at ``i``: four Feistel rounds, walked until inside the range. ``back`` inverts it."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     low, sh = np.uint64((1 << half) - 1), np.uint64(half)
     out, todo = i.astype(np.uint64), np.ones(len(i), bool)
     while todo.any():
         x = out[todo]
         left, right = x >> sh, x & low
-        for r in range(4):
+        if back:
+            left, right = right, left
+        for r in reversed(range(4)) if back else range(4):
             f = (right + np.uint64((key * 4 + r) % (1 << 32))) * np.uint64(0x9E3779B97F4A7C15)
             f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             left, right = right, left ^ ((f >> np.uint64(31)) & low)
+        if back:
+            left, right = right, left
         out[todo] = (left << sh) | right
         todo = out >= n
     return out.astype(np.int64)
@@ -136,6 +140,34 @@ def _blocks_of_slots(k: np.ndarray, blocks: int, name: str | None, seed: int) ->
     return idx, turn
 
 
+def _quotas(plan: DataFrame, block: int) -> DataFrame:
+    """``source, blocks, quota`` of the sources with words: how many blocks they have, and how many slots they fill."""
+    n = F.ceil(F.col("source_size") / block)
+    return plan.where("source_size > 0").select("source", n.alias("blocks"), F.round(F.col("target") * n / F.col("source_size")).cast("long").alias("quota"))
+
+
+def _taken_by_slots(seed: int):
+    """A column function of ``source, idx, blocks, quota``: whether any slot takes the block.
+
+    A source with a slot for every block takes all; else its only pass takes those whose place in the order is below the quota.
+    """
+
+    @F.pandas_udf("boolean")
+    def drawn(source: pd.Series, idx: pd.Series, blocks: pd.Series, quota: pd.Series) -> pd.Series:
+        i, n, q = (x.to_numpy(np.int64) for x in (idx, blocks, quota))
+        out = q >= n
+        some = np.flatnonzero(~out)
+        codes, _ = pd.factorize(source.iloc[some], use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")
+        for rows in np.split(some[order], np.flatnonzero(np.diff(codes[order])) + 1) if len(some) else []:
+            name = source.iloc[rows[0]]
+            key = _seed(seed, None if pd.isna(name) else name, 0)
+            out[rows] = permuted(i[rows], int(n[rows[0]]), key, back=True) < q[rows]
+        return pd.Series(out)
+
+    return drawn
+
+
 SLOT = "shard long, slot long, source string, idx long, pass long"
 
 
@@ -147,8 +179,7 @@ def sample_slots(plan: DataFrame, block: int, slots: int, seed: int, max_sources
     reaches the driver and every task draws the counts of its shards; of more, it stays a table.
     """
     spark = plan.sparkSession
-    n = F.ceil(F.col("source_size") / block)
-    plan = plan.where("source_size > 0").select("source", n.alias("blocks"), F.round(F.col("target") * n / F.col("source_size")).cast("long").alias("quota"))
+    plan = _quotas(plan, block)
     rows = plan.orderBy(F.col("source").isNull(), "source").limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         return _scattered(plan, slots, seed)
@@ -207,28 +238,30 @@ def _key() -> Column:
     return F.struct("source").alias("key")
 
 
-def _placed(rows: DataFrame, sized: DataFrame) -> DataFrame:
-    """``rows`` (of ``source, doc_id, size, mark``) that have words, with their ``key`` and their ``start`` in the source; ``sized`` are all of them."""
+def _placed(rows: DataFrame, sized: DataFrame, quotas: DataFrame | None = None) -> DataFrame:
+    """``rows`` (of ``source, doc_id, size, mark``) that have words, with their ``key`` and their ``start`` in the source; ``sized`` are all of them.
+
+    With ``quotas`` also their source's ``blocks`` and ``quota``, which come by the join that brings the start.
+    """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sized.count() // 2_000))).alias("bucket")
     sums = sized.where("size > 0").groupBy(_key(), bucket).agg(F.sum("size").alias("n"))
     bases = sums.select("key", "bucket", (F.sum("n").over(W.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("base"))
+    if quotas is not None:
+        bases = bases.join(quotas.select(_key(), "blocks", "quota"), "key")
     full = rows.where("size > 0").select("*", _key(), bucket).drop("source").join(bases, ["key", "bucket"])
     order = W.partitionBy("key", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, 0)
     return full.withColumn("start", F.col("base") + F.sum("size").over(order) - F.col("size"))
 
 
-def _laid(docs: DataFrame, sized: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``key, doc_id, size, start, text`` of the documents with words; ``sized`` are their sizes, counted before."""
+def _laid(docs: DataFrame, sized: DataFrame, quotas: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``key, doc_id, size, start, blocks, quota, text`` of the documents with words; ``sized`` are their sizes, counted before."""
     text = F.col(text_col).cast("string")
     full = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return _placed(full, sized).select("key", "doc_id", "size", "start", "text")
-
+    return _placed(full, sized, quotas).select("key", "doc_id", "size", "start", "blocks", "quota", "text")
 
-def pack(laid: DataFrame, block: int) -> DataFrame:
-    """``key, idx, words, parts``: blocks of ``block`` words (the last one of a source may be shorter), joined by a space.
 
-    ``parts`` has the documents that a block is made of, in order: ``start`` in the source, ``doc_id``, ``n`` words.
-    """
+def cut(laid: DataFrame, block: int, seed: int) -> DataFrame:
+    """``key, start, doc_id, idx, n, words``: what the documents give to the blocks that fill a slot. Words of other blocks go no further."""
     end = F.col("start") + F.col("size")
     ids = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))
 
@@ -238,17 +271,25 @@ def pack(laid: DataFrame, block: int) -> DataFrame:
         words = F.array_join(F.slice("all", (low - F.col("start") + 1).cast("int"), n.cast("int")), " ")
         return F.struct(i.alias("idx"), words.alias("words"), n.alias("n"))
 
-    cut = laid.withColumn("all", F.regexp_extract_all("text", F.lit(f"({WORDS})"))).select("key", "start", "doc_id", F.explode(F.transform(ids, piece)).alias("p"))
-    held = F.array_sort(F.collect_list(F.struct("start", "doc_id", F.col("p.n").alias("n"), F.col("p.words").alias("words"))))
-    packed = cut.groupBy("key", F.col("p.idx").alias("idx")).agg(held.alias("held"))
+    pieces = laid.withColumn("all", F.regexp_extract_all("text", F.lit(f"({WORDS})"))).select("key", "start", "doc_id", "blocks", "quota", F.explode(F.transform(ids, piece)).alias("p"))
+    return pieces.where(_taken_by_slots(seed)("key.source", "p.idx", "blocks", "quota")).select("key", "start", "doc_id", "p.idx", "p.n", "p.words")
+
+
+def pack(pieces: DataFrame) -> DataFrame:
+    """``key, idx, words, parts``: blocks made of the pieces of :func:`cut` (the last one of a source may be shorter), joined by a space.
+
+    ``parts`` has the documents that a block is made of, in order: ``start`` in the source, ``doc_id``, ``n`` words.
+    """
+    held = F.array_sort(F.collect_list(F.struct("start", "doc_id", "n", "words")))
+    packed = pieces.groupBy("key", "idx").agg(held.alias("held"))
     parts = F.transform("held", lambda x: F.struct(x["start"].alias("start"), x["doc_id"].alias("doc_id"), x["n"].alias("n")))
     return packed.select("key", "idx", F.array_join("held.words", " ").alias("words"), parts.alias("parts"))
 
 
-def _mixed(laid: DataFrame, plan: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
+def _mixed(pieces: DataFrame, plan: DataFrame, block: int, slots: int, seed: int) -> DataFrame:
     # The slots grow with the corpus, though their plan's estimate rests on the few shard numbers they start from.
     filled = sample_slots(plan, block, slots, seed).select("shard", "slot", _key(), "idx", "pass").hint("merge")
-    return pack(laid, block).join(filled, ["key", "idx"]).select("shard", "slot", "key.source", "idx", "pass", "words", "parts")
+    return pack(pieces).join(filled, ["key", "idx"]).select("shard", "slot", "key.source", "idx", "pass", "words", "parts")
 
 
 def mixed_blocks(
@@ -260,7 +301,9 @@ def mixed_blocks(
     Blocks and slots are those of :func:`mix`; ``words`` is the block's text, ``parts`` as in :func:`pack`.
     """
     sized = materialise(sized_documents(docs, id_col, text_col, source_col))
-    return _mixed(_laid(docs, sized, id_col, text_col, source_col), materialise(targets(sized, weights, repeat)), block, slots, seed)
+    plan = materialise(targets(sized, weights, repeat))
+    laid = _laid(docs, sized, _quotas(plan, block), id_col, text_col, source_col)
+    return _mixed(cut(laid, block, seed), plan, block, slots, seed)
 
 
 def mix(
@@ -282,8 +325,11 @@ def mix(
     """
     sized = materialise(sized_documents(docs, id_col, text_col, source_col))
     plan = materialise(targets(sized, weights, repeat))
-    laid = _laid(docs, sized, id_col, text_col, source_col)
-    mixed = materialise(_mixed(laid, plan, block, slots, seed))
+    laid = _laid(docs, sized, _quotas(plan, block), id_col, text_col, source_col)
+    # Written in between, so that the shuffle of the texts is gone from the disks before that of the blocks begins.
+    pieces = materialise(cut(laid, block, seed), "zstd")
+    mixed = materialise(_mixed(pieces, plan, block, slots, seed), "zstd")
+    discard(pieces)
     used = mixed.select(_key(), F.explode("parts").alias("p")).groupBy("key", "p.start").agg(F.sum("p.n").alias("taken"))
     # The places follow from the sizes, so no text is read again.
     got = _placed(sized, sized).join(used, ["key", "start"], "left").select("key", "doc_id", "size", F.coalesce("taken", F.lit(0)).alias("taken"))

@@ -40,12 +40,12 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. ``codec``: of Parquet, else the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out

@@ -7,6 +7,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from proofmill.llm import compression, decontam, graph, licenses, mixing, simhash, substring, tokens, topk, urls
 from proofmill.llm.graph import components
@@ -423,6 +424,35 @@ def test_op2_taken_against_a_brute_force_mix(spark):
     assert {k: v for k, v in mine.items() if v} == taken
 
 
+def test_op2_never_holds_two_shuffles_of_all_texts(spark):
+    """Disk: no action shuffles much more than the texts once, and of the blocks only those that fill a slot are shuffled."""
+    rng = random.Random(83)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):016x}" for _ in range(300)), "aabbcccccc"[k % 10]) for k in range(1000)]
+    docs = docs_of(spark, rows)
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before, store = runs.executionsList().size(), spark.sparkContext._jsc.sc().statusStore()
+    got = mixing.mix(docs, slots=100).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ids = [runs.executionsList().apply(i).stages().mkString(",").split(",") for i in range(before, runs.executionsList().size())]
+    moved = sorted(sum(store.lastStageAttempt(int(k)).shuffleWriteBytes() for k in x if k) for x in ids)
+    texts = sum(len(t) for _, t, _ in rows)
+    # c is drawn to a quarter, so about half of all blocks fill slots.
+    assert len(got) == len(rows) and moved[-1] < 1.2 * texts and moved[-2] < 0.7 * texts, moved
+
+
+def test_op2_permutation_inverts_and_tells_the_drawn_blocks(spark):
+    import numpy as np
+
+    for n in (1, 2, 3, 100, 1000):
+        for i in (np.arange(n), np.arange(n)[::-1]):
+            assert (mixing.permuted(mixing.permuted(i, n, 5), n, 5, back=True) == i).all()
+    plan = spark.createDataFrame([("a", 100 * 64, 30.4 * 64), ("b", 50 * 64 - 7, 149.0 * 64), (None, 77 * 64, 76.0 * 64), ("z", 9, 0.0)], "source string, source_size long, target double")
+    every = mixing._quotas(plan, 64).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    for limit in (100, 2):
+        slots = mixing.sample_slots(plan, 64, 10, 2, max_sources=limit)
+        assert rows_of(every.where(mixing._taken_by_slots(2)("source", "idx", "blocks", "quota")), "source", "idx") == rows_of(slots.select("source", "idx").distinct(), "source", "idx")
+
+
 def test_op2_draws_stay_random_beyond_numpy():
     import numpy as np
 
