@@ -274,6 +274,32 @@ def test_op8_paths_are_long(spark):
     assert paths == [(i, 50, 281, (0, 0, 50)) for i in range(1, 8)]
 
 
+def test_op8_circles_and_copies_are_few_paths(spark):
+    """A text that goes round in circles is a path or two, not one for each round; a copy of a whole text is one path."""
+    rng = random.Random(43)
+    text = sentence(rng, 400, 5000)
+    rows = [(1, "same " * 3000), (2, "to and fro " * 500), (3, text), (4, text), (5, text)]
+    keyed = docs_of(spark, rows).selectExpr("doc_id AS doc", "0L AS mark", "cast(text AS binary) AS text")
+    paths = sorted((r["doc"], r["pos"], r["n"], tuple(r["src"])) for r in substring.repeated_paths(keyed, 20, 8).collect())
+    assert paths[-2:] == [(4, 0, 381, (3, 0, 0)), (5, 0, 381, (3, 0, 0))] and len(paths) <= 6
+    assert sum(n for doc, _, n, _ in paths if doc == 1) == 2980 and sum(n for doc, _, n, _ in paths if doc == 2) == 1478
+
+
+def test_op8_small_blocks_and_ids_far_apart(spark, monkeypatch):
+    """Texts split over blocks, short copies between long ones, long words, all kinds of white space; ids of 32 bits and ids that need 64."""
+    for name, bound in {"BLOCK": 7, "BUCKET": 3, "BUCKETS": 5, "TEXTS": 3000, "LONG": 16, "PIECE": 16}.items():
+        monkeypatch.setattr(substring, name, bound)
+    rng = random.Random(44)
+    passage, long_words = sentence(rng, 90, 5000), " ".join(f"{'x' * (k % 40)}{k}" for k in range(60))
+    texts = [passage, "few words", sentence(rng, 30, 5000), "few words", "few words", passage, "", None, passage + "\t\n" + passage, long_words, "\n" + long_words.replace(" ", "\v "), "x\0 y " * 30, "x y " * 30]
+    texts += ["one two three " * 40, "one two three " * 40, "a" + "one two three " * 20, sentence(rng, 300, 2), passage[:300], passage.replace("1", "2", 1), passage + " end", passage + " end"]
+    order = rng.sample(range(len(texts)), len(texts))
+    for far in (1, 1 << 40):
+        rows = [((i - 5) * far, t) for i, t in zip(order, texts)]
+        got = substring.dedup_substrings(docs_of(spark, rows)).withColumn("kept_sha256", F.sha2("kept", 256))
+        assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+
+
 def test_op8_repeated_ids(spark):
     rng = random.Random(5)
     a, b = sentence(rng, 40), sentence(rng, 40)
