@@ -3,9 +3,10 @@
 Every window of ``window`` words is an edge from its first to its last ``window - 1`` words.
 
 1. The edges of a document are cut into pieces: consecutive edges that share their minimiser, the smallest hash of a
-   shorter gram inside. Equal edges share it, so only pieces whose minimiser occurs again can repeat.
-2. Equal pieces collapse onto the first of them. The firsts are taken apart into edges, and every edge gets the
-   coordinates where it occurs first.
+   shorter gram inside. Equal edges share it, so only pieces whose minimiser occurs again can repeat. Pieces stay packed
+   in blocks until that is known. Texts that are copies of an earlier one as a whole are set aside.
+2. Equal pieces collapse onto the first of them. The firsts that may share edges with other pieces are taken apart, and
+   every edge gets the coordinates where it occurs first, or where it occurred before in the same text.
 3. Pieces and edges join into long paths where both their own and their first coordinates continue. On a path
    without branches each occurrence of an edge continues with the next one, so it becomes one row a document.
 4. The words of every path are compared with those at its source coordinates.
@@ -289,7 +290,6 @@ def _often(blocks: DataFrame, pieces: int) -> DataFrame:
         order = np.argsort(m)
         same = m[order[1:]] == m[order[:-1]]
         often[order[1:][same]] = often[order[:-1][same]] = True
-        # sure in one block is so in all: m stands there more than once, or is in one block only
         ends = np.cumsum([len(x) // 8 for x in lists])
         found = [m[a:b][often[a:b]].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         out = pa.table({"block": bucket.column("block"), "often": pa.array(found, pa.binary())})
@@ -377,11 +377,11 @@ def _sorted_out(shared: DataFrame) -> DataFrame:
     """
     key = ["m", "n", "digest"]
     kinds = _firsts(shared, key, F.max("rep").alias("rep"))
-    many = kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("rep").alias("rep")).where("kinds > 1 OR rep").select("m", F.lit(True).alias("apart"))
+    many = materialise(kinds.groupBy("m").agg(F.count("*").alias("kinds"), F.max("rep").alias("rep")).where("kinds > 1 OR rep").select("m", F.lit(True).alias("apart")))
     told = materialise(kinds.join(many, "m", "left").where("apart OR often > 1").select(*key, "first", F.coalesce("apart", F.lit(False)).alias("apart")))
     pieces = shared.join(told, key).where("first <> own OR apart").select("own", "n", "first", "apart")
     pieces = materialise(pieces)
-    discard(kinds, told)
+    discard(kinds, many, told)
     return pieces
 
 
@@ -421,9 +421,9 @@ def repeated_paths(docs: DataFrame, window: int, gram: int, bits: int = 64) -> D
     """Rows ``doc, mark, pos, n, src``: ``n`` consecutive windows from word ``pos`` on, all of which also stand from ``src`` on.
 
     ``docs`` has ``doc, mark, text``; coordinates are ordered by ``doc`` (null first), ``mark`` and position, and
-    ``src`` is where the windows occur first. Windows are found by hashes of ``bits`` bits. If the comparison of
-    words shows that two different windows shared a hash, all is done again with other hashes of 64 bits, so
-    what is returned holds word for word.
+    ``src`` is where the windows occur first, or an earlier place in the same text. Windows are found by hashes of
+    ``bits`` bits. If the comparison of words shows that two different windows shared a hash, all is done again with
+    other hashes of 64 bits, so what is returned holds word for word. Copies of whole texts are told by SHA-256.
     """
     places = Places(docs)
     for seed in count():
